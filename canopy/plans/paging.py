@@ -1,0 +1,27 @@
+"""Lists per key that stay whole without ever growing into one huge row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+PAGE = 10_000
+BUCKETS = 4_096
+
+
+def paged_list(df: DataFrame, keys: list[str], value: str, out: str, *, page: int = PAGE) -> DataFrame:
+    """One sorted list per key, split over further ``part`` rows once it is longer than a page.
+
+    Values are first gathered in hash buckets of a key, so a hot key is spread
+    over many tasks; the buckets of a short list are put together again.
+    Columns: keys, part, n (length over all parts), ``out``.
+    """
+    bucket = F.pmod(F.xxhash64(value), F.lit(BUCKETS))
+    pieces = df.select(*keys, F.col(value).alias(out), bucket.alias("_bucket")).groupBy(*keys, "_bucket")
+    counted = pieces.agg(F.collect_list(out).alias(out)).withColumn("_n", F.size(out).cast("bigint"))
+    # At most BUCKETS rows per key.
+    sized = counted.withColumn("n", F.sum("_n").over(Window.partitionBy(*keys)))
+    parts = F.least(F.ceil(F.col("n") / page), F.lit(BUCKETS))
+    placed = sized.withColumn("part", F.pmod("_bucket", parts).cast("int"))
+    gathered = placed.groupBy(*keys, "part").agg(F.first("n").alias("n"), F.flatten(F.collect_list(out)).alias(out))
+    return gathered.withColumn(out, F.array_sort(out))
