@@ -1 +1,197 @@
-def register(catalog): pass
+"""Review-history queries over events, orders, parts and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from canopy.catalog import Catalog
+from canopy.operators import review
+from canopy.sources import stores
+from canopy.sources.forest import table
+
+VERDICT = """case event_type when 'error' then 'FAILED' when 'click' then 'CONDITIONAL' when 'signup' then 'PASSED'
+  when 'purchase' then 'PASSED' else '' end"""
+RANK = "(case {v} when 'FAILED' then 3 when 'CONDITIONAL' then 2 when 'PASSED' then 1 else 0 end)"
+NAME = "(case {r} when 3 then 'FAILED' when 2 then 'CONDITIONAL' when 1 then 'PASSED' else '' end)"
+
+ROUNDS = f"""rounds as (select 'plan-' || user_id as plan_slug, strftime(ts, '%Y-%m-%d') as run, event_type as model,
+  {VERDICT} as verdict, ts, event_id as seq from events)"""
+
+
+def rounds(events):
+    """Events as review rounds: a user is a plan, a day is a run, its events are the rounds."""
+    return events.select(
+        F.concat(F.lit("plan-"), "user_id").alias("plan_slug"), F.date_format("ts", "yyyy-MM-dd").alias("run"),
+        F.col("event_type").alias("model"), F.expr(VERDICT).alias("verdict"), "ts", F.col("event_id").alias("seq"),
+    )
+
+
+def _rounds(spark, folder):
+    return rounds(table(spark, folder, "events"))
+
+
+def fold_sql(where: str = "true") -> str:
+    return f"""runs as (select plan_slug, run, count(*) as n, max({RANK.format(v='verdict')}) as worst,
+        arg_max(model, (ts, seq)) as model from rounds where {where} group by 1, 2),
+      valid as (select * from runs where worst > 0),
+      state as (select plan_slug, cast(sum(n) as bigint) as iteration, arg_max(model, run) as last_model,
+        {NAME.format(r='arg_max(worst, run)')} as last_verdict, max(run) as last_review_date from valid group by plan_slug)"""
+
+
+def register(catalog: Catalog) -> None:
+    add = catalog.add
+    add(
+        "d04_worst_verdict",
+        lambda s, d: review.worst_verdict(_rounds(s, d), ["plan_slug"]),
+        f"""with {ROUNDS} select plan_slug, {NAME.format(r=f"max({RANK.format(v='verdict')})")} as worst
+          from rounds group by plan_slug""",
+    )
+    add(
+        "d05_review_fold",
+        lambda s, d: review.fold_reviews(_rounds(s, d)),
+        f"with {ROUNDS}, {fold_sql()} select * from state",
+    )
+
+    def reports(s, d):
+        vectors = _rounds(s, d).withColumn("vector", F.col("seq") % 7 + 1)
+        overall = vectors.groupBy("plan_slug", "run").agg(F.max(F.struct("ts", "seq", "verdict"))["verdict"].alias("overall"))
+        return vectors.join(overall, ["plan_slug", "run"])
+
+    add(
+        "d06_report_consistency",
+        lambda s, d: review.report_consistency(reports(s, d), ["plan_slug", "run"], "verdict", "overall"),
+        f"""with {ROUNDS} select plan_slug, run, overall, worst, overall = worst as consistent from (
+          select plan_slug, run, arg_max(verdict, (ts, seq)) as overall, {NAME.format(r=f"max({RANK.format(v='verdict')})")} as worst
+          from rounds group by 1, 2)""",
+    )
+    for mode, strict in (("", False), ("_strict_empty", True)):
+        keep = "plan_slug is null" if strict else "true"
+        answer = (
+            """select true as blocked, 'review required before completing this session' as reason, 0 as part, '' as blocking_plans"""
+            if strict
+            else """select count(*) > 0 as blocked, count(*) || ' plan(s) have FAILED or missing verdicts' as reason, 0 as part,
+              string_agg(plan_slug, ',' order by plan_slug) as blocking_plans from state
+              where last_verdict not in ('PASSED', 'CONDITIONAL')"""
+        )
+        add(
+            f"d13_review_gate{mode}",
+            lambda s, d, strict=strict, keep=keep: review.review_gate(
+                review.fold_reviews(_rounds(s, d)).where(keep), strict=strict
+            ).withColumn("blocking_plans", F.array_join("blocking_plans", ",")),
+            f"with {ROUNDS}, {fold_sql()} {answer}",
+        )
+
+    # Each event as a state file: views cannot be read, signups use the older field, errors are odd in case and space.
+    state_json = (
+        "case event_type when 'view' then '{\"iteration\": ' when 'signup' then concat('{\"verdict\":\"PASSED\",\"iteration\":', event_id, '}')"
+        " when 'error' then '{\"last_verdict\":\" passed \"}' when 'click' then '{\"last_verdict\":\"FAILED\",\"iteration\":3}'"
+        " else concat('{\"last_verdict\":\"CONDITIONAL\",\"last_model\":\"m\",\"iteration\":', event_id % 5, '}') end"
+    )
+
+    def state_files(s, d):
+        raw = table(s, d, "events").selectExpr("concat('plan-', event_id) as slug", f"{state_json} as body")
+        return review.parse_states(raw, "slug", "body")
+
+    for mode in ("skip", "block"):
+        for exact in (False, True):
+            blocked = ["event_type = 'click'"]
+            blocked += ["event_type = 'view'"] if mode == "block" else []
+            blocked += ["event_type = 'error'"] if exact else []
+            add(
+                f"b09_blocking_{mode}{'_exact' if exact else ''}",
+                lambda s, d, mode=mode, exact=exact: review.blocking_plans(state_files(s, d), mode, exact).select("plan_slug"),
+                f"select 'plan-' || event_id as plan_slug from events where {' or '.join(blocked)}",
+            )
+    add(
+        "a13_parse_states",
+        lambda s, d: state_files(s, d),
+        """select 'plan-' || event_id as plan_slug,
+          cast(case event_type when 'signup' then event_id when 'click' then 3 when 'view' then 0 when 'error' then 0
+            else event_id % 5 end as bigint) as iteration,
+          case when event_type in ('view', 'signup', 'error', 'click') then '' else 'm' end as last_model,
+          case event_type when 'view' then '' when 'signup' then 'PASSED' when 'error' then ' passed ' when 'click' then 'FAILED'
+            else 'CONDITIONAL' end as last_verdict,
+          '' as last_review_date, event_type = 'view' as malformed from events""",
+    )
+    add(
+        "a13_event_props",
+        lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("iteration")),
+        r"""select event_id, cast(regexp_extract(props, '"k": (\d+)', 1) as bigint) as iteration from events""",
+    )
+
+    def folded(s, d, where):
+        return review.fold_reviews(_rounds(s, d).where(where))
+
+    early, late = "run < '2024-01-16'", "run >= '2024-01-16'"
+    add(
+        "a14_upsert_states",
+        lambda s, d: stores.replace_by_key(folded(s, d, early), folded(s, d, late), ["plan_slug"]),
+        f"""with {ROUNDS}, base as (with {fold_sql(early)} select * from state), news as (with {fold_sql(late)} select * from state)
+          select * from base where plan_slug not in (select plan_slug from news) union all select * from news""",
+    )
+    add(
+        "a15_report_names",
+        lambda s, d: review.report_names(_rounds(s, d)),
+        f"""with {ROUNDS}, num as (select *, row_number() over (partition by plan_slug, run order by ts, seq) as round,
+            row_number() over (partition by plan_slug order by run, ts, seq) - 1 as iteration from rounds)
+          select plan_slug, run, round, iteration,
+            'review-' || run || '-' || plan_slug || '-iter' || iteration || '-r' || round || '.md' as report from num""",
+    )
+    add(
+        "l05_next_slot",
+        lambda s, d: review.fold_reviews(_rounds(s, d)).select("plan_slug", review.next_slot(F.col("iteration")).alias("slot")),
+        f"with {ROUNDS}, {fold_sql()} select plan_slug, cast(iteration % 3 as int) as slot from state",
+    )
+    add(
+        "l06_clamp_rounds",
+        lambda s, d: table(s, d, "part").select("p_partkey", review.clamp_rounds(F.col("p_size") * 2 - 20).alias("rounds")),
+        "select p_partkey, greatest(1, least(50, p_size * 2 - 20)) as rounds from part",
+    )
+    raw = "o_orderstatus || '/' || o_orderpriority || ' , ' || o_orderpriority || ',,' || case when o_orderkey % 2 = 0 then 'pool/m-' || o_orderstatus else '/x' end"
+    defaults = ",".join(review.DEFAULT_REVIEWERS)
+    add(
+        "a16_parse_reviewers",
+        lambda s, d: table(s, d, "orders")
+        .selectExpr("o_orderkey", f"{raw} as raw")
+        .select("o_orderkey", F.array_join(review.parse_reviewers(F.col("raw")), ",").alias("pool")),
+        rf"""select o_orderkey, case when pool = '' then '{defaults}' else pool end as pool from (
+          select o_orderkey, array_to_string(list_filter(list_transform(string_split({raw}, ','), lambda e: trim(e)),
+            lambda e: regexp_matches(e, '^[a-zA-Z0-9_./-]+$') and regexp_matches(e, '^[^/]+/.+$')), ',') as pool from orders)""",
+    )
+
+    def pools(s, d):
+        return table(s, d, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus || '/' || o_orderpriority as reviewer")
+
+    out = "lower(o_orderstatus || '/' || o_orderpriority) = 'f/1-urgent'"
+    add(
+        "b06_exclude_reviewer",
+        lambda s, d: review.exclude_reviewer(pools(s, d), "o_custkey", "reviewer", " F/1-Urgent "),
+        f"""select o_orderkey, o_custkey, o_orderstatus || '/' || o_orderpriority as reviewer from orders o
+          where not ({out}) or o_custkey in (select o_custkey from orders group by 1 having bool_and({out}))""",
+    )
+    add(
+        "l03_interleave",
+        lambda s, d: review.interleave(table(s, d, "documents").select("doc_id", "source"), "source", "doc_id"),
+        """select doc_id, source, (row_number() over (partition by source order by doc_id) - 0.5::double)
+          / count(*) over (partition by source) as position from documents""",
+    )
+    add(
+        "l03_interleave_seeded",
+        lambda s, d: review.interleave(table(s, d, "documents").select("doc_id", "source"), "source", "doc_id", seed=7),
+    )
+
+    def schedule(s, d):
+        pool = table(s, d, "orders").select(F.concat_ws("/", F.col("o_orderstatus"), F.col("o_orderpriority")).alias("reviewer"))
+        return review.rotation_schedule(table(s, d, "part"), pool, "p_partkey", "p_size", "p_partkey", "reviewer")
+
+    add(
+        "l04_rotation_schedule",
+        schedule,
+        """with pool as (select distinct o_orderstatus || '/' || o_orderpriority as reviewer, o_orderstatus as g from orders),
+          pos as (select *, (row_number() over (partition by g order by reviewer) - 0.5::double)
+            / count(*) over (partition by g) as position from pool),
+          slots as (select reviewer, row_number() over (order by position, g, reviewer) - 1 as slot from pos)
+          select p_partkey, round, cast((round - 1) // 5 as int) as batch, reviewer from (
+            select p_partkey, cast(unnest(generate_series(1, greatest(1, least(50, p_size)))) as int) as round from part) r
+          join slots on slot = (p_partkey + round - 1) % (select count(*) from slots)""",
+    )

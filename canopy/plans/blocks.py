@@ -25,44 +25,45 @@ class Grid:
     def shift(self, level: int) -> int:
         return self.base + self.step * level
 
-    def block_of(self, position: Column, level: int = 0) -> Column:
-        return F.shiftright(position.cast("bigint"), self.shift(level))
+    def block_of(self, position: str, level: int = 0) -> str:
+        return f"shiftright(bigint({position}), {self.shift(level)})"
 
-    def all_blocks(self, position: Column) -> Column:
+    def all_blocks(self, position: str) -> Column:
         """Every (level, block) that contains one position."""
-        return F.array(*[_block(level, self.block_of(position, level)) for level in range(self.levels)])
+        blocks = [_block(level, self.block_of(position, level)) for level in range(self.levels)]
+        return F.expr(f"array({', '.join(blocks)})")
 
-    def cover(self, first: Column, last: Column) -> Column:
+    def parents(self, block: str) -> Column:
+        """The (level, block) of a level-0 block and of all that contain it."""
+        blocks = [_block(level, f"shiftright({block}, {self.step * level})") for level in range(self.levels)]
+        return F.expr(f"array({', '.join(blocks)})")
+
+    def cover(self, first: str, last: str) -> Column:
         """The (level, block) array that exactly covers level-0 blocks first..last.
 
         At most two runs of ``2**step`` blocks per level; only the top level
         may hold a longer run. An empty range gives an empty array.
         """
-        runs: list[Column] = []
-        low, high = first.cast("bigint"), last.cast("bigint")
-        for level in range(self.levels):
-            low_parent, high_parent = F.shiftright(low, self.step), F.shiftright(high, self.step)
-            if level == self.levels - 1:
-                runs.append(_run(level, low, high))
-                break
-            inside_one = low_parent == high_parent
-            head_end = F.when(inside_one, high).otherwise(F.shiftleft(low_parent + 1, self.step) - 1)
-            tail_start = F.when(inside_one, high + 1).otherwise(F.shiftleft(high_parent, self.step))
-            runs += [_run(level, low, F.least(head_end, high)), _run(level, tail_start, high)]
-            # The blocks strictly between the two ends move up one level; low > high marks "nothing left".
-            spans = high_parent - low_parent > 1
-            low, high = (
-                F.when(spans, low_parent + 1).otherwise(F.lit(1).cast("bigint")),
-                F.when(spans, high_parent - 1).otherwise(F.lit(0).cast("bigint")),
-            )
-        return F.concat(*runs)
-
-
-def _block(level: int, block: Column) -> Column:
-    return F.struct(F.lit(level).alias("level"), block.alias("block"))
-
-
-def _run(level: int, low: Column, high: Column) -> Column:
-    blocks = F.transform(F.sequence(low, high), lambda b: _block(level, b))
-    none = F.array().cast("array<struct<level:int,block:bigint>>")
-    return F.when(low <= high, blocks).otherwise(none)
+        mask = (1 << self.step) - 1
+        low, high = f"bigint({first})", f"bigint({last})"
+        runs: list[str] = []
+        for level in range(self.levels - 1):
+            group_end = f"({low} | {mask}L)"
+            runs.append(_run(level, low, f"least({group_end}, {high})", f"{low} <= {high}"))
+            tail = f"greatest({high} & ~{mask}L, {group_end} + 1)"
+            runs.append(_run(level, tail, high, f"{low} <= {high} and {tail} <= {high}"))
+            # What lies between the two end groups moves up one level. Once
+            # nothing is left, low stays above high on all further levels.
+            low, high = f"(shiftright({low}, {self.step}) + 1)", f"(shiftright({high}, {self.step}) - 1)"
+        runs.append(_run(self.levels - 1, low, high, f"{low} <= {high}"))
+        return F.expr(f"concat({', '.join(runs)})")
+
+
+# The expressions are SQL text, because each level refers to the one below it.
+def _block(level: int, block: str) -> str:
+    return f"named_struct('level', {level}, 'block', {block})"
+
+
+def _run(level: int, low: str, high: str, unless_empty: str) -> str:
+    blocks = f"transform(sequence({low}, {high}), b -> {_block(level, 'b')})"
+    return f"case when {unless_empty} then {blocks} else cast(array() as array<struct<level:int,block:bigint>>) end"

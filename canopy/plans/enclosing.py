@@ -26,11 +26,11 @@ def innermost(
     """
     wanted = points.select(*keys, point).distinct()
     registered = (
-        ranges.select(*keys, best.alias(out), F.explode(LINES.cover(F.col(first), F.col(last))).alias("_at"))
+        ranges.select(*keys, best.alias(out), F.explode(LINES.cover(first, last)).alias("_at"))
         .groupBy(*keys, "_at.level", "_at.block")
         .agg(F.min(out).alias(out))
     )
-    asked = wanted.select(*keys, point, F.explode(LINES.all_blocks(F.col(point))).alias("_at")).select(
+    asked = wanted.select(*keys, point, F.explode(LINES.all_blocks(point)).alias("_at")).select(
         *keys, point, "_at.level", "_at.block"
     )
     # min() skips NULL, so the points themselves keep the unmatched ones alive.

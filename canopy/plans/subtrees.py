@@ -35,7 +35,7 @@ def subtree_measures(nodes: DataFrame, roots: DataFrame, measures: list[str], ca
     points = nodes.select(
         "file_path",
         "node_id",
-        GRID.block_of(F.col("node_id")).alias("block"),
+        F.expr(GRID.block_of("node_id")).alias("block"),
         *[F.coalesce(MEASURES[m][0](), F.lit(0)).alias(m) if MEASURES[m][1] is F.sum else MEASURES[m][0]().alias(m)
           for m in measures],
     )
@@ -43,7 +43,7 @@ def subtree_measures(nodes: DataFrame, roots: DataFrame, measures: list[str], ca
     ranges = (
         roots.where("descendant_count > 0")
         .select(*ident, (F.col("node_id") + 1).alias("first"), (F.col("node_id") + F.col("descendant_count")).alias("last"))
-        .withColumns({"first_block": GRID.block_of(F.col("first")), "last_block": GRID.block_of(F.col("last"))})
+        .selectExpr("*", f"{GRID.block_of('first')} as first_block", f"{GRID.block_of('last')} as last_block")
     )
     found = _ends(points, ranges, ident, measures).unionByName(_middles(points, ranges, ident, measures))
     return _fold(found.unionByName(_nothing(roots, ident, measures, found)), ident, measures)
@@ -76,16 +76,13 @@ def _ends(points: DataFrame, ranges: DataFrame, ident: list[str], measures: list
 def _middles(points: DataFrame, ranges: DataFrame, ident: list[str], measures: list[str]) -> DataFrame:
     """Whole blocks strictly between the two ends of each range."""
     leaves = _fold(points, ["file_path", "block"], measures)
-    base = F.array(*[
-        F.struct(F.lit(k).alias("level"), F.shiftright("block", GRID.step * k).alias("block")) for k in range(GRID.levels)
-    ])
     blocks = _fold(
-        leaves.withColumn("_at", F.explode(base)).select("file_path", "_at.level", "_at.block", *measures),
+        leaves.withColumn("_at", F.explode(GRID.parents("block"))).select("file_path", "_at.level", "_at.block", *measures),
         ["file_path", "level", "block"],
         measures,
     )
     spans = ranges.where(F.col("last_block") - F.col("first_block") > 1)
-    at = spans.select(*ident, F.explode(GRID.cover(F.col("first_block") + 1, F.col("last_block") - 1)).alias("_at"))
+    at = spans.select(*ident, F.explode(GRID.cover("first_block + 1", "last_block - 1")).alias("_at"))
     at = at.select(*ident, "_at.level", "_at.block")
     on = (
         (F.col("b.file_path") == F.col("r.file_path"))
