@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopy.catalog import Catalog
+from canopy.functions.times import utc_instant
 from canopy.operators import review
+from canopy.session import new_path
 from canopy.sources import stores
 from canopy.sources.forest import table
+from canopy.streaming import review_fold
 
 VERDICT = """case event_type when 'error' then 'FAILED' when 'click' then 'CONDITIONAL' when 'signup' then 'PASSED'
   when 'purchase' then 'PASSED' else '' end"""
@@ -52,6 +55,30 @@ def register(catalog: Catalog) -> None:
         f"with {ROUNDS}, {fold_sql()} select * from state",
     )
 
+    def streamed(s, d):
+        """The same fold, with the events read as a stream."""
+        events = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        root = new_path(s)
+        late_free = rounds(events).withColumn("ts", utc_instant(F.col("ts")))
+        review_fold.start_fold(late_free, root).awaitTermination()
+        return review_fold.current_states(s, root)
+
+    add("t02_stream_review_fold", streamed, f"with {ROUNDS}, {fold_sql()} select * from state")
+
+    def written_states(s, d):
+        """Early states written as a version, then the upsert written as the next one."""
+        store = stores.VersionedTable(s, new_path(s), folded(s, d, early).schema)
+        store.write(folded(s, d, early), 1)
+        store.write(stores.replace_by_key(store.read(), folded(s, d, late), ["plan_slug"]), 2)
+        return store.read()
+
+    def stored_reports(s, d):
+        path = new_path(s)
+        names = review.report_names(_rounds(s, d)).select("run", "report")
+        review.append_reports(names.where("run < '2024-01-16'"), path)
+        review.append_reports(names.where("run >= '2024-01-16'"), path)
+        return s.read.schema("report string, run string").parquet(path)
+
     def reports(s, d):
         vectors = _rounds(s, d).withColumn("vector", F.col("seq") % 7 + 1)
         overall = vectors.groupBy("plan_slug", "run").agg(F.max(F.struct("ts", "seq", "verdict"))["verdict"].alias("overall"))
@@ -129,6 +156,15 @@ def register(catalog: Catalog) -> None:
         f"""with {ROUNDS}, base as (with {fold_sql(early)} select * from state), news as (with {fold_sql(late)} select * from state)
           select * from base where plan_slug not in (select plan_slug from news) union all select * from news""",
     )
+    upsert = catalog.oracle["a14_upsert_states"]
+    add("a14_write_states", written_states, upsert)
+    add(
+        "a15_report_store",
+        stored_reports,
+        f"""with {ROUNDS} select run, 'review-' || run || '-' || plan_slug || '-iter' ||
+            (row_number() over (partition by plan_slug order by run, ts, seq) - 1) || '-r' ||
+            row_number() over (partition by plan_slug, run order by ts, seq) || '.md' as report from rounds""",
+    )
     add(
         "a15_report_names",
         lambda s, d: review.report_names(_rounds(s, d)),

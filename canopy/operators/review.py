@@ -46,10 +46,10 @@ def worst_verdict(rounds: DataFrame, by: Sequence[str], verdict: str = "verdict"
     return rounds.groupBy(*by).agg(verdict_of(F.coalesce(F.max(severity(F.col(verdict))), F.lit(0))).alias("worst"))
 
 
-def run_totals(rounds: DataFrame) -> DataFrame:
+def run_totals(rounds: DataFrame, by: Sequence[str] = ("plan_slug", "run")) -> DataFrame:
     """One row per plan and run: rounds, worst rank, and the reviewer of the last round."""
     last = F.max(F.struct("ts", "seq", "model"))
-    return rounds.groupBy("plan_slug", "run").agg(
+    return rounds.groupBy(*by).agg(
         F.count("*").alias("rounds"), F.max(severity(F.col("verdict"))).alias("worst"), last.alias("last")
     )
 

@@ -49,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def _new_path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
     return os.path.join(shared_dir(spark), f"pinned-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
 
 
@@ -59,7 +60,7 @@ def written(df: DataFrame) -> DataFrame:
     Unlike ``df.checkpoint()`` this computes the rows once, keeps them columnar
     and lets later reads prune columns.
     """
-    path = _new_path(df.sparkSession)
+    path = new_path(df.sparkSession)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,7 +73,7 @@ def pinned_table(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
     """
     app_key = (spark.sparkContext.applicationId, *key)
     if app_key not in _pinned:
-        path = _new_path(spark)
+        path = new_path(spark)
         df = build()
         df.write.mode("error").parquet(path)
         _pinned[app_key] = (path, df.schema)

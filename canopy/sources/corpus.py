@@ -30,7 +30,7 @@ def scan_corpus(spark: SparkSession, root: str, extension: str) -> DataFrame:
     relative = F.substring_index(F.col("path"), base, -1)
     return files.select(
         relative.alias("file_path"), F.col("modificationTime").alias("modified_at"), "length",
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.decode("content", "UTF-8").alias("text"),
     ).where(~_excluded(F.col("file_path")))
 
 
