@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.functions import predicates as P
 from canopy.functions.patterns import like
 from canopy.operators.lookup import Globs, scan_nodes
+from canopy.plans.copies import copies_in_order
 
 
 def _edges_with_fan_in(imports: DataFrame, target: Column, source: Column) -> DataFrame:
@@ -16,9 +17,8 @@ def _edges_with_fan_in(imports: DataFrame, target: Column, source: Column) -> Da
     # Equal edges of different files are counted, not multiplied through the join.
     counted = edges.groupBy("source_module", "target_module").agg(F.count("*").alias("copies"))
     fan_in = counted.groupBy("target_module").agg(F.sum("copies").alias("fan_in"))
-    joined = counted.join(fan_in, "target_module")
-    each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return each.select("source_module", "target_module", "fan_in").orderBy("source_module", "target_module")
+    joined = counted.join(fan_in, "target_module").select("source_module", "target_module", "fan_in", "copies")
+    return copies_in_order(joined, "copies", ["source_module", "target_module"])
 
 
 def module_dependencies(nodes: DataFrame, file_pattern: Globs, package_prefix: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.functions import predicates as P
 from canopy.operators.lookup import Globs, scan_nodes
 from canopy.operators.metrics import function_metrics
+from canopy.plans.copies import copies_in_order
 from canopy.plans.suffixes import match_suffix
 
 
@@ -46,15 +47,13 @@ def structural_diff(old: DataFrame, new: DataFrame, file: Globs = "**") -> DataF
         .otherwise("unchanged")
     )
     changed = pairs.withColumn("change", change).where("change <> 'unchanged'")
-    one = F.lit(1).cast("bigint")
-    each = changed.withColumn("_old", F.explode(F.sequence(one, F.coalesce("old_copies", one)))).withColumn(
-        "_new", F.explode(F.sequence(one, F.coalesce("new_copies", one)))
-    )
     delta = F.coalesce("new_complexity", F.lit(0)) - F.coalesce("old_complexity", F.lit(0))
-    return each.select(
+    rows = changed.select(
         "file_path", "name", "kind", "change", "old_lines", "new_lines", "old_complexity", "new_complexity",
         delta.alias("complexity_delta"),
-    ).orderBy("file_path", "change", "name")
+        (F.coalesce("old_copies", F.lit(1)) * F.coalesce("new_copies", F.lit(1))).alias("pairs"),
+    )
+    return copies_in_order(rows, "pairs", ["file_path", "change", "name", "old_complexity", "new_complexity"])
 
 
 def changed_function_summary(nodes: DataFrame, changes: DataFrame, file_pattern: Globs) -> DataFrame:
@@ -75,6 +74,6 @@ def changed_function_summary(nodes: DataFrame, changes: DataFrame, file_pattern:
     metrics = function_metrics(tree).select("file_path", "name", "cyclomatic")
     joined = defs.join(files, "file_path").join(metrics, ["file_path", "name"], "left")
     ranked = joined.withColumn("cyclomatic", F.coalesce("cyclomatic", F.lit(0)))
-    return ranked.orderBy(F.desc("cyclomatic"), "file_path", "start_line").select(
+    return ranked.orderBy(F.desc("cyclomatic"), "file_path", "start_line", "name", "lines").select(
         "file_path", "name", "kind", "lines", "cyclomatic", "change_status"
     )

@@ -112,10 +112,9 @@ def dependency_chains(edges: DataFrame, limit: int = MAX_CHAIN) -> DataFrame:
     a cycle ends there too.
     """
     links = edges.select("id", "depends_on").where("depends_on is not null").distinct()
-    reached = links.select("id").distinct()
-    lengths = reached.select("id", F.lit(1).alias("chain"))
-    for length in range(2, limit + 2):
-        below = reached.select(F.col("id").alias("depends_on"))
-        reached = links.join(below, "depends_on", "left_semi").select("id").distinct()
-        lengths = lengths.unionByName(reached.select("id", F.lit(length).alias("chain")))
-    return lengths.groupBy("id").agg(F.max("chain").alias("chain"), (F.max("chain") > limit).alias("over_limit"))
+    chains = links.select("id").distinct().withColumn("chain", F.lit(1))
+    for _ in range(limit):
+        below = chains.select(F.col("id").alias("depends_on"), "chain")
+        longer = F.max(F.coalesce("chain", F.lit(0)) + 1).alias("chain")
+        chains = links.join(below, "depends_on", "left").groupBy("id").agg(longer)
+    return chains.select("id", "chain", (F.col("chain") > limit).alias("over_limit"))

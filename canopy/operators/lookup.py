@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import predicates as P
@@ -23,8 +23,10 @@ def with_peek(nodes: DataFrame, length: int | str = 200) -> DataFrame:
     return nodes if length == "full" else nodes.withColumn("peek", F.left(F.col("peek"), F.lit(int(length))))
 
 
-def _in_order(df: DataFrame, *columns: str) -> DataFrame:
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+def _in_order(found: DataFrame, *columns: Column | str) -> DataFrame:
+    """Chosen columns in reading order; the node number settles ties and lets a crowded line be split."""
+    order = ["file_path", F.col("start_line").asc_nulls_last(), "node_id"]
+    return found.select(*columns, "node_id").orderBy(*order).drop("node_id")
 
 
 def find_definitions(nodes: DataFrame, file_pattern: Globs, name_pattern: str = "%") -> DataFrame:
@@ -35,33 +37,25 @@ def find_definitions(nodes: DataFrame, file_pattern: Globs, name_pattern: str =
         found = found.where(code & P.is_top_level())
     else:
         found = found.where(P.is_definition() & like(F.col("name"), name_pattern))
-    rows = found.select(
-        "file_path", "name", F.col("semantic_type").alias("kind"), "start_line", "end_line", F.col("peek").alias("signature")
-    )
-    return _in_order(rows, "file_path", "start_line")
+    kind, signature = F.col("semantic_type").alias("kind"), F.col("peek").alias("signature")
+    return _in_order(found, "file_path", "name", kind, "start_line", "end_line", signature)
 
 
 def find_calls(nodes: DataFrame, file_pattern: Globs, name_pattern: str = "%") -> DataFrame:
     found = scan_nodes(nodes, file_pattern).where(P.is_call() & like(F.col("name"), name_pattern))
-    return _in_order(
-        found.select("file_path", "name", "start_line", F.col("peek").alias("call_expression")), "file_path", "start_line"
-    )
+    return _in_order(found, "file_path", "name", "start_line", F.col("peek").alias("call_expression"))
 
 
 def find_imports(nodes: DataFrame, file_pattern: Globs) -> DataFrame:
     """Imports, unnamed ones included."""
     found = scan_nodes(nodes, file_pattern).where(P.is_import())
-    return _in_order(
-        found.select("file_path", "name", F.col("peek").alias("import_statement"), "start_line"), "file_path", "start_line"
-    )
+    return _in_order(found, "file_path", "name", F.col("peek").alias("import_statement"), "start_line")
 
 
 def find_in_tree(nodes: DataFrame, file_pattern: Globs, kind: str, name_pattern: str = "%") -> DataFrame:
     """Nodes of one kind by name; an unknown kind finds nothing."""
     found = scan_nodes(nodes, file_pattern).where(P.of_kind(kind) & like(F.col("name"), name_pattern))
-    return _in_order(
-        found.select("file_path", "name", "start_line", F.col("peek").alias("context")), "file_path", "start_line"
-    )
+    return _in_order(found, "file_path", "name", "start_line", F.col("peek").alias("context"))
 
 
 # The kinds a symbol search asks for.

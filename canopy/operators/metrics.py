@@ -22,13 +22,13 @@ def code_structure(nodes: DataFrame, file_pattern: Globs) -> DataFrame:
         tree, defs.where(P.is_function_definition()), ["nodes", "conditionals", "loops"], shape
     ).withColumn("cyclomatic_complexity", F.when(F.col("nodes") > 0, F.col("conditionals") + F.col("loops") + 1))
     others = defs.where(~P.is_function_definition()).withColumn("cyclomatic_complexity", F.lit(None).cast("bigint"))
-    keep = ["file_path", *shape, "cyclomatic_complexity"]
-    rows = functions.select(*keep).unionByName(others.select(*keep))
+    keep = ["file_path", "node_id", *shape, "cyclomatic_complexity"]
+    rows = functions.select(*keep).unionByName(others.select(*keep)).orderBy("file_path", "start_line", "node_id")
     return rows.select(
         "file_path", "name", F.col("semantic_type").alias("kind"), "start_line", "end_line",
         (F.col("end_line") - F.col("start_line") + 1).alias("line_count"),
         "descendant_count", "children_count", "cyclomatic_complexity",
-    ).orderBy("file_path", "start_line")
+    )
 
 
 def function_metrics(nodes: DataFrame) -> DataFrame:

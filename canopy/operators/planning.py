@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from canopy.functions import predicates as P
 from canopy.functions.patterns import ilike, path_matches
 from canopy.nodes import require_nodes
+from canopy.plans.copies import copies_in_order
 
 PLANNING_SCHEMA = T.StructType(
     [
@@ -58,11 +59,9 @@ def planning_drift(planned: DataFrame, nodes: DataFrame, task_id: str) -> DataFr
         .agg(F.count("*").alias("times"))
     )
     moved = pins.join(lines, ["symbol_name", "file_path"]).where("current_line <> planned_line")
-    each = moved.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
     drift = F.abs(F.col("current_line") - F.col("planned_line")).alias("drift_lines")
-    return each.select(
-        "task_id", "symbol_name", "file_path", "planned_line", "current_line", "captured_at", drift
-    ).orderBy(F.desc("drift_lines"))
+    rows = moved.select("task_id", "symbol_name", "file_path", "planned_line", "current_line", "captured_at", drift, "times")
+    return copies_in_order(rows, "times", [F.desc("drift_lines"), "file_path", "symbol_name", "current_line"])
 
 
 def missing_symbols(planned: DataFrame, nodes: DataFrame, task_id: str) -> DataFrame:

@@ -83,24 +83,32 @@ def assemble_artifacts(artifacts: DataFrame, date: Column, produced_by: str) ->
     return written.select("slug", path.alias("path"), "links", "content", word_count(col("content")).alias("word_count"))
 
 
+# The line that links a document to an artifact, and a pattern for it.
 def _marker(artifact: Column) -> Column:
     return F.concat(F.lit("> **Prerequisite:** Read `"), artifact, F.lit("`"))
 
 
+LINKED = r"> \*\*Prerequisite:\*\* Read `([^`]*)`"
+
+
 def link_outcomes(
     links: DataFrame, documents: DataFrame, artifact: str, task: str, text: str, title_mark: str = "# "
 ) -> DataFrame:
     """What adding each link (artifact, task) to its document does.
 
     Outcome: injected, already_present, not_found, or malformed (the document
-    does not begin with a title line). Repeated links count once.
+    does not begin with a title line). Repeated links count once. Only the
+    links a text holds go into the join, not the text. Artifact paths hold no
+    backtick.
     """
     wanted = links.select(artifact, task).distinct()
-    looked_up = wanted.join(documents.select(task, text), task, "left")
+    held = F.regexp_extract_all(text, F.lit(LINKED), F.lit(1))
+    known = documents.select(task, held.alias("_held"), F.col(text).startswith(title_mark).alias("_titled"))
+    looked_up = wanted.join(known, task, "left")
     outcome = (
-        F.when(F.col(text).isNull(), "not_found")
-        .when(F.contains(F.col(text), _marker(F.col(artifact))), "already_present")
-        .when(~F.col(text).startswith(title_mark), "malformed")
+        F.when(F.col("_titled").isNull(), "not_found")
+        .when(F.array_contains("_held", F.col(artifact)), "already_present")
+        .when(~F.col("_titled"), "malformed")
         .otherwise("injected")
     )
     return looked_up.select(task, artifact, outcome.alias("outcome"))

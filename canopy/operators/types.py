@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.functions import predicates as P
 from canopy.functions.patterns import ilike
 from canopy.nodes import child_of
+from canopy.plans.copies import copies_in_order
 from canopy.plans.paging import PAGE, paged_list
 
 # Node types that can be the type of a field.
@@ -55,12 +56,13 @@ def struct_fields(nodes: DataFrame) -> DataFrame:
     fields = lists.alias("l").join(field_nodes.alias("f"), child_of("f", "l", "list_id")).select(
         "l.file_path", "l.spec_name", F.col("f.name").alias("field_name"), F.col("f.node_id").alias("field_id")
     )
-    kinds = nodes.where(F.col("type").isin(*FIELD_TYPE_KINDS)).select("file_path", "parent_id", "peek", "type")
+    kinds = nodes.where(F.col("type").isin(*FIELD_TYPE_KINDS)).select("file_path", "node_id", "parent_id", "peek", "type")
     typed = fields.alias("f").join(kinds.alias("t"), child_of("t", "f", "field_id"))
-    return typed.select(
+    rows = typed.select(
         F.col("f.spec_name").alias("struct_name"), "f.field_name", F.col("t.peek").alias("field_type"),
-        F.col("t.type").alias("type_kind"), "f.file_path",
-    ).orderBy("struct_name", "field_name")
+        F.col("t.type").alias("type_kind"), "f.file_path", "t.node_id",
+    )
+    return rows.orderBy("struct_name", "field_name", "file_path", "node_id").drop("node_id")
 
 
 def _receiver() -> Column:
@@ -78,8 +80,10 @@ def function_signatures(nodes: DataFrame) -> DataFrame:
         F.filter("parameters", lambda p: p["type"] != "receiver").alias("params"),
         "file_path",
         "start_line",
+        "node_id",
     )
-    return rows.orderBy(F.coalesce("receiver", F.lit("")), F.col("name").asc_nulls_last())
+    order = [F.coalesce("receiver", F.lit("")), F.col("name").asc_nulls_last(), "file_path", "node_id"]
+    return rows.orderBy(*order).drop("node_id")
 
 
 def type_flow(nodes: DataFrame, type_name: str) -> DataFrame:
@@ -87,7 +91,8 @@ def type_flow(nodes: DataFrame, type_name: str) -> DataFrame:
     usage = F.coalesce(F.create_map(*[F.lit(x) for pair in USAGE_KINDS.items() for x in pair])[F.col("type")], F.col("type"))
     mentioned = (F.col("name") == type_name) | ilike(F.col("peek"), f"%{type_name}%")
     found = nodes.where(mentioned & ~F.col("type").isin(*NOT_A_USAGE))
-    return found.select(usage.alias("usage_kind"), "file_path", "start_line", "peek").orderBy("file_path", "start_line")
+    rows = found.select(usage.alias("usage_kind"), "file_path", "start_line", "peek", "node_id")
+    return rows.orderBy("file_path", "start_line", "node_id").drop("node_id")
 
 
 def external_types(nodes: DataFrame, page: int = PAGE) -> DataFrame:
@@ -114,7 +119,7 @@ def interfaces(nodes: DataFrame) -> DataFrame:
         F.coalesce(F.sum("m.n"), F.lit(0)).alias("method_count")
     )
     return totals.select("iface_name", "method_count", P.is_exported("iface_name").alias("exported"), "file_path").orderBy(
-        F.col("iface_name").asc_nulls_last()
+        F.col("iface_name").asc_nulls_last(), "file_path"
     )
 
 
@@ -131,8 +136,6 @@ def interface_impls(nodes: DataFrame, iface_name: str) -> DataFrame:
     methods = nodes.where((F.col("type") == "method_declaration") & ~P.is_test_file()).select(
         _receiver().alias("receiver"), F.col("name").alias("method_name"), "file_path", "start_line"
     )
-    matched = methods.join(names, "method_name")
-    each = matched.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
-    return each.select("receiver", "method_name", "file_path", "start_line").orderBy(
-        F.col("receiver").asc_nulls_last(), "method_name"
-    )
+    matched = methods.join(names, "method_name").select("receiver", "method_name", "file_path", "start_line", "times")
+    order = [F.col("receiver").asc_nulls_last(), "method_name", "file_path", "start_line"]
+    return copies_in_order(matched, "times", order)
