@@ -11,28 +11,23 @@ from canopy.plans.enclosing import innermost
 
 
 def _resolved(nodes: DataFrame, calls: DataFrame) -> DataFrame:
-    scopes = nodes.where(F.col("semantic_type").isin(P.FUNCTION, P.CLASS, P.MODULE) & P.is_named())
-    # Smallest scope first; equal ones: the later start, then the later node.
-    best = F.struct(
-        (F.col("end_line") - F.col("start_line")).alias("size"),
-        (-F.col("start_line")).alias("later_start"),
-        (-F.col("node_id")).alias("later_node"),
-        F.col("name"),
-        F.col("semantic_type").alias("kind"),
-    )
-    scopes = scopes.withColumnsRenamed({"start_line": "def_start", "end_line": "def_end"}).withColumns(
-        {"start_line": F.col("def_start"), "end_line": F.col("def_end")}
-    )
+    named = nodes.where(F.col("semantic_type").isin(P.FUNCTION, P.CLASS, P.MODULE) & P.is_named())
+    scopes = named.select(
+        "file_path", F.col("start_line").alias("def_start"), F.col("end_line").alias("def_end"),
+        "node_id", "name", F.col("semantic_type").alias("kind"),
+    )
     points = calls.select("file_path", F.col("start_line").alias("call_line"))
-    return innermost(points, scopes, ["file_path"], "call_line", "def_start", "def_end", best, "scope")
+    best = innermost(points, scopes, ["file_path"], "call_line", "def_start", "def_end")
+    # Scopes on the very same lines: the later node, which is the inner one.
+    owner = scopes.groupBy("file_path", "def_start", "def_end").agg(F.max(F.struct("node_id", "name", "kind")).alias("scope"))
+    return best.join(owner, ["file_path", "def_start", "def_end"], "left").select(
+        "file_path", "call_line", F.col("scope.name").alias("caller_name"), F.col("scope.kind").alias("caller_kind")
+    )
 
 
 def enclosing_scopes(nodes: DataFrame) -> DataFrame:
     """Every line that holds a call, with its smallest named function, class or module."""
-    found = _resolved(nodes, nodes.where(P.is_call()))
-    return found.select(
-        "file_path", "call_line", F.col("scope.name").alias("caller_name"), F.col("scope.kind").alias("caller_kind")
-    )
+    return _resolved(nodes, nodes.where(P.is_call()))
 
 
 def function_callers(nodes: DataFrame, file_pattern: Globs, func_name: str) -> DataFrame:
@@ -41,7 +36,5 @@ def function_callers(nodes: DataFrame, file_pattern: Globs, func_name: str) -> D
     Several calls on one line are one row.
     """
     tree = scan_nodes(nodes, file_pattern)
-    found = _resolved(tree, tree.where(P.is_call() & (F.col("name") == func_name)))
-    return found.select(
-        "file_path", "call_line", F.col("scope.name").alias("caller_name"), F.col("scope.kind").alias("caller_kind")
-    ).orderBy("file_path", "call_line")
+    calls = tree.where(P.is_call() & (F.col("name") == func_name))
+    return _resolved(tree, calls).orderBy("file_path", "call_line")

@@ -34,6 +34,15 @@ USAGE_KINDS = {
 NOT_A_USAGE = ("identifier", "comment", "interpreted_string_literal", "field_identifier")
 
 
+def children_with_parents(nodes: DataFrame) -> DataFrame:
+    """Every node that has a parent, with the parent's type and name."""
+    child = nodes.select("file_path", "node_id", "parent_id", "type", "name").alias("c")
+    parent = nodes.select("file_path", "node_id", "type", "name").alias("p")
+    return child.join(parent, child_of("c", "p")).select(
+        "c.file_path", "c.node_id", "c.type", "c.name", F.col("p.type").alias("parent_type"), F.col("p.name").alias("parent_name")
+    )
+
+
 def _links(nodes: DataFrame, *types: str) -> DataFrame:
     return nodes.where(F.col("type").isin(*types)).select("file_path", "node_id", "parent_id")
 

@@ -7,33 +7,42 @@ no range test left in the join, and a crowded block costs one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.plans.blocks import Grid
 
-# Single lines up to blocks of 65,536 lines. A longer scope lists its top
-# blocks one by one, so that no block is asked by more points than that.
-LINES = Grid(base=0, step=4, levels=5)
+# Single lines, 64 lines, 4,096 lines. A longer scope lists its top blocks one
+# by one, so that no block is asked by more points than that.
+LINES = Grid(base=0, step=6, levels=3)
+BITS = 31
 
 
-def innermost(
-    points: DataFrame, ranges: DataFrame, keys: list[str], point: str, first: str, last: str, best: Column, out: str
-) -> DataFrame:
-    """Distinct (keys, point) with ``out``: the least ``best`` among the containing ranges, or NULL.
+def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, first: str, last: str) -> DataFrame:
+    """Distinct (keys, point) with ``first`` and ``last`` of the best containing range, or NULL.
 
-    ``best`` is a struct whose order decides (size first, then tie-breakers).
+    The smallest range is best, among equal sizes the one that starts later.
+    Both fit into one number, so all aggregates here stay on plain bigints.
+    Bounds must be ints from 0 up.
     """
+    rank = f"shiftleft(bigint({last} - {first}), {BITS}) + ({(1 << BITS) - 1}L - {first})"
     wanted = points.select(*keys, point).distinct()
     registered = (
-        ranges.select(*keys, best.alias(out), F.explode(LINES.cover(first, last)).alias("_at"))
+        ranges.select(*keys, first, last)
+        .distinct()
+        .select(*keys, F.expr(rank).alias("rank"), F.explode(LINES.cover(first, last)).alias("_at"))
         .groupBy(*keys, "_at.level", "_at.block")
-        .agg(F.min(out).alias(out))
+        .agg(F.min("rank").alias("rank"))
     )
     asked = wanted.select(*keys, point, F.explode(LINES.all_blocks(point)).alias("_at")).select(
         *keys, point, "_at.level", "_at.block"
     )
     # min() skips NULL, so the points themselves keep the unmatched ones alive.
-    unmatched = wanted.select(*keys, point, F.lit(None).cast(registered.schema[out].dataType).alias(out))
-    hits = asked.join(registered, [*keys, "level", "block"]).select(*keys, point, out)
-    return hits.unionByName(unmatched).groupBy(*keys, point).agg(F.min(out).alias(out))
+    unmatched = wanted.withColumn("rank", F.lit(None).cast("bigint"))
+    # Both sides are far larger than their source files; do not let an estimate broadcast one.
+    hits = asked.join(registered.hint("merge"), [*keys, "level", "block"]).select(*keys, point, "rank")
+    best = hits.unionByName(unmatched).groupBy(*keys, point).agg(F.min("rank").alias("rank"))
+    start = f"int({(1 << BITS) - 1}L - (rank & {(1 << BITS) - 1}L))"
+    return best.selectExpr(
+        *keys, point, f"{start} as {first}", f"int({start} + shiftright(rank, {BITS})) as {last}"
+    )

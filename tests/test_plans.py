@@ -67,14 +67,14 @@ def test_innermost_equals_brute_force(spark, monkeypatch, step, levels):
     scopes = [("f", i, a := rng.randint(1, 300), a + rng.choice([0, 3, 40, 500])) for i in range(60)]
     points = [("f", rng.randint(1, 900)) for _ in range(200)] + [("g", 7)]
     ranges = spark.createDataFrame(scopes, "file string, id int, lo int, hi int")
-    best = F.struct((F.col("hi") - F.col("lo")).alias("size"), F.col("id"))
     found = enclosing.innermost(
-        spark.createDataFrame(points, "file string, at int"), ranges, ["file"], "at", "lo", "hi", best, "best"
+        spark.createDataFrame(points, "file string, at int"), ranges, ["file"], "at", "lo", "hi"
     )
     want = {
-        (f, p): min(((hi - lo, i) for g, i, lo, hi in scopes if g == f and lo <= p <= hi), default=None) for f, p in points
+        (f, p): min(((hi - lo, -lo, lo, hi) for g, i, lo, hi in scopes if g == f and lo <= p <= hi), default=(0, 0, None, None))[2:]
+        for f, p in points
     }
-    assert {(r.file, r.at): tuple(r.best) if r.best else None for r in found.collect()} == want
+    assert {(r.file, r.at): (r.lo, r.hi) for r in found.collect()} == want
 
 
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
