@@ -42,7 +42,9 @@ def register(catalog: Catalog) -> None:
         + ", ".join(f"('{a}', '{b}')" for a, b in TERMS)
         + ") t(term, replacement) where contains(text, term) group by conv_id, term, replacement",
     )
-    commands = "concat('git clean -fd ', left(text, 200), case when doc_id % 3 = 0 then ' .reviews/x.json' else ' other/' end)"
+    # A log entry is the document with one more command at its end.
+    commands = "concat(text, '\\ngit clean -fd ', case when doc_id % 3 = 0 then ' .reviews/x.json' else ' other/' end)"
+    duck_commands = commands.replace("\\n", "' || chr(10) || '")
     add(
         "b11_destructive_commands",
         lambda s, d: documents(s, d)
@@ -50,7 +52,7 @@ def register(catalog: Catalog) -> None:
         .where(X.is_destructive(F.col("command"), r"\.reviews"))
         .select("doc_id"),
         rf"""select doc_id from documents where
-          regexp_matches({commands}, '(rm|rmdir|Remove-Item|find.*-delete|git\s+clean).*\.reviews')""",
+          regexp_matches({duck_commands}, '(rm|rmdir|Remove-Item|find.*-delete|git\s+clean).*\.reviews')""",
     )
     nested = "text"
     for a, b in PAIRS:
@@ -71,10 +73,10 @@ def register(catalog: Catalog) -> None:
     add(
         "f09_slugs",
         lambda s, d: documents(s, d).select(
-            "doc_id", slug_of(F.concat(F.lit("docs/Plans/"), "source", F.lit(" Plan "), F.left("text", F.lit(5)), F.lit(".md"))).alias("slug")
+            "doc_id", slug_of(F.concat(F.lit("docs/Plans/"), "source", F.lit(" Plan "), "lang", F.lit(" X"), "n_chars", F.lit(".md"))).alias("slug")
         ),
-        r"""select doc_id, replace(lower(regexp_replace(regexp_extract('docs/Plans/' || source || ' Plan ' || left(text, 5)
-          || '.md', '([^/]*)$', 1), '\.md$', '')), ' ', '-') as slug from documents""",
+        r"""select doc_id, replace(lower(regexp_replace(regexp_extract('docs/Plans/' || source || ' Plan ' || lang
+          || ' X' || n_chars || '.md', '([^/]*)$', 1), '\.md$', '')), ' ', '-') as slug from documents""",
     )
     add(
         "d07_first_label",

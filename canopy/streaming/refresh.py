@@ -73,3 +73,12 @@ def current_nodes(spark: SparkSession, root: str) -> DataFrame:
         .select("file_path", F.col("v.version").alias("version"))
     )
     return changes.join(live, ["file_path", "version"]).select(*NODE_SCHEMA.fieldNames())
+
+
+def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
+    """Write the current table as the start of a new change history at ``target``.
+
+    The old history stays as it is until the caller drops it.
+    """
+    changes_of(current_nodes(spark, root), 0).write.mode("error").parquet(f"{target}/data/batch=-1")
+    return current_nodes(spark, target)

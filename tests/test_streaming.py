@@ -40,6 +40,8 @@ def test_refresh_sees_only_whole_versions_and_survives_a_replay(spark, nodes_of,
     assert sorted(rows(refresh.current_nodes(spark, root), "file_path", "name", "node_id")) == second
     refresh.deletions_of(spark.createDataFrame([("b",)], "file_path string"), 3).write.mode("append").parquet(incoming)
     assert run() == second[:2]
+    packed = refresh.compact(spark, root, str(tmp_path / "packed"))
+    assert sorted(rows(packed, "file_path", "name", "node_id")) == second[:2]
 
 
 def _write(spark, path, data):

@@ -196,3 +196,12 @@ def test_corpus_scan_skips_excluded_folders(spark, tmp_path):
 def test_slug_rule(spark):
     df = spark.createDataFrame([("docs/My Plan.md",), ("P8-002-Pipe",)], "p string")
     assert rows(df.select(slug_of(F.col("p")))) == [("my-plan",), ("p8-002-pipe",)]
+
+
+def test_views_answer_sql(spark, nodes_of):
+    from canopy.api import register_views
+
+    nodes = nodes_of([{"name": "f", "semantic_type": FUNC, "type": "function_declaration"}])
+    register_views(nodes)
+    got = spark.sql("select name, kind from ast_symbols join function_metrics using (name, file_path) where cyclomatic = 1")
+    assert rows(got) == [("f", "function")]
