@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.plans.numbering import HOT_ROWS, numbered, running_sum
+from canopy.plans.numbering import HOT_ROWS, key_sizes, numbered, running_sum
 from canopy.plans.paging import PAGE, paged_list
 
 # Verdicts from mild to severe; anything else ranks 0 and counts as missing.
@@ -226,7 +226,8 @@ def interleave(
     """
     keyed = members.withColumn("_by", F.col(order) if seed is None else F.xxhash64(order, F.lit(seed)))
     sizes = members.groupBy(group).agg(F.count("*").alias("_size"))
-    ranked = numbered(keyed, [group], ["_by", order], "_rank", sized_by=members.select(group), hot_rows=hot_rows)
+    top = key_sizes(members, [group])
+    ranked = numbered(keyed, [group], ["_by", order], "_rank", sizes=top, hot_rows=hot_rows)
     placed = ranked.join(sizes, group).withColumn("position", (F.col("_rank") - 0.5) / F.col("_size"))
     return placed.drop("_by", "_rank", "_size").orderBy("position", group)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,19 @@ MAX_SLICES = 20_000
 COPY_BLOCK = 65_536
 
 
+class KeySizes(NamedTuple):
+    """Rows of the largest key, and rows in all."""
+
+    largest: int
+    total: int
+
+
+def key_sizes(df: DataFrame, keys: list[str]) -> KeySizes:
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    top = per_key.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    return KeySizes(top.largest or 0, top.total or 0)
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
@@ -32,19 +46,18 @@ def running_sum(
     value: str | None,
     out: str,
     *,
-    sized_by: DataFrame | None = None,
+    sizes: KeySizes | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the same key.
 
     ``value=None`` counts rows. ``order`` must decide between any two rows
-    that differ. ``sized_by`` may name a cheaper relation with the same key
-    sizes for the lookup.
+    that differ. ``sizes`` may hand in an upper bound that is cheaper to find
+    than the key sizes of ``df``.
     """
-    sizes = (sized_by if sized_by is not None else df).groupBy(*keys).agg(F.count("*").alias("n"))
-    top = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    top = sizes if sizes is not None else key_sizes(df, keys)
     amount = F.coalesce(F.col(value), F.lit(0)).cast("bigint") if value else F.lit(1).cast("bigint")
-    if (top.largest or 0) <= hot_rows:
+    if top.largest <= hot_rows:
         earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(amount).over(earlier), F.lit(0).cast("bigint")))
     slices = min(MAX_SLICES, max(2, -(-top.total // min(SLICE_ROWS, hot_rows))))
@@ -96,9 +109,9 @@ def numbered(
     order: list[str],
     out: str,
     *,
-    sized_by: DataFrame | None = None,
+    sizes: KeySizes | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the 1-based row number inside the key."""
-    counted = running_sum(df, keys, order, None, out, sized_by=sized_by, hot_rows=hot_rows)
+    counted = running_sum(df, keys, order, None, out, sizes=sizes, hot_rows=hot_rows)
     return counted.withColumn(out, F.col(out) + 1)

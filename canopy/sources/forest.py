@@ -12,9 +12,10 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from canopy.nodes import PARAMETER
-from canopy.plans.numbering import HOT_ROWS, numbered, running_sum
+from canopy.nodes import PARAMETER, clustered
+from canopy.plans.numbering import HOT_ROWS, KeySizes, key_sizes, numbered, running_sum
 from canopy.session import pinned_table, written
 
 # Snapshot name -> (customer filter, order filter).
@@ -30,8 +31,16 @@ LINE_ORDER = [
 ]
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """One of the given tables; its schema is read from the files once per application."""
+    path = os.path.join(folder, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def _customers(spark: SparkSession, folder: str, keep: str, odd_ending: str) -> DataFrame:
@@ -51,9 +60,20 @@ def _lines(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return lines.join(table(spark, folder, "part").select("p_partkey", *extra), F.expr("l_partkey = p_partkey"))
 
 
-def _numbered_lines(spark: SparkSession, folder: str, lines: DataFrame, hot_rows: int) -> DataFrame:
-    sizes = table(spark, folder, "lineitem").select("l_orderkey")
-    return numbered(lines, ["l_orderkey"], LINE_ORDER, "ln", sized_by=sizes, hot_rows=hot_rows)
+def _sizes(spark: SparkSession, folder: str) -> tuple[KeySizes, KeySizes]:
+    """Upper bounds of orders per customer and of customers per file, from single key columns."""
+    return (
+        key_sizes(table(spark, folder, "orders"), ["o_custkey"]),
+        key_sizes(table(spark, folder, "customer"), ["c_nationkey"]),
+    )
+
+
+def _numbered_lines(lines: DataFrame, parents: DataFrame, held: DataFrame, hot_rows: int) -> DataFrame:
+    """Lines joined with their order's node and numbered in it; ``held`` has the line count per order."""
+    top = held.agg(F.max("held").alias("largest"), F.sum("held").alias("total")).first()
+    joined = lines.join(parents, F.expr("l_orderkey = o_orderkey"))
+    sizes = KeySizes(top.largest or 0, top.total or 0)
+    return numbered(joined, ["l_orderkey"], LINE_ORDER, "ln", sizes=sizes, hot_rows=hot_rows)
 
 
 def _big(value: Column | int) -> Column:
@@ -71,6 +91,7 @@ def scope_forest(spark: SparkSession, folder: str, snapshot: str = "current", ho
         .join(customers.select("c_custkey"), F.expr("o_custkey = c_custkey"), "left_semi")
     )
     lines = _lines(spark, folder, "p_brand")
+    per_owner, per_file = _sizes(spark, folder)
 
     held = lines.groupBy("l_orderkey").agg(F.count("*").alias("held"))
     sized = orders.join(held, F.expr("o_orderkey = l_orderkey"), "left").select(
@@ -78,7 +99,7 @@ def scope_forest(spark: SparkSession, folder: str, snapshot: str = "current", ho
     )
     sized = running_sum(
         sized.withColumn("size", F.col("held") + 1), ["o_custkey"], ["o_orderkey"], "size", "before",
-        sized_by=orders.select("o_custkey"), hot_rows=hot_rows,
+        sizes=per_owner, hot_rows=hot_rows,
     )
     sized = written(sized)  # read three times below
 
@@ -94,7 +115,7 @@ def scope_forest(spark: SparkSession, folder: str, snapshot: str = "current", ho
     )
     functions = running_sum(
         functions, ["file_path"], ["c_custkey"], "size", "before",
-        sized_by=customers.select("file_path"), hot_rows=hot_rows,
+        sizes=per_file, hot_rows=hot_rows,
     ).withColumn("function_id", F.col("before") + 1)
     functions = written(functions)
 
@@ -129,8 +150,7 @@ def scope_forest(spark: SparkSession, folder: str, snapshot: str = "current", ho
             F.when(status == "F", "FLOW_CONDITIONAL").when(status == "O", "FLOW_LOOP").otherwise("FLOW_JUMP"),
             F.col("held"), F.col("held")))
         .unionByName(rows(
-            _numbered_lines(spark, folder, lines, hot_rows)
-            .join(statements.select("o_orderkey", "file_path", "statement_id"), F.expr("l_orderkey = o_orderkey")),
+            _numbered_lines(lines, statements.select("o_orderkey", "file_path", "statement_id"), sized, hot_rows),
             3, F.col("statement_id") + F.col("ln"), F.col("statement_id"), "p_brand", F.lit("call_expression"),
             F.lit("COMPUTATION_CALL"), F.lit(0), F.lit(0)))
     )
@@ -163,14 +183,15 @@ def type_forest(spark: SparkSession, folder: str, snapshot: str = "current", hot
         .withColumn("in_struct", F.col("o_custkey") % 4 != 0)
     )
     lines = _lines(spark, folder, "p_type", "p_brand")
+    per_owner, per_file = _sizes(spark, folder)
 
     held = lines.groupBy("l_orderkey").agg(F.count("*").alias("held"))
     below_field = F.when(F.col("in_struct"), F.coalesce("held", F.lit(0))).otherwise(0)
     fields = orders.join(held, F.expr("o_orderkey = l_orderkey"), "left").select(
-        *orders.columns, (below_field + 1).alias("size")
+        *orders.columns, below_field.alias("held"), (below_field + 1).alias("size")
     )
     fields = running_sum(
-        fields, ["o_custkey"], ["o_orderkey"], "size", "before", sized_by=orders.select("o_custkey"), hot_rows=hot_rows
+        fields, ["o_custkey"], ["o_orderkey"], "size", "before", sizes=per_owner, hot_rows=hot_rows
     )
     fields = written(fields)
     per_customer = fields.groupBy("o_custkey").agg(F.sum("size").alias("below"))
@@ -180,7 +201,7 @@ def type_forest(spark: SparkSession, folder: str, snapshot: str = "current", hot
         *customers.columns, (own + F.coalesce("below", F.lit(0))).alias("size")
     )
     specs = running_sum(
-        specs, ["file_path"], ["c_custkey"], "size", "before", sized_by=customers.select("file_path"), hot_rows=hot_rows
+        specs, ["file_path"], ["c_custkey"], "size", "before", sizes=per_file, hot_rows=hot_rows
     ).withColumn("spec_id", F.col("before") + 1)
     specs = written(specs)
 
@@ -209,8 +230,7 @@ def type_forest(spark: SparkSession, folder: str, snapshot: str = "current", hot
         rows(placed, F.when(col("in_struct"), 4).otherwise(3), col("field_id"), col("holder_id"),
              F.concat(lit("m"), (col("o_orderkey") % 50).cast("string")),
              F.when(col("in_struct"), "field_declaration").otherwise("method_elem"), col("o_orderpriority")),
-        rows(_numbered_lines(spark, folder, lines, hot_rows)
-             .join(placed.where("in_struct").select("file_path", "o_orderkey", "field_id"), F.expr("l_orderkey = o_orderkey")),
+        rows(_numbered_lines(lines, placed.where("in_struct").select("file_path", "o_orderkey", "field_id"), fields, hot_rows),
              lit(5), col("field_id") + col("ln"), col("field_id"), lit(""),
              F.when(flag == "A", "qualified_type").when(flag == "N", "pointer_type").otherwise("type_identifier"),
              F.concat("p_type", lit("."), "p_brand")),
@@ -221,11 +241,6 @@ def type_forest(spark: SparkSession, folder: str, snapshot: str = "current", hot
     return forest
 
 
-def clustered(nodes: DataFrame) -> DataFrame:
-    """Range-cluster by (file_path, node_id), so that a path filter can skip row groups."""
-    return nodes.repartitionByRange("file_path", "node_id").sortWithinPartitions("file_path", "node_id")
-
-
 def built_forest(spark: SparkSession, folder: str, kind: str = "scope", snapshot: str = "current") -> DataFrame:
     """The node table as queries use it: built once per application, then read from Parquet."""
     build = {"scope": scope_forest, "type": type_forest}[kind]

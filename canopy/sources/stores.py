@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopy.nodes import clustered
 from canopy.operators.planning import PLANNING_SCHEMA
 
 
@@ -32,13 +33,12 @@ def replace_by_key(base: DataFrame, updates: DataFrame, keys: list[str]) -> Data
 
 
 def rebuild(nodes: DataFrame, path: str, *, by_folder: bool = False) -> DataFrame:
-    """Create or replace the node table at ``path``, range-clustered by file and position."""
-    laid_out = nodes.repartitionByRange("file_path", "node_id").sortWithinPartitions("file_path", "node_id")
-    writer = laid_out.write.mode("overwrite")
+    """Create or replace the node table at ``path``, optionally partitioned by first folder."""
+    laid_out = clustered(nodes)
     if by_folder:
         laid_out = laid_out.withColumn("folder", F.substring_index("file_path", "/", 1))
-        writer = laid_out.write.mode("overwrite").partitionBy("folder")
-    writer.parquet(path)
+    writer = laid_out.write.mode("overwrite")
+    (writer.partitionBy("folder") if by_folder else writer).parquet(path)
     return nodes.sparkSession.read.parquet(path)
 
 
