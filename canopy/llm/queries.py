@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import sql, warc
+from canopy.llm import html, sql, warc
 from canopy.llm.common import table
 
 
@@ -12,5 +12,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def register(catalog) -> None:
+    catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)
