@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import html, sql, warc
+from canopy.llm import bpe, html, sql, warc
 from canopy.llm.common import table
 
 
@@ -12,10 +12,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def tokenizer_path() -> str:
+    """The rank file of the installed public tokenizers, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def register(catalog) -> None:
+    catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)
