@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import bpe, html, sql, warc
+from canopy.llm import bpe, html, merkle, sql, warc
 from canopy.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The rank file of the installed public tokenizers, the same on every machine."""
     import public_tokenizers
@@ -28,6 +32,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(catalog) -> None:
+    catalog.add("op5_fingerprints", op5_fingerprints)
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)
