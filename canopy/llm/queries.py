@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canopy.llm import bpe, html, merkle, sql, warc
+from canopy.llm import bpe, decontaminate, html, merkle, sql, warc
 from canopy.llm.common import table
 
 
@@ -12,6 +13,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -32,6 +39,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(catalog) -> None:
+    catalog.add("op1_decontaminate", op1_decontaminate, sql.DECONTAMINATE)
     catalog.add("op5_fingerprints", op5_fingerprints)
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)

@@ -13,3 +13,29 @@ select page_id, url, payload_bytes, payload_digest,
        case when payload_bytes >= 100 and page_id <> first_page then first_page end as refers_to
 from d
 """
+
+# Words as in the contract; the windows of items joined with the windows of documents word for word.
+DECONTAMINATE = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), iw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(list_slice(w, s, s + 9), ' ') as words
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) as s from iw)
+), sizes as (select distinct size from windows
+), places as (
+  select doc_id, size, s, array_to_string(list_slice(w, s, s + size - 1), ' ') as words
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as s from dw, sizes where len(w) >= size)
+), hits as (
+  select distinct doc_id, item_id, s, size from places join windows using (size, words)
+), spots as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from hits) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as i from hits) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join spots using (doc_id) left join items using (doc_id)
+"""
