@@ -84,3 +84,16 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> list[tuple[bytes, int]]:
+    """At most ``max_rows`` pairs (text, label) to learn from, outside fold 0, in an order that the ids decide.
+
+    The sampled ids are sent to the tasks (``max_rows`` bounds them), so texts are not shuffled. Null labels, ids and
+    texts are no examples; repeated rows may count as often as they occur.
+    """
+    usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    some = usable.select("doc_id", F.col(column).cast("int").alias("_label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(max_rows)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_label", F.xxhash64("text")).limit(max_rows)
+    return [(row.text.encode("utf-8"), row._label) for row in rows.collect()]

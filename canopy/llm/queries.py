@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, decontaminate, html, merkle, sql, warc
+from canopy.llm import bpe, decontaminate, html, merkle, sql, toxicity, warc
 from canopy.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagger = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, tagger).select("doc_id", "held_out", "score", "predicted", "n_toxic")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register(catalog) -> None:
     catalog.add("op1_decontaminate", op1_decontaminate, sql.DECONTAMINATE)
+    catalog.add("op3_toxicity", op3_toxicity)
     catalog.add("op5_fingerprints", op5_fingerprints)
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
