@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, decontaminate, html, merkle, sql, toxicity, warc
+from canopy.llm import bpe, decontaminate, html, jaccard, merkle, quality, sql, toxicity, warc
 from canopy.llm.common import table
 
 
@@ -25,10 +25,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, tagger).select("doc_id", "held_out", "score", "predicted", "n_toxic")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path() -> str:
     """The rank file of the installed public tokenizers, the same on every machine."""
     import public_tokenizers
@@ -47,7 +56,9 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(catalog) -> None:
     catalog.add("op1_decontaminate", op1_decontaminate, sql.DECONTAMINATE)
     catalog.add("op3_toxicity", op3_toxicity)
+    catalog.add("op4_jaccard", op4_jaccard, sql.JACCARD)
     catalog.add("op5_fingerprints", op5_fingerprints)
+    catalog.add("op7_quality", op7_quality)
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)

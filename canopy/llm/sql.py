@@ -39,3 +39,26 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join spots using (doc_id) left join items using (doc_id)
 """
+
+# Sets of 5-word shingles, all pairs with a common shingle compared, components by reachability over links.
+JACCARD = r"""
+with recursive dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, s, s + 4), ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as s from dw)
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), sets as (select doc_id, md5(string_agg(g, '|' order by g)) as k from shingles group by doc_id
+), heads as (select k, min(doc_id) as head from sets group by k
+), own as (select s.doc_id, s.g from shingles s join heads h on s.doc_id = h.head
+), common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared from own a join own b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared >= 80 * (p.n + q.n - shared)
+), edges as (select x, y from links union select y, x from links
+), reach(x, y) as (
+  select head, head from heads union select r.x, e.y from reach r join edges e on r.y = e.x
+), lowest as (select y, min(x) as low from reach group by y)
+select dw.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(low, dw.doc_id) as component_id
+from dw left join sizes using (doc_id) left join sets using (doc_id) left join heads using (k) left join lowest on lowest.y = head
+"""
