@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, decontaminate, html, jaccard, merkle, quality, sql, toxicity, warc
+from canopy.llm import bpe, decontaminate, html, jaccard, merkle, quality, sql, substrings, toxicity, warc
 from canopy.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tagger = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -55,6 +59,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register(catalog) -> None:
     catalog.add("op1_decontaminate", op1_decontaminate, sql.DECONTAMINATE)
+    catalog.add("op2_substrings", op2_substrings)
     catalog.add("op3_toxicity", op3_toxicity)
     catalog.add("op4_jaccard", op4_jaccard, sql.JACCARD)
     catalog.add("op5_fingerprints", op5_fingerprints)
