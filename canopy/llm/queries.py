@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, decontaminate, html, jaccard, merkle, quality, sql, substrings, toxicity, warc
+from canopy.llm import bpe, decontaminate, html, jaccard, merkle, pii, quality, sql, substrings, toxicity, warc
 from canopy.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), counter="n_entities")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +67,7 @@ def register(catalog) -> None:
     catalog.add("op3_toxicity", op3_toxicity)
     catalog.add("op4_jaccard", op4_jaccard, sql.JACCARD)
     catalog.add("op5_fingerprints", op5_fingerprints)
+    catalog.add("op6_pii", op6_pii)
     catalog.add("op7_quality", op7_quality)
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
