@@ -39,7 +39,7 @@ def fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``function`` over the record batches of ``df``; both sides stay bounded by the batch size."""
     prepare(df.sparkSession)
 

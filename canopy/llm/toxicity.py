@@ -281,3 +281,14 @@ def _spans(text: bytes, marginals: np.ndarray) -> list[dict]:
 def _shifts(plain: str) -> list[int]:
     """For texts whose lower case has another length: the original position of every lower-case character."""
     return [at for at, c in enumerate(plain) for _ in c.lower()]
+
+
+def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5, with all their columns; texts are not shuffled."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [words_of(text) for text in utf8(batch.column("text"))]
+        scores = np.full(len(texts), tagger.share) if tagger.field is None else tagger.score(tagger.tag(texts))
+        yield batch.filter(pa.array(scores < 0.5))
+
+    return over_batches(docs, run, docs.schema)
