@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
     """Learn from at most ``sample_rows`` labelled documents outside fold 0."""
     sample = list(dict(labelled_sample(docs, labels, "quality", sample_rows)).items())
     share = sum(y for _, y in sample) / len(sample) if sample else 0.5
-    return Scorer(train(sample) if 0 < share < 1 else None, share)
+    return Scorer(train(sample) if sample and 0 < share < 1 else None, share)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:

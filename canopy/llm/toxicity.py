@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     """Learn from at most ``sample_rows`` labelled documents outside fold 0."""
     sample = labelled_sample(docs, labels, "toxic", sample_rows)
     share = sum(y for _, y in sample) / len(sample) if sample else 0.5
-    if not 0 < share < 1:
+    if not sample or not 0 < share < 1:
         return Tagger(None, np.zeros(3), share)
     unique = dict(sample)
     texts, y = [words_of(text) for text in unique], [int(v > 0) for v in unique.values()]
