@@ -18,7 +18,7 @@ co as (
 od as (
   select o_orderkey, o_custkey, o_orderstatus, o_orderpriority, fp
   from orders join co on o_custkey = c_custkey
-  where o_custkey % 50 <> 0 and {ORD}),
+  where {ORD}),
 raw as (
   select fp as file_path, 0 as depth, -1 as k1, -1 as k2, -1 as k3, max(n_name) as name,
     'source_file' as type, 'DEFINITION_MODULE' as semantic_type from co group by fp
@@ -74,7 +74,7 @@ co as (
 od as (
   select o_orderkey, o_custkey, o_orderpriority, fp, tk
   from orders join co on o_custkey = c_custkey
-  where o_custkey % 100 <> 0 and {ORD}),
+  where {ORD}),
 raw as (
   select fp as file_path, 0 as depth, -1 as k1, -1 as k2, -1 as k3, -1 as k4, fp as name,
     'source_file' as type, '' as peek from co group by fp

@@ -65,10 +65,10 @@ def register(catalog: Catalog) -> None:
     add(
         "b07_valid_slugs",
         lambda s, d: table(s, d, "pages")
-        .select("page_id", F.explode(F.split(F.regexp_replace("url", r"^https?:/", ""), "/", 2)).alias("segment"))
+        .select("page_id", F.explode(F.split(F.regexp_replace("url", r"^https?:/", ""), "/")).alias("segment"))
         .select("page_id", "segment", is_valid_slug(F.col("segment")).alias("valid")),
         r"""select page_id, segment, segment <> '' and not regexp_matches(segment, '[/\\]') as valid from (
-          select page_id, unnest(['', regexp_replace(url, '^https?://', '')]) as segment from pages)""",
+          select page_id, unnest(string_split(regexp_replace(url, '^https?:/', ''), '/')) as segment from pages)""",
     )
     add(
         "f09_slugs",
@@ -187,19 +187,19 @@ def register(catalog: Catalog) -> None:
     add(
         "d15_dependency_chains",
         lambda s, d: gate.dependency_chains(
-            table(s, d, "conversations").where("turn > 0").selectExpr("conv_id * 1000 + turn as id", "conv_id * 1000 + turn - 1 as depends_on")
+            table(s, d, "conversations").where("turn > 0").selectExpr("concat(conv_id, '-', turn) as id", "concat(conv_id, '-', turn - 1) as depends_on")
         ),
-        """select conv_id * 1000 + turn as id, cast(least(turn, 4) as int) as chain, turn > 3 as over_limit
+        """select distinct conv_id || '-' || turn as id, cast(turn as bigint) as chain, turn > 3 as over_limit, false as cyclic
           from conversations where turn > 0""",
     )
 
     def artifacts(s, d):
-        title = F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.left("text", F.lit(30)))
+        title = F.when(F.col("doc_id") % 10 == 0, "\u3000\t\u00a0").otherwise(F.concat("lang", F.lit(" document of "), "source"))
         slug = F.when(F.col("doc_id") % 13 == 5, F.concat("lang", F.lit("/x"))).otherwise(F.concat("lang", F.lit("-"), "doc_id"))
         first = F.when(F.col("doc_id") % 7 == 3, "../up.md").otherwise(F.concat(F.lit("docs/../docs/tasks/"), "source", F.lit(".md")))
         return documents(s, d).select(
             "doc_id", title.alias("title"), slug.alias("slug"), "source", F.col("text").alias("summary"),
-            F.col("lang").alias("api_surface"), F.col("n_chars").cast("string").alias("constraints"),
+            F.concat("lang", F.lit("\u00a0key\u3000facts")).alias("api_surface"), F.col("n_chars").cast("string").alias("constraints"),
             F.col("source").alias("anti_patterns"),
             F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("minimal_examples"),
             F.array(first, F.concat(F.lit("docs/tasks/"), "lang", F.lit(".md"))).alias("referenced_by"),
@@ -212,10 +212,10 @@ def register(catalog: Catalog) -> None:
         lambda s, d: textscan.validate_artifacts(artifacts(s, d)).select("doc_id", "error"),
         f"select doc_id, {error} as error from documents",
     )
-    content = """'# Artifact: ' || left(text, 30) || chr(10) || chr(10) || '**Primary Source:** ' || source || chr(10)
+    content = """'# Artifact: ' || lang || ' document of ' || source || chr(10) || chr(10) || '**Primary Source:** ' || source || chr(10)
       || '**Date:** 2024-01-01' || chr(10) || '**Produced by:** planner' || chr(10) || '**Referenced by:** ' || links || chr(10)
       || chr(10) || '---' || chr(10) || chr(10) || '## Summary' || chr(10) || text || chr(10) || chr(10)
-      || '## API Surface / Key Facts' || chr(10) || lang || chr(10) || chr(10) || '## Constraints' || chr(10) || n_chars || chr(10)
+      || '## API Surface / Key Facts' || chr(10) || lang || chr(160) || 'key' || chr(12288) || 'facts' || chr(10) || chr(10) || '## Constraints' || chr(10) || n_chars || chr(10)
       || chr(10) || '## Anti-Patterns' || chr(10) || source || chr(10)
       || case when doc_id % 2 = 0 then chr(10) || '## Minimal Examples' || chr(10) || lang || chr(10) else '' end"""
     add(
@@ -223,7 +223,7 @@ def register(catalog: Catalog) -> None:
         lambda s, d: textscan.assemble_artifacts(artifacts(s, d), F.lit("2024-01-01"), "planner").select(
             "slug", "path", "links", "word_count", F.md5("content").alias("content_md5")
         ),
-        rf"""select slug, path, links, cast(len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) as bigint)
+        rf"""select slug, path, links, cast(len(list_filter(regexp_split_to_array(content, '{X.WHITE_SPACE}+'), lambda w: w <> '')) as bigint)
           as word_count, md5(content) as content_md5 from (
           select *, {content} as content from (
           select *, lang || '-' || doc_id as slug, 'docs/artifacts/2024-01-01-' || lang || '-' || doc_id || '.md' as path,

@@ -7,6 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The white space of Unicode, as a character class that Java and RE2 read alike.
+WHITE_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 # Messages that mean a reviewer is blocked by policy.
 UNAVAILABLE_MESSAGES = (
     "model is not supported",
@@ -65,9 +68,14 @@ def matching_lines(text: Column, pattern: str) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(pattern))).cast("bigint")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"\A{WHITE_SPACE}+|{WHITE_SPACE}+\z", "")
+
+
 def word_count(text: Column) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("bigint")
+    return F.size(F.filter(F.split(text, f"{WHITE_SPACE}+"), lambda w: w != "")).cast("bigint")
 
 
 def clean_path(path: Column) -> Column:

@@ -37,4 +37,6 @@ def function_callers(nodes: DataFrame, file_pattern: Globs, func_name: str) -> D
     """
     tree = scan_nodes(nodes, file_pattern)
     calls = tree.where(P.is_call() & (F.col("name") == func_name))
-    return _resolved(tree, calls).orderBy("file_path", "call_line")
+    # Only the scopes of files that hold such a call can enclose one.
+    called = tree.join(calls.select("file_path").distinct(), "file_path", "left_semi")
+    return _resolved(called, calls).orderBy("file_path", "call_line")

@@ -60,13 +60,14 @@ def changed_function_summary(nodes: DataFrame, changes: DataFrame, file_pattern:
     """Definitions in added or modified files, most complex first.
 
     ``changes`` (file_path, status) may name files by a shorter path than the
-    node table does. Paths are matched once per file, not per definition.
+    node table does. Paths are matched once per file, not per definition, and only the matched files are measured.
     """
     tree = scan_nodes(nodes, file_pattern)
     wanted = changes.where(F.col("status").isin("added", "modified")).select(
         F.col("file_path").alias("changed_path"), F.col("status").alias("change_status")
     )
     files = match_suffix(tree, wanted).select("file_path", "change_status")
+    tree = tree.join(files.select("file_path").distinct(), "file_path", "left_semi")
     defs = _top_definitions(tree).select(
         "file_path", "name", F.col("semantic_type").alias("kind"), "start_line",
         (F.col("end_line") - F.col("start_line") + 1).alias("lines"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import written
+
 # Largest sizes of one task.
 MAX_FILES = 10
 MAX_TESTS = 20
@@ -18,7 +20,7 @@ def is_done(text: Column, strict: bool = False) -> Column:
     passes. The strict form wants the value itself to be Done or Completed.
     """
     if strict:
-        return text.rlike(r"(?im)^\W*Status\W*\s*(Done|Completed)\b")
+        return text.rlike(r"(?im)^[^\w\n]*Status[^\w\n]*(Done|Completed)\b")
     return text.rlike(r"(?i)Status.*(Done|Completed)")
 
 
@@ -105,16 +107,30 @@ def size_limits(tasks: DataFrame, key: str, files: str, tests: str) -> DataFrame
 
 
 def dependency_chains(edges: DataFrame, limit: int = MAX_CHAIN) -> DataFrame:
-    """Length of the longest chain below each task, as far as ``limit + 1``, and whether it is over.
+    """Length of the longest chain below each task, whether it is over ``limit``, and whether it runs into a cycle.
 
-    ``edges`` (id, depends_on). A task has a chain of k + 1 if it depends on
-    one with a chain of k, so one more than the limit is enough to decide, and
-    a cycle ends there too.
+    ``edges`` (id, depends_on). Walks of 1, 2, 4 ... steps are found by joining walks with themselves; then every task
+    takes the largest of these steps that some walk from its present ends allows, from long to short. So a chain of n
+    tasks takes about 2 log2(n) joins. A walk longer than there are tasks repeats one: its task has no longest
+    chain, ``chain`` is NULL, ``over_limit`` and ``cyclic`` are true.
     """
-    links = edges.select("id", "depends_on").where("depends_on is not null").distinct()
-    chains = links.select("id").distinct().withColumn("chain", F.lit(1))
-    for _ in range(limit):
-        below = chains.select(F.col("id").alias("depends_on"), "chain")
-        longer = F.max(F.coalesce("chain", F.lit(0)) + 1).alias("chain")
-        chains = links.join(below, "depends_on", "left").groupBy("id").agg(longer)
-    return chains.select("id", "chain", (F.col("chain") > limit).alias("over_limit"))
+    links = written(edges.select("id", "depends_on").where("id is not null and depends_on is not null").distinct())
+    tasks = links.select("id").union(links.select("depends_on")).distinct().count()
+    walks, cyclic = [links.select("id", F.col("depends_on").alias("at"))], None
+    while cyclic is None:
+        onward = walks[-1].select(F.col("id").alias("at"), F.col("at").alias("to"))
+        longer = written(walks[-1].join(onward, "at").select("id", F.col("to").alias("at")).distinct())
+        if longer.limit(1).count() == 0 or 2 ** len(walks) > tasks:
+            cyclic = longer.select("id").distinct()
+        else:
+            walks.append(longer)
+    ids = links.select("id").distinct()
+    ends = ids.join(cyclic, "id", "left_anti").select("id", F.col("id").alias("at"), F.lit(0).cast("bigint").alias("chain"))
+    for power in reversed(range(len(walks))):
+        step = walks[power].select(F.col("id").alias("at"), F.col("at").alias("to"))
+        moved = ends.join(step, "at").select("id", F.col("to").alias("at"), (F.col("chain") + 2**power).alias("chain")).distinct()
+        ends = written(moved.unionByName(ends.join(moved.select("id").distinct(), "id", "left_anti")))
+    chains = ends.groupBy("id").agg(F.max("chain").alias("chain"))
+    straight = chains.select("id", "chain", (F.col("chain") > limit).alias("over_limit"), F.lit(False).alias("cyclic"))
+    looped = cyclic.select("id", F.lit(None).cast("bigint").alias("chain"), F.lit(True).alias("over_limit"), F.lit(True).alias("cyclic"))
+    return straight.unionByName(looped)

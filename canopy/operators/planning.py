@@ -43,19 +43,25 @@ def capture_planning_context(
     )
 
 
+def _pinned_nodes(nodes: DataFrame, pins: DataFrame) -> DataFrame:
+    """The nodes that share name and file with some pin; the few pins may be sent to the nodes."""
+    wanted = pins.select("symbol_name", "file_path").distinct()
+    named = nodes.select(F.col("name").alias("symbol_name"), "file_path", "start_line")
+    return named.join(wanted, ["symbol_name", "file_path"], "left_semi")
+
+
 def planning_drift(planned: DataFrame, nodes: DataFrame, task_id: str) -> DataFrame:
     """Pinned symbols with a node of the same name and file on another line.
 
-    Every node of the name counts, calls included. Nodes are folded to
-    (name, file, line) with a count first, which the join then carries.
+    Every node of the name counts, calls included. Only nodes that some pin names are folded to (name, file, line)
+    with a count, which the join then carries.
     """
     pins = planned.where((F.col("task_id") == task_id) & F.col("line_start").isNotNull()).select(
         "task_id", "symbol_name", "file_path", F.col("line_start").alias("planned_line"), "captured_at"
     )
     lines = (
-        require_nodes(nodes)
-        .where("name is not null")
-        .groupBy(F.col("name").alias("symbol_name"), "file_path", F.col("start_line").alias("current_line"))
+        _pinned_nodes(require_nodes(nodes), pins)
+        .groupBy("symbol_name", "file_path", F.col("start_line").alias("current_line"))
         .agg(F.count("*").alias("times"))
     )
     moved = pins.join(lines, ["symbol_name", "file_path"]).where("current_line <> planned_line")
@@ -66,8 +72,8 @@ def planning_drift(planned: DataFrame, nodes: DataFrame, task_id: str) -> DataFr
 
 def missing_symbols(planned: DataFrame, nodes: DataFrame, task_id: str) -> DataFrame:
     """Pinned symbols that no node of the same name and file exists for any more."""
-    present = require_nodes(nodes).select(F.col("name").alias("symbol_name"), "file_path")
     pins = planned.where(F.col("task_id") == task_id)
+    present = _pinned_nodes(require_nodes(nodes), pins).select("symbol_name", "file_path").distinct()
     return pins.join(present, ["symbol_name", "file_path"], "left_anti").select("symbol_name", "file_path", "role")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.functions.text import trimmed
 from canopy.plans.numbering import HOT_ROWS, key_sizes, numbered, running_sum
-from canopy.plans.paging import PAGE, paged_list
 
 # Verdicts from mild to severe; anything else ranks 0 and counts as missing.
 VERDICTS = ("PASSED", "CONDITIONAL", "FAILED")
@@ -19,8 +19,6 @@ DEFAULT_ROUNDS = 1
 MAX_ROUNDS = 50
 SLOTS = 3
 BATCH = 5
-# A counted side up to this many narrow rows may be broadcast.
-BROADCAST_ROWS = 100_000
 
 # The reviewers used when none are named.
 DEFAULT_REVIEWERS = (
@@ -30,7 +28,13 @@ DEFAULT_REVIEWERS = (
     "vertexai/gemini-3.1-pro-preview",
     "copilot/gpt-4o",
 )
-REVIEWER_CHARACTERS = r"^[a-zA-Z0-9_./-]+$"
+# What a reviewer's name may hold.
+REVIEWER_CHARACTERS = r"\A[a-zA-Z0-9_./-]+\z"
+# The answers of the gate.
+REVIEW_REQUIRED = "adversarial review required before completing this session"
+NO_REVIEWS = "no reviews in progress"
+SOME_BLOCK = " plan(s) have FAILED or missing verdicts"
+NONE_BLOCKS = "all plans have PASSED or CONDITIONAL verdicts"
 
 
 def severity(verdict: Column) -> Column:
@@ -104,9 +108,9 @@ def append_reports(reports: DataFrame, path: str) -> None:
 
 
 def blocks(verdict: Column, exact: bool = False) -> Column:
-    """Whether a verdict, or a missing one, blocks. ``exact`` compares as written."""
+    """Whether a verdict, or a missing one, blocks; white space and case do not count. ``exact`` compares as written."""
     seen = F.coalesce(verdict, F.lit(""))
-    return ~(seen if exact else F.upper(F.trim(seen))).isin(*OPEN_VERDICTS)
+    return ~(seen if exact else F.upper(trimmed(seen))).isin(*OPEN_VERDICTS)
 
 
 STATE_SCHEMA = (
@@ -153,30 +157,22 @@ def blocking_plans(states: DataFrame, on_malformed: str = "skip", exact: bool =
     return states.where(wanted).select("plan_slug", "last_verdict", "iteration", next_slot(F.col("iteration")).alias("next_slot"))
 
 
-def review_gate(
-    states: DataFrame, *, strict: bool = False, on_malformed: str = "skip", exact: bool = False, page: int = PAGE
-) -> DataFrame:
-    """The gate's answer: blocked, reason, and the blocking plans (over several ``part`` rows if many).
+def review_gate(states: DataFrame, *, strict: bool = False, on_malformed: str = "skip", exact: bool = False) -> DataFrame:
+    """The gate's answer in one row: blocked, reason, and how many plans block; ``blocking_plans`` lists them.
 
     Without any state there is nothing to wait for, unless ``strict``.
     """
-    marked = blocking_plans(states, on_malformed, exact).select(F.lit(1).alias("one"), "plan_slug")
-    plans = paged_list(marked, ["one"], "plan_slug", "blocking_plans", page=page)
-    totals = states.agg(F.count("*").alias("states")).withColumn("one", F.lit(1))
-    joined = totals.join(plans, "one", "left")
-    n = F.coalesce("n", F.lit(0))
+    bad = F.col("malformed") if "malformed" in states.columns else F.lit(False)
+    wanted = F.when(bad, F.lit(on_malformed == "block")).otherwise(blocks(F.col("last_verdict"), exact))
+    totals = states.agg(F.count("*").alias("states"), F.count_if(wanted).alias("blocking"))
+    none = F.col("states") == 0
     reason = (
-        F.when((F.col("states") == 0) & F.lit(strict), "review required before completing this session")
-        .when(F.col("states") == 0, "no reviews in progress")
-        .when(n > 0, F.concat(n.cast("string"), F.lit(" plan(s) have FAILED or missing verdicts")))
-        .otherwise("all plans have PASSED or CONDITIONAL verdicts")
-    )
-    return joined.select(
-        ((n > 0) | ((F.col("states") == 0) & F.lit(strict))).alias("blocked"),
-        reason.alias("reason"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("blocking_plans", F.array().cast("array<string>")).alias("blocking_plans"),
+        F.when(none & F.lit(strict), REVIEW_REQUIRED)
+        .when(none, NO_REVIEWS)
+        .when(F.col("blocking") > 0, F.concat(F.col("blocking").cast("string"), F.lit(SOME_BLOCK)))
+        .otherwise(NONE_BLOCKS)
     )
+    return totals.select(((F.col("blocking") > 0) | (none & F.lit(strict))).alias("blocked"), reason.alias("reason"), "blocking")
 
 
 # --- reviewers and rotation -----------------------------------------------
@@ -193,8 +189,8 @@ def next_slot(iteration: Column) -> Column:
 
 def parse_reviewers(raw: Column, defaults: Sequence[str] = DEFAULT_REVIEWERS) -> Column:
     """Valid ``provider/model`` entries of a comma list, or the defaults if there are none."""
-    entries = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda e: F.trim(e))
-    valid = F.filter(entries, lambda e: e.rlike(REVIEWER_CHARACTERS) & e.rlike(r"^[^/]+/.+$"))
+    entries = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), trimmed)
+    valid = F.filter(entries, lambda e: e.rlike(REVIEWER_CHARACTERS) & e.rlike(r"\A[^/]+/.+\z"))
     return F.when(F.size(valid) > 0, valid).otherwise(F.array(*[F.lit(d) for d in defaults]))
 
 
@@ -224,7 +220,7 @@ def interleave(
     in ``order``, or shuffled by a seeded hash of it. Groups are spread as evenly as
     their sizes allow; equal neighbours are not ruled out.
     """
-    keyed = members.withColumn("_by", F.col(order) if seed is None else F.xxhash64(order, F.lit(seed)))
+    keyed = members.withColumn("_by", F.col(order) if seed is None else F.md5(F.concat_ws(":", F.col(order), F.lit(seed)).cast("binary")))
     sizes = members.groupBy(group).agg(F.count("*").alias("_size"))
     top = key_sizes(members, [group])
     ranked = numbered(keyed, [group], ["_by", order], "_rank", sizes=top, hot_rows=hot_rows)
@@ -251,6 +247,4 @@ def rotation_schedule(plans: DataFrame, pool: DataFrame, plan: str, rounds: str,
     )
     turn = each.withColumn("slot", F.pmod(F.col("_start") + F.col("round") - 1, F.lit(count)))
     batch = F.floor((F.col("round") - 1) / BATCH).cast("int")
-    # Few slots serve all rounds, so the pool is broadcast, but only up to a counted size.
-    side = F.broadcast(sized) if count <= BROADCAST_ROWS else sized
-    return turn.join(side, "slot").select(plan, "round", batch.alias("batch"), member)
+    return turn.join(sized, "slot").select(plan, "round", batch.alias("batch"), member)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.patterns import is_valid_slug
-from canopy.functions.text import clean_path, matching_lines, word_count
+from canopy.functions.text import clean_path, matching_lines, trimmed, word_count
 
 
 def count_matching_lines(files: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -44,7 +44,7 @@ REQUIRED_FIELDS = ("title", "source", "summary", "api_surface", "constraints", "
 
 
 def _is_blank(column: Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(column, r"\s+", " ")) == "", F.lit(True))
+    return F.coalesce(trimmed(column) == "", F.lit(True))
 
 
 def validate_artifacts(artifacts: DataFrame) -> DataFrame:
@@ -61,6 +61,7 @@ def _link(path: Column) -> Column:
     return F.concat(F.lit("["), F.regexp_replace(base, r"\.md$", ""), F.lit("](../tasks/"), base, F.lit(")"))
 
 
+# The layout of an artifact document.
 def assemble_artifacts(artifacts: DataFrame, date: Column, produced_by: str) -> DataFrame:
     """Valid artifacts with path, links, document text and its word count."""
     lit, col = F.lit, F.col

@@ -9,7 +9,6 @@ from canopy.functions import predicates as P
 from canopy.functions.patterns import ilike
 from canopy.nodes import child_of
 from canopy.plans.copies import copies_in_order
-from canopy.plans.paging import PAGE, paged_list
 
 # Node types that can be the type of a field.
 FIELD_TYPE_KINDS = (
@@ -104,18 +103,16 @@ def type_flow(nodes: DataFrame, type_name: str) -> DataFrame:
     return rows.orderBy("file_path", "start_line", "node_id").drop("node_id")
 
 
-def external_types(nodes: DataFrame, page: int = PAGE) -> DataFrame:
-    """Qualified types with usage count, and the distinct files that use them.
-
-    The file list of one type continues over further ``part`` rows past a page.
-    """
+def external_type_files(nodes: DataFrame) -> DataFrame:
+    """The files that use each qualified type, with the number of uses: one row per type and file."""
     used = nodes.where((F.col("type") == "qualified_type") & ~P.is_generated_file())
-    per_file = used.groupBy(F.col("peek").alias("external_type"), "file_path").agg(F.count("*").alias("uses"))
-    totals = per_file.groupBy("external_type").agg(F.sum("uses").alias("usage_count"))
-    lists = paged_list(per_file, ["external_type"], "file_path", "files", page=page)
-    joined = lists.join(totals, lists["external_type"].eqNullSafe(totals["external_type"])).drop(totals["external_type"])
-    rows = joined.select("external_type", "usage_count", F.col("n").alias("file_count"), "part", "files")
-    return rows.orderBy(F.desc("usage_count"), "external_type", "part")
+    return used.groupBy(F.col("peek").alias("external_type"), "file_path").agg(F.count("*").alias("uses"))
+
+
+def external_types(nodes: DataFrame) -> DataFrame:
+    """Qualified types with usage count and the number of distinct files; ``external_type_files`` lists these."""
+    totals = external_type_files(nodes).groupBy("external_type").agg(F.sum("uses").alias("usage_count"), F.count("*").alias("file_count"))
+    return totals.orderBy(F.desc("usage_count"), "external_type")
 
 
 def interfaces(nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.nodes import NODE_SCHEMA
+
 # Folders never scanned, and the extensions a corpus is typed by.
 EXCLUDED_FOLDERS = (".git", "vendor", "node_modules", "gen")
 LANGUAGE_EXTENSIONS = ("go", "py", "ts", "tsx", "js", "rs", "cpp", "c", "java")
@@ -18,20 +20,44 @@ def _excluded(relative: Column) -> Column:
     return reduce(or_, [relative.startswith(f"{folder}/") for folder in EXCLUDED_FOLDERS])
 
 
-def scan_corpus(spark: SparkSession, root: str, extension: str) -> DataFrame:
-    """Files under ``root`` with one extension: relative path, time, size and text."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*.{extension}")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
+def _scanned(spark: SparkSession, root: str, extension: str) -> DataFrame:
+    """All files with one extension but those of the excluded folders, whose content is never read.
+
+    The listing alone is looked at first; it gives the folders right below ``root``, and only the allowed ones are read.
+    """
     base = root.rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)
-    return files.select(
-        relative.alias("file_path"), F.col("modificationTime").alias("modified_at"), "length",
-        F.decode("content", "UTF-8").alias("text"),
-    ).where(~_excluded(F.col("file_path")))
+
+    def read(*paths: str, **options: str) -> DataFrame:
+        return spark.read.format("binaryFile").options(pathGlobFilter=f"*.{extension}", **options).load(list(paths))
+
+    listed = read(base, recursiveFileLookup="true").select(relative.alias("file_path"))
+    folder = F.when(F.contains("file_path", F.lit("/")), F.substring_index("file_path", "/", 1))
+    tops = {row[0] for row in listed.select(folder).distinct().collect()}
+    parts = [read(base + top, recursiveFileLookup="true") for top in sorted(t for t in tops if t is not None) if top not in EXCLUDED_FOLDERS]
+    if None in tops:
+        parts.append(read(f"{base}*.{extension}"))
+    if not parts:
+        parts = [read(base, recursiveFileLookup="true").where("false")]
+    files = reduce(DataFrame.unionByName, parts)
+    return files.select(relative.alias("file_path"), F.col("modificationTime").alias("modified_at"), "length", "content").where(
+        ~_excluded(F.col("file_path"))
+    )
+
+
+def _is_text() -> Column:
+    return F.is_valid_utf8(F.col("content").cast("string"))
+
+
+def scan_corpus(spark: SparkSession, root: str, extension: str) -> DataFrame:
+    """Files under ``root`` with one extension: relative path, time, size and text. ``scan_rejects`` has the unreadable ones."""
+    readable = _scanned(spark, root, extension).where(_is_text())
+    return readable.select("file_path", "modified_at", "length", F.col("content").cast("string").alias("text"))
+
+
+def scan_rejects(spark: SparkSession, root: str, extension: str) -> DataFrame:
+    """(file_path, reason) of the files that a scan leaves out."""
+    return _scanned(spark, root, extension).where(~_is_text()).select("file_path", F.lit("not UTF-8").alias("reason"))
 
 
 def corpus_manifest(files: DataFrame) -> DataFrame:
@@ -66,8 +92,12 @@ def dominant_extension(paths: DataFrame, path: str, extensions: Iterable[str] =
 
 
 def node_manifest(nodes: DataFrame) -> DataFrame:
-    """(file_path, content_hash) of a node table; the hash ignores row order and is combined map-side."""
-    row = F.xxhash64("node_id", "parent_id", "depth", "name", "type", "semantic_type", "descendant_count", "peek")
+    """(file_path, content_hash) of a node table; the hash ignores row order and is combined map-side.
+
+    Every column of a node counts, and a NULL differs from any value.
+    """
+    columns = [f.name for f in NODE_SCHEMA.fields if f.name != "file_path" and f.name in nodes.columns]
+    row = F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())])
     hashed = nodes.select("file_path", row.alias("h"))
     return hashed.groupBy("file_path").agg(
         F.concat_ws("-", F.count("*").cast("string"), F.hex(F.bit_xor("h")), F.sum(F.pmod("h", F.lit(1 << 31))).cast("string"))

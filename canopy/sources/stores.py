@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,43 +54,57 @@ class VersionedTable:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._pointer = f"{self.root}/_live"
 
-    def _live_path(self) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+    def _live(self) -> tuple[int, str] | None:
+        """Number and folder of the live version."""
+        if not table_exists(self.spark, self._pointer):
             return None
         rows = self.spark.read.schema("seq bigint, version string").json(self._pointer)
-        return f"{self.root}/{rows.orderBy(F.desc('seq')).first().version}"
+        last = rows.orderBy(F.desc("seq"), F.desc("version")).first()
+        return last.seq, f"{self.root}/{last.version}"
 
     def read(self) -> DataFrame:
         """The live rows; a table never written is empty."""
-        live = self._live_path()
+        live = self._live()
         if live is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(live)
+        return self.spark.read.schema(self.schema).parquet(live[1])
 
-    def write(self, rows: DataFrame, seq: int) -> None:
-        """Publish ``rows`` as version number ``seq``; the highest number is live."""
+    def write(self, rows: DataFrame, seq: int | None = None) -> None:
+        """Publish ``rows`` as version ``seq`` (by default the next one); the highest is live, on a tie the later name."""
+        if seq is None:
+            live = self._live()
+            seq = live[0] + 1 if live else 1
         version = f"v{seq:010d}-{uuid.uuid4().hex}"
         rows.select(*self.schema.fieldNames()).write.parquet(f"{self.root}/{version}")
         pointer = self.spark.createDataFrame([(seq, version)], "seq bigint, version string")
         pointer.coalesce(1).write.mode("append").json(self._pointer)
 
 
-def write_planning_context(captured: DataFrame, path: str) -> None:
-    """Replace the pinned symbols of the tasks in ``captured`` and leave other tasks alone."""
-    captured.repartition("task_id", F.pmod(F.xxhash64("file_path", "symbol_name"), F.lit(64))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("task_id").parquet(path)
+def write_planning_context(spark: SparkSession, path: str, tasks: Iterable[str], *captures: DataFrame) -> None:
+    """Replace the pinned symbols of exactly the given tasks by those in ``captures`` (one per role, say), all in one go.
+
+    A task without captured symbols is emptied; other tasks stay. The store is swapped as a whole.
+    """
+    tasks = list(tasks)
+    store = VersionedTable(spark, path, PLANNING_SCHEMA)
+    rows = store.read().where(~F.col("task_id").isin(*tasks)) if tasks else store.read()
+    for captured in captures:
+        rows = rows.unionByName(captured.where(F.col("task_id").isin(*tasks)))
+    store.write(rows)
 
 
 def read_planning_context(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PLANNING_SCHEMA).parquet(path)
+    return VersionedTable(spark, path, PLANNING_SCHEMA).read()
 
 
 def table_exists(spark: SparkSession, name_or_path: str) -> bool:
     """Whether a catalog table, or a table folder, is there to be read."""
     if "/" not in name_or_path:
         return spark.catalog.tableExists(name_or_path)
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.fspath(name_or_path))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(name_or_path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

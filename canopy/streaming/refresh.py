@@ -54,31 +54,39 @@ def start_refresh(
     )
 
 
-def current_nodes(spark: SparkSession, root: str) -> DataFrame:
-    """The node table as of the newest whole version of each file.
+def _history(spark: SparkSession, root: str) -> DataFrame:
+    """All change rows, each once: a version may be delivered again."""
+    return spark.read.schema(CHANGE_SCHEMA).parquet(f"{root}/data").dropDuplicates(["file_path", "version", "node_id"])
+
 
-    A version is whole when it has as many rows as its root nodes say, so a
+def _newest(changes: DataFrame) -> DataFrame:
+    """(file_path, version, deleted) of the newest whole version of each file.
+
+    A version is whole when it has as many nodes as its root nodes say, so a
     large file may arrive over several batches without being seen half done.
     """
-    changes = spark.read.schema(CHANGE_SCHEMA).parquet(f"{root}/data")
     expected = F.sum(F.when(F.col("depth") == 0, F.col("descendant_count") + 1))
     versions = changes.groupBy("file_path", "version").agg(
         F.max("deleted").alias("deleted"), ((expected == F.count("*")) | F.max("deleted")).alias("whole")
     )
-    live = (
-        versions.where("whole")
-        .groupBy("file_path")
-        .agg(F.max(F.struct("version", "deleted")).alias("v"))
-        .where("not v.deleted")
-        .select("file_path", F.col("v.version").alias("version"))
-    )
+    newest = versions.where("whole").groupBy("file_path").agg(F.max(F.struct("version", "deleted")).alias("v"))
+    return newest.select("file_path", "v.version", "v.deleted")
+
+
+def current_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """The node table as of the newest whole version of each file."""
+    changes = _history(spark, root)
+    live = _newest(changes).where("not deleted").select("file_path", "version")
     return changes.join(live, ["file_path", "version"]).select(*NODE_SCHEMA.fieldNames())
 
 
 def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
-    """Write the current table as the start of a new change history at ``target``.
+    """Write the newest whole versions as the start of a new change history at ``target``.
 
-    The old history stays as it is until the caller drops it.
+    Versions keep their numbers and deletions their rows, so what arrives late there loses as it would here. The old
+    history stays as it is until the caller drops it.
     """
-    changes_of(current_nodes(spark, root), 0).write.mode("error").parquet(f"{target}/data/batch=-1")
+    changes = _history(spark, root)
+    kept = changes.join(_newest(changes).select("file_path", "version"), ["file_path", "version"])
+    kept.select(*CHANGE_SCHEMA.fieldNames()).write.mode("error").parquet(f"{target}/data/batch=-1")
     return current_nodes(spark, target)

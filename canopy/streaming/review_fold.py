@@ -1,4 +1,7 @@
-"""Review state as a stream: rounds come in, run totals are kept per plan and day."""
+"""Review state as a stream: rounds come in, each batch leaves its run totals, reads add them up.
+
+The fold is associative, so a batch needs no state of earlier ones, and a round may come in however late.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from canopy.functions.times import utc_day
 from canopy.operators.review import fold_runs, run_totals
-
-# How late a round may come in after the newest one seen. Later ones are dropped.
-ALLOWED_DELAY = "2 days"
+from canopy.sources.stores import table_exists
 
 RUN_SCHEMA = (
     "plan_slug string, run string, rounds bigint, worst int, last struct<ts:timestamp,seq:bigint,model:string>"
@@ -18,20 +19,18 @@ RUN_SCHEMA = (
 
 
 def start_fold(rounds: DataFrame, root: str) -> StreamingQuery:
-    """Aggregate a stream of rounds (plan_slug, model, verdict, ts, seq) into run totals under ``root``.
+    """Take a stream of rounds (plan_slug, model, verdict, ts, seq) into partial run totals under ``root``.
 
-    ``ts`` is an instant and a run is one UTC day. A day's state is dropped once the watermark has passed it.
+    ``ts`` is an instant and a run is one UTC day. Each batch is written under its own number, so a replayed batch
+    overwrites itself.
     """
-    days = rounds.withWatermark("ts", ALLOWED_DELAY).withColumn("day", F.window("ts", "1 day"))
-    totals = run_totals(days, by=["plan_slug", "day"])
-    rows = totals.select("plan_slug", utc_day(F.col("day.start")).alias("run"), "rounds", "worst", "last")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
+        days = batch.withColumn("run", utc_day(F.col("ts")))
+        run_totals(days).write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
 
     return (
-        rows.writeStream.outputMode("update")
-        .foreachBatch(write_batch)
+        rounds.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .start()
@@ -39,7 +38,11 @@ def start_fold(rounds: DataFrame, root: str) -> StreamingQuery:
 
 
 def current_states(spark: SparkSession, root: str) -> DataFrame:
-    """Review state per plan, from the latest total of each run."""
-    written = spark.read.schema(RUN_SCHEMA + ", batch bigint").parquet(f"{root}/data")
-    latest = written.groupBy("plan_slug", "run").agg(F.max(F.struct("batch", "rounds", "worst", "last")).alias("t"))
-    return fold_runs(latest.select("plan_slug", "run", "t.rounds", "t.worst", "t.last"))
+    """Review state per plan from the partial totals of all batches; empty before the first one."""
+    if not table_exists(spark, f"{root}/data"):
+        return fold_runs(spark.createDataFrame([], RUN_SCHEMA))
+    partial = spark.read.schema(RUN_SCHEMA).parquet(f"{root}/data")
+    totals = partial.groupBy("plan_slug", "run").agg(
+        F.sum("rounds").alias("rounds"), F.max("worst").alias("worst"), F.max("last").alias("last")
+    )
+    return fold_runs(totals)

@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from canopy.plans import blocks, copies, enclosing, numbering, paging, subtrees, suffixes
+from canopy.plans import blocks, copies, enclosing, numbering, subtrees, suffixes
 from canopy.sources.forest import built_forest
 
 
@@ -97,14 +97,6 @@ def test_running_sum_with_a_hot_key_and_copies(spark, monkeypatch, hot_rows):
     assert all(ns == list(range(1, len(ns) + 1)) for _, ns in numbers)
 
 
-def test_paged_list_is_whole(spark):
-    df = spark.createDataFrame([("hot", f"v{i:04d}") for i in range(500)] + [("one", "x"), (None, "y")], "k string, v string")
-    pages = paging.paged_list(df, ["k"], "v", "vs", page=50).collect()
-    assert sorted(v for p in pages if p.k == "hot" for v in p.vs) == [f"v{i:04d}" for i in range(500)]
-    assert max(len(p.vs) for p in pages) < 120 and sum(p.k == "hot" for p in pages) == 10
-    assert [(p.part, p.vs, p.n) for p in pages if p.k == "one"] == [(0, ["x"], 1)]
-
-
 def test_copies_in_order(spark, monkeypatch):
     monkeypatch.setattr(copies, "BLOCK", 4)
     df = spark.createDataFrame([("b", 9), ("a", 1), ("c", 4)], "k string, n bigint")
@@ -138,3 +130,28 @@ def test_plans_have_no_nested_loops_and_push_filters(spark):
     assert "StringStartsWith(file_path,ASIA/)" in calls and "StringStartsWith(name,Brand#1)" in calls
     schema = calls.split("ReadSchema: ")[1]
     assert "descendant_count" not in schema and "parameters" not in schema
+
+
+def _below(plan: str, node: str) -> str:
+    """What a plan's text shows below the first line with ``node``."""
+    return plan[plan.index(node) :]
+
+
+def test_narrow_questions_restrict_the_tree_first(spark):
+    from pyspark.sql import functions as F
+
+    from canopy.operators import callers, diff, planning
+
+    nodes = built_forest(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pins = planning.capture_planning_context(nodes, "T", "modify", "**", "customer#%", F.lit("2024-01-01").cast("timestamp"))
+        changed = spark.createDataFrame([("a.go", "added")], "file_path string, status string")
+        for df in (planning.planning_drift(pins, nodes, "T"), planning.missing_symbols(pins, nodes, "T"),
+                   diff.changed_function_summary(nodes, changed, "**"), callers.function_callers(nodes, "**", "Brand#1")):
+            assert "LeftSemi" in _plan(df)
+        # The subtree join and the grouping of lines stand above the restriction.
+        assert "LeftSemi" in _below(_plan(diff.changed_function_summary(nodes, changed, "**")), "ShuffledHashJoin")
+        assert "LeftSemi" in _below(_plan(planning.planning_drift(pins, nodes, "T")), "HashAggregate")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

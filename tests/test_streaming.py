@@ -43,6 +43,17 @@ def test_refresh_sees_only_whole_versions_and_survives_a_replay(spark, nodes_of,
     packed = refresh.compact(spark, root, str(tmp_path / "packed"))
     assert sorted(rows(packed, "file_path", "name", "node_id")) == second[:2]
 
+    # In the packed history too, what is older than the kept version or deletion loses, and a repeated version is one.
+    later, root = str(tmp_path / "later"), str(tmp_path / "packed")
+    incoming = later
+    drop("a", "v1-stale", 3, 1)
+    drop("b", "v1-stale", 1, 2)
+    drop("a", "v2", 2, 2)
+    assert run() == second[:2]
+    drop("b", "v4", 1, 4)
+    drop("b", "v4", 1, 4)
+    assert run() == [*second[:2], ("b", "v4", 0)]
+
 
 def _write(spark, path, data):
     df = spark.createDataFrame([(p, m, v, dt.datetime.fromisoformat(t), i) for i, (p, m, v, t) in enumerate(data)],
@@ -50,7 +61,7 @@ def _write(spark, path, data):
     df.coalesce(1).write.mode("append").parquet(path)
 
 
-def test_fold_over_batches_equals_the_batch_fold_and_drops_late_rounds(spark, tmp_path):
+def test_fold_over_batches_equals_the_batch_fold_late_rounds_included(spark, tmp_path):
     incoming, root = str(tmp_path / "in"), str(tmp_path / "state")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
@@ -66,9 +77,9 @@ def test_fold_over_batches_equals_the_batch_fold_and_drops_late_rounds(spark, tm
             stream = spark.readStream.schema(spark.read.parquet(incoming).schema).parquet(incoming)
             review_fold.start_fold(stream.withColumn("ts", utc_instant(F.col("t"))), root).awaitTermination()
         got = sorted(rows(review_fold.current_states(spark, root)))
-        kept = spark.read.parquet(incoming).where("model <> 'late'")
-        batch = kept.withColumns({"ts": F.col("t"), "run": F.date_format("t", "yyyy-MM-dd")})
+        batch = spark.read.parquet(incoming).withColumns({"ts": F.col("t"), "run": F.date_format("t", "yyyy-MM-dd")})
         assert got == sorted(rows(review.fold_reviews(batch)))
-        assert ("p", 3, "m3", "CONDITIONAL", "2024-01-02") in got
+        assert ("p", 3, "m3", "CONDITIONAL", "2024-01-02") in got and ("q", 3, "m4", "FAILED", "2024-01-09") in got
+        assert review_fold.current_states(spark, str(tmp_path / "never")).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -119,11 +119,33 @@ def test_drift_counts_every_node_and_missing_is_by_file(nodes_of):
         require_nodes(nodes.limit(0))
 
 
-def test_external_types_keep_a_long_file_list_whole(nodes_of):
-    nodes = nodes_of([{"type": "qualified_type", "peek": "arrow.Record", "file_path": f"f{i}.go"} for i in range(60)])
-    got = types.external_types(nodes, page=10).collect()
-    assert len(got) == 6 and {r.file_count for r in got} == {60} and {r.usage_count for r in got} == {60}
-    assert sorted(f for r in got for f in r.files) == sorted(f"f{i}.go" for i in range(60))
+def test_external_types_and_their_files(nodes_of):
+    nodes = nodes_of([{"type": "qualified_type", "peek": "arrow.Record", "file_path": f"f{i % 60}.go"} for i in range(90)])
+    assert rows(types.external_types(nodes)) == [("arrow.Record", 90, 60)]
+    files = rows(types.external_type_files(nodes), "file_path", "uses")
+    assert sorted(files) == sorted((f"f{i}.go", 2 if i < 30 else 1) for i in range(60))
+
+
+def test_every_edit_changes_the_manifest(spark, nodes_of):
+    base = {"file_path": "a", "node_id": 1, "parent_id": 0, "depth": 1, "name": "f", "type": "t", "semantic_type": "s", "start_line": 1,
+            "end_line": 9, "descendant_count": 2, "children_count": 1, "peek": "p", "parameters": [("x", "y")], "signature_type": "g"}
+    other = {"node_id": 2, "parent_id": 1, "depth": 2, "name": "g", "type": "u", "semantic_type": "r", "start_line": 5, "end_line": 13,
+             "descendant_count": 3, "children_count": 2, "peek": "q", "parameters": [("x", "z")], "signature_type": "h"}
+    hash_of = lambda row: corpus.node_manifest(nodes_of([row])).first().content_hash
+    seen = {hash_of(base)} | {hash_of(base | {k: v}) for k, v in other.items()}
+    seen |= {hash_of(base | {k: None}) for k in ("name", "type", "peek", "signature_type", "parameters")}
+    assert len(seen) == 1 + len(other) + 5
+
+
+def test_a_shift_of_lines_is_an_edit(spark, nodes_of):
+    lines = lambda a, b: nodes_of([{"file_path": "a.go", "name": "f", "semantic_type": FUNC, "start_line": a, "end_line": b}])
+    old, new = lines(1, 9), lines(5, 13)
+    changed = corpus.file_changes(corpus.node_manifest(old), corpus.node_manifest(new))
+    assert rows(changed) == [("a.go", "modified")]
+    fresh = stores.refresh(old, changed, new)
+    assert rows(fresh, "start_line", "end_line") == [(5, 13)]
+    pins = planning.capture_planning_context(old, "T", "modify", "**", "f", F.lit("2024-01-01").cast("timestamp"))
+    assert rows(planning.planning_drift(pins, fresh, "T"), "planned_line", "current_line", "drift_lines") == [(1, 5, 4)]
 
 
 def test_refresh_and_deleted_files(spark, nodes_of):
@@ -139,10 +161,16 @@ def test_planning_store_replay_changes_nothing(spark, nodes_of, tmp_path):
     path = str(tmp_path / "pins")
     nodes = nodes_of([{"name": n, "semantic_type": FUNC} for n in ("f", "g")])
     at = F.lit("2024-01-01").cast("timestamp")
+    capture = lambda task, role="modify", name="%": planning.capture_planning_context(nodes, task, role, "**", name, at)
+    read = lambda *c: sorted(rows(stores.read_planning_context(spark, path), *c))
+    assert read() == [] and not stores.table_exists(spark, path)
     for task in ("T1", "T2", "T1"):
-        stores.write_planning_context(planning.capture_planning_context(nodes, task, "modify", "**", "%", at), path)
-    got = rows(stores.read_planning_context(spark, path).orderBy("task_id", "symbol_name"), "task_id", "symbol_name")
-    assert got == [("T1", "f"), ("T1", "g"), ("T2", "f"), ("T2", "g")]
+        stores.write_planning_context(spark, path, [task], capture(task))
+    assert read("task_id", "symbol_name") == [("T1", "f"), ("T1", "g"), ("T2", "f"), ("T2", "g")]
+    stores.write_planning_context(spark, path, ["T1"], capture("T1", "modify", "f"), capture("T1", "implement", "g"))
+    assert read("task_id", "role", "symbol_name") == [("T1", "implement", "g"), ("T1", "modify", "f"), ("T2", "modify", "f"), ("T2", "modify", "g")]
+    stores.write_planning_context(spark, path, ["T2"], capture("T2", "modify", "nothing"))
+    assert read("task_id", "symbol_name") == [("T1", "f"), ("T1", "g")]
     assert stores.table_exists(spark, path) and not stores.table_exists(spark, path + "x")
 
 
@@ -191,6 +219,10 @@ def test_corpus_scan_skips_excluded_folders(spark, tmp_path):
     assert sorted(rows(files, "file_path", "text")) == [(n, f"é {n}") for n in ("a.go", "x/b.go", "x/vendor/e.go")]
     assert corpus.changed_files(corpus.corpus_manifest(files), F.lit("2000-01-01").cast("timestamp")).count() == 3
     assert rows(corpus.dominant_extension(files, "file_path")) == [("go", 3)]
+    (tmp_path / "x" / "bad.go").write_bytes(b"c\xe9")
+    assert sorted(rows(corpus.scan_corpus(spark, str(tmp_path), "go"), "file_path")) == [("a.go",), ("x/b.go",), ("x/vendor/e.go",)]
+    assert rows(corpus.scan_rejects(spark, str(tmp_path), "go")) == [("x/bad.go", "not UTF-8")]
+    assert corpus.scan_corpus(spark, str(tmp_path / "vendor"), "py").count() == 0
 
 
 def test_slug_rule(spark):

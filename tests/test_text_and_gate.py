@@ -119,7 +119,16 @@ def test_next_sequence(spark):
     assert sorted(rows(gate.next_task_sequence(names, "name"))) == [("1", "004"), ("2", "1201")]
 
 
-def test_dependency_chain_limit_and_cycle(spark):
-    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y"), ("x", "b"), ("p", "q"), ("q", "p"), ("n", None)]
-    got = dict((i, (c, o)) for i, c, o in rows(gate.dependency_chains(spark.createDataFrame(edges, "id string, depends_on string"))))
-    assert got == {"a": (4, True), "b": (3, False), "c": (2, False), "d": (1, False), "x": (4, True), "p": (4, True), "q": (4, True)}
+def test_dependency_chains_have_their_true_length(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y"), ("x", "b"), ("p", "q"), ("q", "p"), ("r", "p"), ("r", "a"), ("s", "s"), ("n", None)]
+    edges += [(f"t{k}", f"t{k + 1}") for k in range(45)] + [("t3", "t40")]
+    found = gate.dependency_chains(spark.createDataFrame(edges, "id string, depends_on string"))
+    got = {i: (c, o, y) for i, c, o, y in rows(found)}
+    want = {"a": 4, "b": 3, "c": 2, "d": 1, "x": 4} | {f"t{k}": 45 - k for k in range(45)}
+    assert got == {i: (n, n > 3, False) for i, n in want.items()} | {i: (None, True, True) for i in "pqrs"}
+    assert gate.dependency_chains(spark.createDataFrame([], "id string, depends_on string")).count() == 0
+
+
+def test_status_of_another_line_does_not_count(spark):
+    df = spark.createDataFrame([("Status:\n\nDone when x",), ("**Status:** Done",), ("- Status : completed",)], "t string")
+    assert [r[0] for r in df.select(gate.is_done(F.col("t"), strict=True)).collect()] == [False, True, True]
