@@ -9,7 +9,7 @@ from canopy.functions.text import WHITE_SPACE
 from canopy.functions.times import utc_instant
 from canopy.operators import review
 from canopy.session import new_path
-from canopy.sources import stores
+from canopy.sources import records, stores
 from canopy.sources.forest import table
 from canopy.streaming import review_fold
 
@@ -230,11 +230,41 @@ def register(catalog: Catalog) -> None:
     add(
         "l04_rotation_schedule",
         schedule,
-        """with pool as (select distinct o_orderstatus || '/' || o_orderpriority as reviewer, o_orderstatus as g from orders),
-          pos as (select *, (row_number() over (partition by g order by reviewer) - 0.5::double)
-            / count(*) over (partition by g) as position from pool),
-          slots as (select reviewer, row_number() over (order by position, g, reviewer) - 1 as slot from pos)
-          select p_partkey, round, cast((round - 1) // 5 as int) as batch, reviewer from (
-            select p_partkey, cast(unnest(generate_series(1, greatest(1, least(50, p_size)))) as int) as round from part) r
-          join slots on slot = (p_partkey + round - 1) % (select count(*) from slots)""",
+        """with pool as (select distinct o_orderstatus || '/' || o_orderpriority as m, o_orderstatus as g from orders),
+          sizes as (select g, count(*) as size from pool group by g),
+          batches as (select p_partkey, least(50, greatest(1, p_size)) as rounds, unnest(range(0, (least(50, greatest(1, p_size)) - 1) // 5 + 1)) as b from part),
+          spots as (select p_partkey, rounds, b, g, m, (row_number() over (partition by p_partkey, b, g
+              order by md5(p_partkey || ':' || b || ':0:' || m), m) - 0.5::double) / size as p from batches, pool join sizes using (g)),
+          ranked as (select *, row_number() over (partition by p_partkey, b order by p, g, m) as k from spots),
+          meets as (select x.p_partkey, x.b from ranked x join ranked y on x.p_partkey = y.p_partkey and y.b = x.b - 1
+            where x.k = 1 and y.k = 5 and x.m = y.m)
+          select p_partkey, cast(b * 5 + place as int) as round, cast(b as int) as batch, m as reviewer from (
+            select r.p_partkey, r.b, r.m, rounds, case when t.b is not null and k <= 2 then 3 - k else k end as place
+            from ranked r left join meets t on t.p_partkey = r.p_partkey and t.b = r.b where k <= 5)
+          where b * 5 + place <= rounds""",
+    )
+
+    # Each document as a review report; every fifth has text behind its verdict, so that this does not count.
+    rank = "case (doc_id * 7 + k * 5 + n_chars) % 4 when 0 then 'FAILED' when 1 then 'CONDITIONAL' else 'PASSED' end"
+    overall = "case doc_id % 3 when 0 then 'FAILED' when 1 then 'CONDITIONAL' else 'PASSED' end"
+
+    def report_texts(s, d):
+        vectors = F.array_join(F.expr(f"transform(sequence(1, 7), k -> concat('| ', k, ' | vector ', k, ' | ', {rank}, ' | ', lang, ' |'))"), "\n")
+        head = F.format_string("# Report: x\n\n**Plan:** plan-%s\n**Reviewer:** %s/%s\n**Iteration:** %d\n**Date:** 2024-01-02\n\n---\n\n", "doc_id", "lang", "source", F.col("doc_id") % 9)
+        tail = F.expr(f"concat('\\n\\nVerdict: FAILED\\n', text, '\\n\\nVerdict: ', {overall}, case when doc_id % 5 = 0 then '\\nmore' else '\\n \\n' end)")
+        return table(s, d, "documents").select("doc_id", F.concat(head, F.lit("| # | V | R | N |\n|---|---|---|---|\n"), vectors, tail).alias("body"))
+
+    add(
+        "r02_review_reports",
+        lambda s, d: records.report_rows(records.read_reports(report_texts(s, d), "body")),
+        f"""select doc_id, 'plan-' || doc_id as plan_slug, lang || '/' || source as reviewer, doc_id % 9 as iteration, '2024-01-02' as date,
+          case when doc_id % 5 <> 0 then {overall} end as verdict, cast(k as int) as number, 'vector ' || k as vector, {rank} as result
+          from documents, range(1, 8) t(k)""",
+    )
+    add(
+        "r03_report_consistency",
+        lambda s, d: review.report_consistency(records.report_rows(records.read_reports(report_texts(s, d), "body")), ["plan_slug"], "result", "verdict"),
+        f"""select plan_slug, overall, worst, overall = worst as consistent from (select 'plan-' || doc_id as plan_slug,
+            case when doc_id % 5 <> 0 then {overall} end as overall,
+            {NAME.format(r=f"max({RANK.format(v=f'({rank})')})")} as worst from documents, range(1, 8) t(k) group by doc_id)""",
     )

@@ -8,6 +8,7 @@ from canopy.catalog import Catalog
 from canopy.functions import text as X
 from canopy.functions.patterns import is_valid_slug, slug_of
 from canopy.operators import gate, textscan
+from canopy.sources import records
 from canopy.sources.forest import table
 
 NEEDLES = ("public license", "tion de les", "keit einheit", "all rights reserved", "ing the of")
@@ -193,6 +194,41 @@ def register(catalog: Catalog) -> None:
           from conversations where turn > 0""",
     )
 
+    # Each order as a task document: its lines are files and tests, and it depends on the orders before it.
+    def task_texts(s, d):
+        lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("lines"))
+        orders = table(s, d, "orders").join(lines, F.expr("o_orderkey = l_orderkey"), "left")
+        body = """concat('# P1-', o_orderkey, ': Order of ', o_custkey, '\n\n## Status\nStatus: ', case o_orderstatus when 'F' then 'Done' else 'Ready ' end,
+          '\nDepends on: P1-', o_orderkey - 1, ' (before), P1-', o_orderkey - 2, '\nBlocks: none\n\n## Summary\n', o_orderpriority,
+          '\n| `not/a/file` | Create |\n\n## Tests\n| Test | What |\n|---|---|\n',
+          coalesce(array_join(transform(lines, l -> concat('| `Test_', l.l_linenumber, '` | x |')), '\n'), ''),
+          '\n\n## Files\n| File | Action | D |\n|---|---|---|\n',
+          coalesce(array_join(transform(lines, l -> concat('| `src/', l.l_partkey, '.go` | ', if(l.l_returnflag = 'N', 'Create', 'Modify'), ' | y |')), '\n'), ''),
+          '\n\n## Notes\n| `other/file` | Delete |\n')"""
+        return orders.select("o_orderkey", F.expr(body).alias("body"))
+
+    def tasks(s, d):
+        return records.read_tasks(task_texts(s, d), "body")
+
+    add(
+        "r01_task_documents",
+        lambda s, d: tasks(s, d).select(
+            "o_orderkey", "task_id", "title", "status", F.array_join("depends_on", ",").alias("depends_on"), F.size("blocks").alias("blocks"),
+            F.array_join(F.transform("files", lambda f: F.concat(f["action"], F.lit(" "), f["path"])), ",").alias("files"), F.array_join("tests", ",").alias("tests"),
+        ),
+        """select o_orderkey, 'P1-' || o_orderkey as task_id, 'Order of ' || o_custkey as title, case o_orderstatus when 'F' then 'Done' else 'Ready' end as status,
+          concat_ws(',', case when o_orderkey >= 1 then 'P1-' || (o_orderkey - 1) end, case when o_orderkey >= 2 then 'P1-' || (o_orderkey - 2) end) as depends_on, 0 as blocks,
+          coalesce(string_agg(case l_returnflag when 'N' then 'Create' else 'Modify' end || ' src/' || l_partkey || '.go', ',' order by l_linenumber, l_partkey, l_returnflag), '') as files,
+          coalesce(string_agg('Test_' || l_linenumber, ',' order by l_linenumber, l_partkey, l_returnflag), '') as tests
+          from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey, o_orderstatus""",
+    )
+    add(
+        "r04_task_sizes",
+        lambda s, d: gate.size_limits(records.task_sizes(tasks(s, d)).withColumns({"files": F.col("files") * 4, "tests": F.col("tests") * 4}), "task_id", "files", "tests"),
+        """select 'P1-' || l_orderkey as task_id, 4 * count(*) as files, 4 * count(*) as tests, 4 * count(*) > 10 as over_files, 4 * count(*) > 20 as over_tests
+          from lineitem group by l_orderkey having count(*) > 2""",
+    )
+
     def artifacts(s, d):
         title = F.when(F.col("doc_id") % 10 == 0, "\u3000\t\u00a0").otherwise(F.concat("lang", F.lit(" document of "), "source"))
         slug = F.when(F.col("doc_id") % 13 == 5, F.concat("lang", F.lit("/x"))).otherwise(F.concat("lang", F.lit("-"), "doc_id"))

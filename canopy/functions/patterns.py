@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 
 
 def _glob_regex(glob: str) -> str:
-    pieces = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
+    pieces = re.split(r"(\*\*/|\*\*|\*|\?|\[[!^]?[^\]/]+\])", glob)
     wild = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    return "^" + "".join(wild.get(piece, re.escape(piece)) for piece in pieces) + "$"
+    return r"\A" + "".join(wild.get(piece) or _class_regex(piece) or re.escape(piece) for piece in pieces) + r"\z"
+
+
+def _class_regex(piece: str) -> str | None:
+    """A bracket class of a glob: ranges stay, ``!`` negates, all else is literal."""
+    if not re.fullmatch(r"\[[!^]?[^\]/]+\]", piece):
+        return None
+    negated = piece[1] in "!^" and len(piece) > 3
+    return "[" + ("^/" if negated else "") + re.sub(r"([\\\[&^~])", r"\\\1", piece[1 + negated : -1]) + "]"
 
 
 def _one_glob(column: Column, glob: str) -> Column:
-    fixed = re.split(r"[*?]", glob, maxsplit=1)[0]
+    fixed = re.split(r"[*?]|\[(?=[^\]/]+\])", glob, maxsplit=1)[0]
     if fixed == glob:
         return column == glob
     if glob in ("**", "**/*"):

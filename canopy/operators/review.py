@@ -19,6 +19,8 @@ DEFAULT_ROUNDS = 1
 MAX_ROUNDS = 50
 SLOTS = 3
 BATCH = 5
+# Names that a reviewer pool may have.
+POOL_LIMIT = 200
 
 # The reviewers used when none are named.
 DEFAULT_REVIEWERS = (
@@ -228,23 +230,57 @@ def interleave(
     return placed.drop("_by", "_rank", "_size").orderBy("position", group)
 
 
-def rotation_schedule(plans: DataFrame, pool: DataFrame, plan: str, rounds: str, start: str, member: str) -> DataFrame:
-    """A reviewer for every round of every plan, walking the pool in turn from the plan's start.
+def _batch_order(names: Sequence[str], seed: Column, batch: Column, fill: int = 0) -> Column:
+    """The pool in the order of one batch: shuffled by a hash of seed and batch within providers, providers spread evenly."""
+    groups = [name.split("/", 1)[0] for name in names]
+    shuffled = [
+        F.struct(F.lit(g).alias("g"), F.lit(groups.count(g)).alias("size"), F.lit(m).alias("m"),
+                 F.md5(F.concat_ws(":", seed, batch, F.lit(fill), F.lit(m)).cast("binary")).alias("h"))
+        for g, m in zip(groups, names)
+    ]
 
-    Rounds are clamped to [1, 50]. Neighbouring rounds differ whenever the pool
-    has two members, across batches of five too.
+    def placed(pool: Column) -> Column:
+        before = lambda e: F.size(F.filter(pool, lambda x: (x["g"] == e["g"]) & (F.struct(x["h"], x["m"]) < F.struct(e["h"], e["m"]))))
+        spots = F.transform(pool, lambda e: F.struct(((before(e) + 0.5) / e["size"]).alias("p"), e["g"].alias("g"), e["m"].alias("m")))
+        return F.transform(F.array_sort(spots), lambda x: x["m"])
+
+    return F.transform(F.array(F.array(*shuffled)), placed)[0]
+
+
+def _swapped_unlike(order: Column, last: Column) -> Column:
+    """The order with its first two entries exchanged if it would begin with ``last``."""
+    return F.when(order[0] == last, F.concat(F.array(order[1], order[0]), F.slice(order, 3, F.size(order)))).otherwise(order)
+
+
+def rotation_schedule(plans: DataFrame, pool: DataFrame, plan: str, rounds: str, seed: str, member: str) -> DataFrame:
+    """A reviewer for every round of every plan, in batches of five that are shuffled anew.
+
+    Rounds are clamped to [1, 50]. The order of a batch is a function of (seed, batch) alone, so no state runs between
+    rows: providers are spread evenly, a small pool is gone through again, and where two batches or passes would meet in
+    one reviewer the later one swaps its first two. Two reviewers take turns. The pool is a configuration of at most
+    POOL_LIMIT names; more raise an error.
     """
-    listed = pool.select(member, provider_of(F.col(member)).alias("_provider")).distinct()
-    spread = interleave(listed, "_provider", member)
-    ordered = numbered(spread.withColumn("_pool", F.lit(1)), ["_pool"], ["position", "_provider", member], "_n")
-    sized = ordered.withColumn("slot", F.col("_n") - 1).select("slot", member)
-    count = sized.agg(F.count("*").alias("c")).first().c
-    if count == 0:
-        raise ValueError("the reviewer pool is empty")
+    names = [row[0] for row in pool.select(member).distinct().orderBy(member).limit(POOL_LIMIT + 1).collect()]
+    if not 0 < len(names) <= POOL_LIMIT:
+        raise ValueError(f"the reviewer pool must have 1 to {POOL_LIMIT} names")
     each = plans.select(
-        plan, F.col(start).cast("bigint").alias("_start"),
-        F.explode(F.sequence(F.lit(1), clamp_rounds(F.col(rounds)).cast("int"))).alias("round"),
+        plan, F.col(seed).alias("_seed"), F.explode(F.sequence(F.lit(0), F.floor((clamp_rounds(F.col(rounds)) - 1) / BATCH).cast("int"))).alias("batch"),
+        clamp_rounds(F.col(rounds)).alias("_rounds"),
     )
-    turn = each.withColumn("slot", F.pmod(F.col("_start") + F.col("round") - 1, F.lit(count)))
-    batch = F.floor((F.col("round") - 1) / BATCH).cast("int")
-    return turn.join(sized, "slot").select(plan, "round", batch.alias("batch"), member)
+
+    def five(number: Column) -> Column:
+        order = _batch_order(names, F.col("_seed"), number)
+        if len(names) < BATCH:
+            order = F.concat(order, _swapped_unlike(_batch_order(names, F.col("_seed"), number, 1), order[len(names) - 1]))
+        return F.slice(order, 1, BATCH)
+
+    if len(names) > 2:
+        shuffled = each.withColumns({"_five": five(F.col("batch")), "_last": five(F.col("batch") - 1)[BATCH - 1]})
+        order = F.when(F.col("batch") > 0, _swapped_unlike(F.col("_five"), F.col("_last"))).otherwise(F.col("_five"))
+    else:
+        turns = F.transform(F.sequence(F.lit(0), F.lit(BATCH - 1)), lambda k: F.pmod(F.col("batch") * BATCH + k, F.lit(len(names))))
+        shuffled = each.withColumn("_five", _batch_order(names, F.col("_seed"), F.lit(0)))
+        order = F.transform(turns, lambda k: F.col("_five")[k])
+    rows = shuffled.select(plan, "batch", "_rounds", F.posexplode(order).alias("_at", member))
+    rows = rows.withColumn("round", (F.col("batch") * BATCH + F.col("_at") + 1).cast("int")).where("round <= _rounds")
+    return rows.select(plan, "round", "batch", member)

@@ -21,7 +21,6 @@ from canopy.session import written
 HOT_ROWS = 5_000_000
 # Rows per slice of the range-partitioned plan.
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 20_000
 # Copies of one identical row written out per task.
 COPY_BLOCK = 65_536
 
@@ -60,7 +59,7 @@ def running_sum(
     if top.largest <= hot_rows:
         earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(amount).over(earlier), F.lit(0).cast("bigint")))
-    slices = min(MAX_SLICES, max(2, -(-top.total // min(SLICE_ROWS, hot_rows))))
+    slices = max(2, -(-top.total // min(SLICE_ROWS, hot_rows)))
     return _sliced_sum(df, keys, order, amount, out, slices)
 
 

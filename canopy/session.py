@@ -69,7 +69,7 @@ def pinned_table(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
     """Build a table once per application and serve it from Parquet afterwards.
 
     The key must name the inputs. Tables are never shared between
-    applications, so a changed input is picked up by the next one.
+    applications; within one, ``forget_pinned`` makes a changed input count.
     """
     app_key = (spark.sparkContext.applicationId, *key)
     if app_key not in _pinned:
@@ -79,3 +79,9 @@ def pinned_table(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
         _pinned[app_key] = (path, df.schema)
     path, schema = _pinned[app_key]
     return spark.read.schema(schema).parquet(path)
+
+
+def forget_pinned(*key: object) -> None:
+    """Build tables anew on their next use: those whose key begins with ``key``, or all."""
+    for own in [k for k in _pinned if k[1 : 1 + len(key)] == key]:
+        del _pinned[own]

@@ -141,14 +141,29 @@ def test_interleave_spreads_groups_and_seeds_differ(spark):
     assert sorted(order(seed=1)) == sorted(order()) and order(seed=1) != order(seed=2)
 
 
-def test_rotation_has_the_right_length_and_no_equal_neighbours(spark):
-    pool = spark.createDataFrame([(m,) for m in review.DEFAULT_REVIEWERS], "m string")
-    plans = spark.createDataFrame([("p", 20, 3), ("q", 0, 0), ("r", 99, 1)], "plan string, rounds int, start int")
-    got = review.rotation_schedule(plans, pool, "plan", "rounds", "start", "m").orderBy("plan", "round").collect()
-    by_plan = {p: [r.m for r in got if r.plan == p] for p in "pqr"}
-    assert {p: len(ms) for p, ms in by_plan.items()} == {"p": 20, "q": 1, "r": 50}
-    assert all(a != b for ms in by_plan.values() for a, b in zip(ms, ms[1:]))
-    assert set(by_plan["p"]) == set(review.DEFAULT_REVIEWERS)
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 8])
+def test_rotation_is_shuffled_per_batch_without_equal_neighbours(spark, size):
+    names = [f"p{k % 3}/m{k}" for k in range(size)]
+    pool = spark.createDataFrame([(m,) for m in names], "m string")
+    plans = spark.createDataFrame([(f"p{k}", 50 - k, k) for k in range(12)] + [("none", 0, 1), ("many", 99, 1)], "plan string, rounds int, seed int")
+    got = review.rotation_schedule(plans, pool, "plan", "rounds", "seed", "m").collect()
+    by_plan = {}
+    for r in sorted(got, key=lambda r: r.round):
+        assert r.batch == (r.round - 1) // 5
+        by_plan.setdefault(r.plan, []).append(r.m)
+    assert {p: len(m) for p, m in by_plan.items()} == {f"p{k}": 50 - k for k in range(12)} | {"none": 1, "many": 50}
+    if size > 1:
+        assert all(a != b for ms in by_plan.values() for a, b in zip(ms, ms[1:]))
+    if size >= 5:
+        assert all(len(set(ms[k : k + 5])) == 5 for ms in by_plan.values() for k in range(0, len(ms) - 4, 5))
+        assert len({tuple(ms[:5]) for ms in by_plan.values()}) > 3 and len({tuple(by_plan["p0"][k : k + 5]) for k in range(0, 50, 5)}) > 3
+    assert by_plan["many"][:44] == by_plan["p1"][:44]  # the seed decides, not the plan
+
+
+def test_rotation_needs_a_pool(spark):
+    plans = spark.createDataFrame([("p", 1, 1)], "plan string, rounds int, seed int")
+    with pytest.raises(ValueError, match="pool"):
+        review.rotation_schedule(plans, spark.createDataFrame([], "m string"), "plan", "rounds", "seed", "m")
 
 
 def test_report_consistency(spark):
