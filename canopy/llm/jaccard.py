@@ -3,14 +3,20 @@
 1. All shingles are counted over all documents. The heaviest (a bounded number) get a level by their count; the global
    order is (level, hash), so rare shingles come first. Any order gives right results; the counts only make it quick.
 2. Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of each in that order. Documents go to the
-   groups of these shingles. In groups of at most SMALL_GROUP members, pairs pass the length and positional bounds. A
-   larger group, such as that of a heavy shingle, may hold any share of all documents, so it is never gathered: each
-   member meets the group's pilot (its smallest member of like length).
-3. Candidates are verified exactly: the sets that meet one document are stored, in order, in a prefix tree, which is
-   traversed with that document's set; sets with a common begin share its overlap, and a subtree goes as soon as the
-   remaining lengths cannot reach the threshold.
-4. Members of a large group that share no component after that meet each other (pairs with different labels only),
-   and are verified too. Equal sets are one node throughout, so copies are never expanded.
+   groups of these shingles. Groups of at most SMALL_GROUP members give pairs, with the number of shared prefix shingles
+   summed over all groups; a pair stays if that number and the remaining lengths allow the threshold. A larger group, such
+   as that of a heavy shingle, may hold any share of all documents, so it is never gathered: each member meets the
+   group's pilot (its smallest member of like length).
+3. What hangs together by such candidates is a cluster. The sets of a cluster are stored in a prefix tree, which is
+   traversed with each set; sets with a common begin share its overlap, and a subtree goes as soon as the remaining
+   lengths cannot reach the threshold, or its sets are linked with the traversing one already. So a task gives
+   at most one link per set, and no pairs of a group are ever emitted. Clusters of more than TREE_SETS sets are cut
+   into blocks, and each two blocks are one task.
+
+Equal sets are one node throughout, so copies are never expanded. Why the filter loses nothing: two sets that share a
+shingle of a large group are in one cluster by their pilots, if their lengths are within 25 %. If they share none, the
+small groups count all they share in their prefixes, and beyond that they share at most what is behind the prefix
+that ends first.
 
 Sets are told apart by 64 bits of their MD5 and shingles by a 64-bit hash; the chance that any two of n sets fall
 together is n^2 / 2^65.
@@ -41,8 +47,8 @@ HEAVY_COUNT = 16
 HEAVY_SHINGLES = 300_000
 #: Largest group of a shingle whose members are paired at once.
 SMALL_GROUP = 32
-#: Sets that meet one document in one prefix tree.
-TREE_SETS = 128
+#: Sets of one block; a task holds two at most.
+TREE_SETS = 256
 CACHED_WORDS = 1 << 19
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -156,7 +162,7 @@ class Order:
 
 # --- candidates ---
 
-RECORD = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
+RECORD = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<u4")])
 
 
 def members(docs: DataFrame, order: Order) -> DataFrame:
@@ -188,23 +194,17 @@ def _records(batch: pa.RecordBatch, heavy: bool) -> np.ndarray:
         seen.add(node)
         at = np.flatnonzero((np.frombuffer(levels, np.uint8) > 0) == heavy)
         own = np.empty(len(at), RECORD)
-        own["shingle"], own["node"], own["n"], own["at"] = np.frombuffer(prefix, np.uint64)[at], node, n, at
+        own["shingle"], own["node"], own["n"] = np.frombuffer(prefix, np.uint64)[at], node, n
         out.append(own)
     return np.concatenate(out) if out else np.empty(0, RECORD)
 
 
-def _can_link(a, b) -> np.ndarray:
-    """Length and positional bound of two prefix entries with the same shingle."""
-    na, nb, pa_, pb = (x.astype(np.int64) for x in (a["n"], b["n"], a["at"], b["at"]))
-    most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
-    return 9 * np.minimum(most, np.minimum(na, nb)) >= 4 * (na + nb)
-
-
 def light_groups(prefixes: DataFrame, parts: int) -> DataFrame:
-    """The groups of shingles that are not heavy: pairs ``(a, b)`` of small groups, entries of the others.
+    """The groups of shingles that are not heavy: pairs ``(a, b, na, nb, shared)`` of small groups, entries of the others.
 
-    A group of up to SMALL_GROUP members gives its candidate pairs. A larger one (more shingles may be frequent than are
-    heavy) gives its entries ``(shingle, a, n, at)`` with a null b, which are treated like those of heavy shingles.
+    A group of up to SMALL_GROUP members gives its pairs, each once per part with the number of its groups. A larger one
+    (more shingles may be frequent than are heavy) gives its entries ``(shingle, a, na)`` with a null b, which are treated
+    like those of heavy shingles.
     """
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -226,37 +226,47 @@ def light_groups(prefixes: DataFrame, parts: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, own["shingle"][1:] != own["shingle"][:-1]))
         sizes = np.repeat(np.diff(np.append(first, len(own))), np.diff(np.append(first, len(own))))
         large, small = own[sizes > SMALL_GROUP], own[(sizes > 1) & (sizes <= SMALL_GROUP)]
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty((0, 4), np.int64)]
         for k in range(1, SMALL_GROUP):
             near = np.flatnonzero(small["shingle"][k:] == small["shingle"][:-k])
             if not len(near):
                 break
             one, other = small[near], small[near + k]
-            good = _can_link(one, other)
-            found.append(np.unique(np.column_stack([one["node"][good], other["node"][good]]), axis=0))
-        both = np.unique(np.concatenate(found), axis=0)
-        none = pa.nulls(len(both), pa.int64())
-        pairs = pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "shingle": none, "n": none, "at": none})
-        rest = {"a": pa.array(large["node"]), "b": pa.nulls(len(large), pa.int64()), "shingle": pa.array(np.ascontiguousarray(large["shingle"]).view(np.int64))}
-        rest |= {c: pa.array(large[c].astype(np.int64)) for c in ("n", "at")}
-        return pa.concat_tables([pairs, pa.table(rest)])
+            na, nb = one["n"].astype(np.int64), other["n"].astype(np.int64)
+            rows = np.column_stack([one["node"], other["node"], na, nb])
+            found.append(rows[9 * np.minimum(na, nb) >= 4 * (na + nb)])
+        both, shared = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        names = ("a", "b", "na", "nb")
+        pairs = {c: pa.array(both[:, k]) for k, c in enumerate(names)} | {"shared": pa.array(shared.astype(np.int64)), "shingle": pa.nulls(len(both), pa.int64())}
+        none = pa.nulls(len(large), pa.int64())
+        rest = {"a": pa.array(large["node"]), "b": none, "na": pa.array(large["n"].astype(np.int64)), "nb": none, "shared": none}
+        rest |= {"shingle": pa.array(np.ascontiguousarray(large["shingle"]).view(np.int64))}
+        return pa.concat_tables([pa.table(pairs), pa.table(rest)])
 
     packed = over_batches(prefixes.select("node", "n", "prefix", "levels"), pack, "part int, entries binary")
-    return packed.groupBy("part").applyInArrow(group, "a long, b long, shingle long, n long, at long")
+    return packed.groupBy("part").applyInArrow(group, "a long, b long, na long, nb long, shared long, shingle long")
+
+
+def light_pairs(groups: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of small groups that share enough of their prefixes."""
+    behind = lambda n: F.ceil(4 * F.col(n) / 5) - 1  # noqa: E731  shingles behind a prefix
+    pairs = groups.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    most = F.col("shared") + F.greatest(behind("na"), behind("nb"))
+    return pairs.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def heavy_entries(prefixes: DataFrame) -> DataFrame:
-    """``(shingle, node, n, at)`` of the heavy shingles in prefixes."""
+    """``(shingle, node, n)`` of the heavy shingles in prefixes."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = _records(batch, heavy=True)
         if len(own):
             shingle = np.ascontiguousarray(own["shingle"]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle), pa.array(own["node"]), *(pa.array(own[c].astype(np.int64)) for c in ("n", "at"))], ["shingle", "node", "n", "at"]
+                [pa.array(shingle), pa.array(own["node"]), pa.array(own["n"].astype(np.int64))], ["shingle", "node", "n"]
             )
 
-    return over_batches(prefixes.select("node", "n", "prefix", "levels"), run, "shingle long, node long, n long, at long")
+    return over_batches(prefixes.select("node", "n", "prefix", "levels"), run, "shingle long, node long, n long")
 
 
 def star_pairs(entries: DataFrame) -> DataFrame:
@@ -267,119 +277,122 @@ def star_pairs(entries: DataFrame) -> DataFrame:
     return pairs.select(F.least("pilot", "node").alias("a"), F.greatest("pilot", "node").alias("b")).distinct()
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a heavy group whose members are not yet in one component, within the length and positional bounds."""
-    labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    one = labelled.join(mixed, "shingle", "left_semi")
-    other = one.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "at", "label")))
-    most = F.least("at", "at_") + F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
-    pairs = one.join(other, "shingle").where((F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (9 * most >= 4 * (F.col("n") + F.col("n_"))))
-    return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+# --- verification ---
 
 
-# --- verification ---
+class PrefixTree:
+    """Sets in lexicographic order, so that a node of their prefix tree is a range of sets with a common begin."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
+        self.rows = [sets[k] for k in self.order]
+        self.sizes = np.array([len(r) for r in self.rows], np.int64)
+
+    def links(self, probe: np.ndarray, begin: int = 0, open_: np.ndarray | None = None) -> list[int]:
+        """Places in the tree, from ``begin`` on and where ``open_`` is true, of the sets that link with ``probe``.
+
+        The overlap of a common begin is counted once for all sets that have it.
+        """
+        rows, sizes = self.rows, self.sizes
+        need = -(-4 * (len(probe) + sizes) // 9)
+        may = np.minimum(len(probe), sizes) >= need
+        if open_ is not None:
+            may &= open_
+        out = []
+        stack = [(begin, len(rows), 0, 0, 0)] if begin < len(rows) else []
+        while stack:
+            low, high, depth, overlap, at = stack.pop()
+            if not may[low:high].any():
+                continue
+            first, last = rows[low], rows[high - 1]
+            width = min(len(first), len(last))
+            differs = np.flatnonzero(first[depth:width] != last[depth:width])
+            end = depth + int(differs[0]) if len(differs) else width
+            segment = first[depth:end]
+            if len(segment):
+                place = np.searchsorted(probe, segment)
+                overlap += int((probe[np.minimum(place, len(probe) - 1)] == segment).sum())
+                at = int(np.searchsorted(probe, segment[-1], "right"))
+            while low < high and sizes[low] == end:  # the sets that end here come first
+                if may[low] and overlap >= need[low]:
+                    out.append(low)
+                low += 1
+            if low == high or not (may[low:high] & (overlap + np.minimum(len(probe) - at, sizes[low:high] - end) >= need[low:high])).any():
+                continue
+            heads = np.array([rows[k][end] for k in range(low, high)])
+            edges = [low, *(low + 1 + np.flatnonzero(heads[1:] != heads[:-1])).tolist(), high]
+            stack += [(a, b, end, overlap, at) for a, b in zip(edges, edges[1:])]
+        return out
 
 
 def tree_links(probe: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """Which of ``sets`` link with ``probe``: a traversal of the sets' prefix tree.
+    """Which of ``sets`` link with ``probe``."""
+    tree = PrefixTree(sets)
+    return [tree.order[k] for k in tree.links(probe)]
+
 
-    The sets lie in lexicographic order, so a node of the tree is a range of sets with a common begin. The begin's
-    overlap with the probe is counted once for all of them.
+def block_links(one: dict[int, np.ndarray], other: dict[int, np.ndarray] | None) -> list[tuple[int, int]]:
+    """Links that join the components of the sets ``one``, or of these with ``other``; at most one per set.
+
+    Both map nodes to sets. Without ``other`` each set meets those behind it in the tree.
     """
-    order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-    rows = [sets[k] for k in order]
-    sizes = np.array([len(r) for r in rows])
-    need = -(-4 * (len(probe) + sizes) // 9)
+    stored = one if other is None else other
+    names = list(stored)
+    tree = PrefixTree([stored[k] for k in names])
+    placed = [names[k] for k in tree.order]
+    label = {node: k for k, node in enumerate({**one, **(other or {})})}
+    labels = np.array([label[node] for node in placed])
     out = []
-    stack = [(0, len(rows), 0, 0, 0)]
-    while stack:
-        low, high, depth, overlap, at = stack.pop()
-        first, last = rows[low], rows[high - 1]
-        width = min(len(first), len(last))
-        differs = np.flatnonzero(first[depth:width] != last[depth:width])
-        end = depth + int(differs[0]) if len(differs) else width
-        segment = first[depth:end]
-        if len(segment):
-            place = np.searchsorted(probe, segment)
-            overlap += int((probe[np.minimum(place, len(probe) - 1)] == segment).sum())
-            at = int(np.searchsorted(probe, segment[-1], "right"))
-        while low < high and sizes[low] == end:  # the sets that end here come first
-            if overlap >= need[low]:
-                out.append(order[low])
-            low += 1
-        if low == high:
-            continue
-        if not (overlap + np.minimum(len(probe) - at, sizes[low:high] - end) >= need[low:high]).any():
-            continue
-        heads = np.array([rows[k][end] for k in range(low, high)])
-        edges = [low, *(low + 1 + np.flatnonzero(heads[1:] != heads[:-1])).tolist(), high]
-        stack += [(a, b, end, overlap, at) for a, b in zip(edges, edges[1:])]
+    for begin, (node, probe) in enumerate([(n, stored[n]) for n in placed] if other is None else one.items()):
+        for k in tree.links(probe, begin + 1 if other is None else 0, labels != label[node]):
+            if labels[k] == label[node]:
+                continue  # linked since by way of another set
+            out.append((node, placed[k]))
+            old, new = int(labels[k]), label[node]
+            labels[labels == old] = new
+            label = {n: new if v == old else v for n, v in label.items()}
     return out
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, set)`` for the documents ``wanted(doc_id)``; one row per node."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [shingle_set(text) for text in utf8(batch.column("text"))]
-        kept = [own for own in sets if len(own)]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in kept], pa.int64()), pa.array([s.tobytes() for s in kept], pa.binary())], ["node", "set"])
-
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return over_batches(texts, run, "node long, set binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that link. The partners of one ``a`` are dealt into trees of about TREE_SETS sets."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select("a", (1 + F.floor(F.col("k") / TREE_SETS)).alias("trees"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int").alias("tree"))
-    stored = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "tree", "b", "set")
-    probes = dealt.select("a", "tree").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "tree", F.lit(None).cast("long").alias("b"), "set")
+def cluster_links(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join the sets of ``clusters(node, doc_id, cluster)``; texts are taken from ``docs``."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", F.ceil(F.col("k") / TREE_SETS).alias("blocks"))
+    dealt = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    members_ = dealt.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "node", "block", "blocks", "text")
+    # Every two blocks are one task: a set goes to those of its block with each block.
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
+    sent = members_.select("cluster", "node", "block", "text", F.explode(tasks).alias("task")).select("cluster", "task.low", "task.high", "node", "block", "text")
 
     def run(group: pa.Table) -> pa.Table:
-        a = group.column("a")[0].as_py()
-        b = group.column("b").to_pylist()
-        sets = {node: np.frombuffer(own, np.uint64) for node, own in zip(b, group.column("set").to_pylist())}
-        probe = sets.pop(None, None)
-        nodes = list(sets)
-        found = [nodes[k] for k in tree_links(probe, list(sets.values()))] if probe is not None else []
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
+        sides: dict[int, dict[int, np.ndarray]] = {low: {}, high: {}}
+        for node, block, text in zip(group.column("node").to_pylist(), group.column("block").to_pylist(), utf8(group.column("text").combine_chunks())):
+            own = shingle_set(text)
+            if len(own) and node_of(own) == node:  # another text may stand under a repeated id
+                sides[block][node] = own
+        found = block_links(sides[low], None if low == high else sides[high])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return stored.union(probes).groupBy("a", "tree").applyInArrow(run, "a long, b long")
+    return sent.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)`` per row of ``docs(doc_id, text)``.
-
-    ``n_links`` counts the verified links of the row's set with other sets; inside a large group links that cannot
-    change a component are not looked for.
-    """
+    """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``."""
     parts = _parts(docs)
     order = Order(*heavy_shingles(docs, parts), parts)
     rows = pinned(members(docs, order))
     groups = pinned(light_groups(rows, parts))
-    light = pinned(groups.where("b is not null").select("a", "b").distinct())
-    # Sizes in one bucket differ below 25 %.
-    bucket = F.floor(F.log("n") / float(np.log(1.25))).cast("int").alias("bucket")
-    large = groups.where("b is null").select("shingle", F.col("a").alias("node"), "n", "at")
+    # Sizes that can link differ by 25 % at most, so their buckets are equal or next to each other.
+    bucket = F.floor(F.log("n") / float(np.log(1.26))).cast("int").alias("bucket")
+    large = groups.where("b is null").select("shingle", F.col("a").alias("node"), F.col("na").alias("n"))
     entries = pinned(heavy_entries(rows).union(large).dropDuplicates(["shingle", "node"]).select("*", bucket))
-    star = pinned(star_pairs(entries))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    in_pairs = light.union(star).select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node")).distinct()
-    wanted = nodes.join(in_pairs, "node", "left_semi").select("doc_id")
-    sets = pinned(sets_of(docs, wanted).dropDuplicates(["node"]))
-    links = pinned(verified(light.union(star).distinct(), sets))
-    labels = components(links)
-    open_ = pinned(open_pairs(entries, labels).join(links, ["a", "b"], "left_anti"))
-    more = pinned(verified(open_, sets))
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
-    ids = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    clusters = components(light_pairs(groups).union(star_pairs(entries))).withColumnRenamed("label", "cluster")
+    links = pinned(cluster_links(pinned(clusters.join(nodes, "node")), docs))
+    ids = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = ids.join(least, "label").join(degree, "node", "left").select("node", "component_id", "n_links")
+    named = ids.join(least, "label").select("node", "component_id")
     filled = rows.where("node is not null").select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node")
-    empty = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return filled.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).union(empty)
+    empty = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return filled.select("doc_id", "n_shingles", "component_id").union(empty)
