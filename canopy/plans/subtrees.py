@@ -70,9 +70,8 @@ def _ends(points: DataFrame, ranges: DataFrame, ident: list[str], measures: list
         & (F.col("p.block") == F.col("r.block"))
         & F.col("p.node_id").between(F.col("r.first"), F.col("r.last"))
     )
-    # Hashing the few ranges of a partition saves sorting all of its nodes.
-    ends = at.alias("r").hint("shuffle_hash")
-    return points.alias("p").join(ends, on).select(*[f"r.{c}" for c in ident], *[f"p.{m}" for m in measures])
+    # No hint: adaptive execution hashes the ranges where all partitions of them are small, and sorts (and spills) else.
+    return points.alias("p").join(at.alias("r"), on).select(*[f"r.{c}" for c in ident], *[f"p.{m}" for m in measures])
 
 
 def _middles(points: DataFrame, ranges: DataFrame, ident: list[str], measures: list[str]) -> DataFrame:
