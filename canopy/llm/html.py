@@ -84,7 +84,8 @@ class PageParser(HTMLParser):
             self.close_implied(tag, stop=("ul", "ol", "dl", "table", "select", "menu"))
         if tag in VOID:
             return
-        element = _Element(tag, _is_noise(tag, dict(attrs)), self.main_depth > 0 or tag in MAIN or tag in ("html", "body"), len(self.blocks))
+        noise = _is_noise(tag, dict(attrs)) or (tag == "header" and not self.main_depth)  # in an article it holds the title
+        element = _Element(tag, noise, self.main_depth > 0 or tag in MAIN or tag in ("html", "body"), len(self.blocks))
         if tag in MAIN and not self.noise_depth:
             self.saw_main = True
         self.main_depth += tag in MAIN

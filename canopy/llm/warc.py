@@ -56,7 +56,8 @@ def _record(kind: str, record_id: F.Column, headers: list[F.Column], block: F.Co
 def write_captures(pages: DataFrame, path: str) -> None:
     """Write three records per row of ``pages(page_id, url, html)`` as gzip-compressed archives under ``path``.
 
-    Only digests and ids are shuffled, to find the first row of every payload; the payloads go from the scan to the file.
+    The first row of every repeated payload is found from digests and ids alone; the payloads are shuffled once, by digest,
+    to meet it. A digest that a third of all rows share meets one row there, which adaptive execution can split.
     """
     spark = pages.sparkSession
     prepare(spark)

@@ -127,6 +127,10 @@ PAGE = "<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav>
 def test_html_parser():
     page = html.parse_page(PAGE.format("<article><h1>A &amp; b</h1><p>one<b>x</b>\n two<br>three<p>four<script>var a='</p>'</script><div class='comments'>no</div></article>"))
     assert [t for t, main, noise, _ in page.blocks if main and not noise] == ["A & b", "onex two", "three", "four"]
+    page = html.parse_page("<body><header>site</header><p>a</p></body>")
+    assert [t for t, _, noise, _ in page.blocks if not noise] == ["a"]
+    page = html.parse_page("<body><article><header><h1>Title</h1></header>a</article></body>")
+    assert [t for t, main, noise, _ in page.blocks if main and not noise] == ["Title", "a"]
     for odd in ("", "<", "<p", "a<b", "</p></div>", "<ul><li>x<li>y</ul>z", "<!-- open", "&#x41;&am"):
         html.parse_page(odd)
 
