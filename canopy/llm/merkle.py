@@ -31,23 +31,32 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern, -1), lambda piece: piece != "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda Spark evaluates every mention of an expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text."""
-    # Level by level: each step keeps (digest of the node, its printed form).
+    # Each level yields the digest of a node followed by the printed form of its children.
     def paragraph(piece):
         leaves = F.transform(_pieces(piece, CLAUSE_END), _sha)
-        return F.concat(_sha(F.array_join(leaves, "")), F.lit("."), F.array_join(F.transform(leaves, lambda d: F.substring(d, 1, 8)), "."))
+        return _once(leaves, lambda own: F.concat(_sha(F.array_join(own, "")), F.lit("."), F.array_join(F.transform(own, lambda d: F.substring(d, 1, 8)), ".")))
 
     def section(piece):
-        nodes = F.transform(_pieces(piece, PARAGRAPH_END), paragraph)
-        digest = _sha(F.array_join(F.transform(nodes, lambda n: F.substring(n, 1, 64)), ""))
-        printed = F.array_join(F.transform(nodes, lambda n: F.concat(F.substring(n, 1, 12), F.substring(n, 65, 1 << 30))), ";")
-        return F.concat(digest, F.lit(";"), printed)
-
-    sections = F.transform(_pieces(F.coalesce(text, F.lit("")), SECTION_END), section)
-    root = _sha(F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 64)), ""))
-    printed = F.array_join(F.transform(sections, lambda s: F.concat(F.substring(s, 1, 16), F.substring(s, 65, 1 << 30))), "/")
-    return F.concat(root, F.lit("/"), printed)
+        def node(own):
+            digest = _sha(F.array_join(F.transform(own, lambda n: F.substring(n, 1, 64)), ""))
+            printed = F.transform(own, lambda n: F.concat(F.substring(n, 1, 12), F.substring(n, 65, 1 << 30)))
+            return F.concat(digest, F.lit(";"), F.array_join(printed, ";"))
+
+        return _once(F.transform(_pieces(piece, PARAGRAPH_END), paragraph), node)
+
+    def whole(own):
+        root_ = _sha(F.array_join(F.transform(own, lambda s: F.substring(s, 1, 64)), ""))
+        printed = F.transform(own, lambda s: F.concat(F.substring(s, 1, 16), F.substring(s, 65, 1 << 30)))
+        return F.concat(root_, F.lit("/"), F.array_join(printed, "/"))
+
+    return _once(F.transform(_pieces(F.coalesce(text, F.lit("")), SECTION_END), section), whole)
 
 
 def root(print_: Column) -> Column:
