@@ -87,6 +87,19 @@ def edited_paragraphs(one: Column, other: Column) -> Column:
     return F.when(root(one) == root(other), F.array().cast("array<int>")).otherwise(F.array_compact(at))
 
 
+def _range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above ``value``: first among every k-th bound, then among the next k."""
+    k = max(1, round(len(bounds) ** 0.5))
+    pieces = [bounds[at : at + k] for at in range(0, len(bounds), k)]
+    numbers = lambda values: F.array(*(F.lit(b) for b in values)).cast("array<bigint>")
+    below = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    if not bounds:
+        return F.lit(0)
+    piece = below(numbers(p[0] for p in pieces))
+    inside = F.array(*(numbers(p) for p in pieces))[F.greatest(piece - 1, F.lit(0))]
+    return F.when(piece == 0, 0).otherwise((piece - 1) * k + below(inside))
+
+
 def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Every row with a struct ``next`` of ``columns`` from the row that follows by ``key`` (and ``columns`` on ties).
 
@@ -98,8 +111,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     prepare(spark)
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
-    bounds = F.array(*(F.lit(b) for b in sorted(set(found or [])))).cast("array<bigint>")
-    dealt = docs.withColumn("_range", F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(key)))))
+    dealt = docs.withColumn("_range", F.when(F.col(key).isNull(), F.lit(0)).otherwise(_range_of(F.col(key), sorted(set(found or [])))))
     value = F.struct(*columns)  # only for the heads: beside the columns it would double what the window's exchange carries
     order = Window.partitionBy("_range").orderBy(F.col(key), *(F.col(c) for c in columns))
     rows = dealt.withColumns({f"_next_{c}": F.lead(c).over(order) for c in columns} | {"_has_next": F.lead(F.lit(True)).over(order)})
