@@ -89,6 +89,15 @@ class Block:
         return self.keys(np.array(ids, np.int64), min(SHINGLE, len(ids)))
 
 
+def _among(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where ``own`` holds one of the sorted ``keys``. Most entries are -1 and are not looked up."""
+    known = np.flatnonzero(own >= 0)
+    if not len(keys) or not len(known):
+        return known[:0]
+    found = own[known]
+    return known[keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found]
+
+
 def _sizes(block: Block) -> list[int]:
     return sorted({min(SHINGLE, len(ids)) for ids in block.ids})
 
@@ -102,7 +111,7 @@ def shingle_counts(docs: DataFrame, block: Block) -> dict[int, int]:
         found = []
         for text in utf8(batch.column("text")):
             ids = block.text_ids(words_of(text))
-            found += [own[np.isin(own, keys)] for own in (block.keys(ids, size) for size in sizes) if len(own) and own.max() >= 0]
+            found += [own[_among(own, keys)] for own in (block.keys(ids, size) for size in sizes)]
         key, count = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "n"])
 
@@ -135,7 +144,7 @@ def document_anchors(docs: DataFrame, block: Block, prefix_keys: np.ndarray) ->
             own = []
             for size in sizes:
                 keys = block.keys(ids, size)
-                for at in np.flatnonzero(np.isin(keys, prefix_keys)).tolist():
+                for at in _among(keys, prefix_keys).tolist():
                     begin = max(0, at - WINDOW + 1)
                     own.append({"key": int(keys[at]), "at": at, "begin": begin, "context": ids[begin : at + WINDOW].astype(np.int32)})
             counts.append(len(ids))
