@@ -359,7 +359,8 @@ def cluster_links(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", F.ceil(F.col("k") / TREE_SETS).alias("blocks"))
     dealt = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    members_ = dealt.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "node", "block", "blocks", "text")
+    # The clusters grow with the corpus, so they are never broadcast to the texts.
+    members_ = dealt.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "node", "block", "blocks", "text")
     # Every two blocks are one task: a set goes to those of its block with each block.
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
     sent = members_.select("cluster", "node", "block", "text", F.explode(tasks).alias("task")).select("cluster", "task.low", "task.high", "node", "block", "text")
