@@ -207,12 +207,12 @@ def register(catalog: Catalog) -> None:
           '\n\n## Notes\n| `other/file` | Delete |\n')"""
         return orders.select("o_orderkey", F.expr(body).alias("body"))
 
-    def tasks(s, d):
+    def task_documents(s, d):
         return records.read_tasks(task_texts(s, d), "body")
 
     add(
         "r01_task_documents",
-        lambda s, d: tasks(s, d).select(
+        lambda s, d: task_documents(s, d).select(
             "o_orderkey", "task_id", "title", "status", F.array_join("depends_on", ",").alias("depends_on"), F.size("blocks").alias("blocks"),
             F.array_join(F.transform("files", lambda f: F.concat(f["action"], F.lit(" "), f["path"])), ",").alias("files"), F.array_join("tests", ",").alias("tests"),
         ),
@@ -224,7 +224,7 @@ def register(catalog: Catalog) -> None:
     )
     add(
         "r04_task_sizes",
-        lambda s, d: gate.size_limits(records.task_sizes(tasks(s, d)).withColumns({"files": F.col("files") * 4, "tests": F.col("tests") * 4}), "task_id", "files", "tests"),
+        lambda s, d: gate.size_limits(records.task_sizes(task_documents(s, d)).withColumns({"files": F.col("files") * 4, "tests": F.col("tests") * 4}), "task_id", "files", "tests"),
         """select 'P1-' || l_orderkey as task_id, 4 * count(*) as files, 4 * count(*) as tests, 4 * count(*) > 10 as over_files, 4 * count(*) > 20 as over_tests
           from lineitem group by l_orderkey having count(*) > 2""",
     )
