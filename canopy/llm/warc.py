@@ -57,7 +57,8 @@ def write_captures(pages: DataFrame, path: str) -> None:
     """Write three records per row of ``pages(page_id, url, html)`` as gzip-compressed archives under ``path``.
 
     The first row of every repeated payload is found from digests and ids alone; the payloads are shuffled once, by digest,
-    to meet it. A digest that a third of all rows share meets one row there, which adaptive execution can split.
+    to meet it. A digest that a third of all rows share meets one row there; as that side is written first, adaptive
+    execution can split its rows.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -67,7 +68,7 @@ def write_captures(pages: DataFrame, path: str) -> None:
         F.sha2(F.col("html").cast("binary"), 256).alias("digest"),
         F.monotonically_increasing_id().cast("string").alias("_key"),
     )
-    first = (
+    first = pinned(
         rows.where(f"bytes >= {SMALLEST_REVISIT}")
         .groupBy("digest")
         .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_key")).alias("first"), F.count(F.lit(1)).alias("copies"))
