@@ -49,7 +49,7 @@ HEAVY_SHINGLES = 300_000
 SMALL_GROUP = 32
 #: Sets of one block; a task holds two at most.
 TREE_SETS = 256
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 17
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -270,8 +270,11 @@ def heavy_entries(prefixes: DataFrame) -> DataFrame:
 
 
 def star_pairs(entries: DataFrame) -> DataFrame:
-    """Each member of a heavy group with the pilot of its bucket and of the next: a join with one row per group."""
-    pilots = entries.groupBy("shingle", "bucket").agg(F.min("node").alias("pilot"))
+    """Each member of a heavy group with the pilot of its bucket and of the next: a join with one row per group.
+
+    The pilots are written first: with an exchange on either side adaptive execution can split a hot shingle's members.
+    """
+    pilots = pinned(entries.groupBy("shingle", "bucket").agg(F.min("node").alias("pilot")))
     near = entries.select("shingle", "node", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     pairs = near.join(pilots, ["shingle", "bucket"]).where("pilot <> node")
     return pairs.select(F.least("pilot", "node").alias("a"), F.greatest("pilot", "node").alias("b")).distinct()
@@ -392,7 +395,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = components(light_pairs(groups).union(star_pairs(entries))).withColumnRenamed("label", "cluster")
     links = pinned(cluster_links(pinned(clusters.join(nodes, "node")), docs))
     ids = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = pinned(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     named = ids.join(least, "label").select("node", "component_id")
     filled = rows.where("node is not null").select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node")
     empty = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

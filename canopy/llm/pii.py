@@ -155,7 +155,8 @@ def pseudonymized(docs: DataFrame, key: str = "canopy", counter: str | None = No
     hit = docs.where(has_entity(F.col("text")))
     pairs = pinned(hit.select(F.sha2(F.col("text").cast("binary"), 256).alias("_key"), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity")).distinct())
     table = surrogates(pairs.select("entity"), key)
-    maps = pairs.join(table, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map"))
+    # Written, so that the join below has an exchange on either side and a text that many rows share can be split.
+    maps = pinned(pairs.join(table, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map")))
     own = hit.select(F.struct(*columns).alias("_row"), F.sha2(F.col("text").cast("binary"), 256).alias("_key")).join(maps, "_key")
     text = F.col("_row.text")
     own = own.select("_row", F.split(text, ENTITY, -1).alias("_between"), F.transform(entities(text), lambda e: F.element_at("_map", e)).alias("_new"))

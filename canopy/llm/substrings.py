@@ -100,12 +100,12 @@ def repeated_spans(docs: DataFrame, shortest: int = SHORTEST_SPAN) -> DataFrame:
     """``(doc_id, start, end, n_chunks, first_doc_ids)``: one row per repeated passage of a document that does not keep it.
 
     ``start`` and ``end`` are code points; ``first_doc_ids`` are the documents that keep the chunks. Counting sums
-    before its shuffle; a chunk that a third of all documents hold meets one row in the join, which adaptive
-    execution can split.
+    before its shuffle. A chunk that a third of all documents hold meets one row in the join; as the keepers are
+    written first, both sides of it are exchanges and adaptive execution can split the chunk's rows.
     """
     pieces = pinned(chunks(docs))
     keeper = pieces.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null")
-    again = pieces.join(keeper.select("high", "low", "first"), ["high", "low"]).where("doc_id is null or doc_id > first")
+    again = pieces.join(pinned(keeper.select("high", "low", "first")), ["high", "low"]).where("doc_id is null or doc_id > first")
     run = F.col("at") - F.row_number().over(Window.partitionBy("_row").orderBy("at"))  # a group is one text
     spans = again.withColumn("run", run).groupBy("_row", "run")
     spans = spans.agg(

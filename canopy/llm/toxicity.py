@@ -13,9 +13,11 @@ counts as held out; texts of any length are scored whole; extra columns are igno
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ BUCKETS = 1 << 18
 STEPS = 60
 TOKEN = re.compile(r"\w+")
 #: Words whose emission score one worker keeps.
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 17
 
 
 def features(word: str) -> list[int]:
@@ -47,15 +49,19 @@ def _begins(word: str) -> list[str]:
 
 def token_lexicon(texts: list[list[str]], labels: list[int]) -> set[str]:
     """Words and word begins (marked by ``*``) that set toxic documents of the sample apart."""
-    seen = (Counter(), Counter())
-    for words, label in zip(texts, labels):
-        seen[label].update({part for word in set(words) for part in _begins(word)})
     n = [labels.count(k) for k in (0, 1)]
+    parts_of = lambda words: {part for word in set(words) for part in _begins(word)}
+    toxic: Counter = Counter()
+    for words, label in zip(texts, labels):
+        if label:
+            toxic.update(parts_of(words))
     support = max(4, 0.01 * n[1])
-    return {
-        part for part, k in seen[1].items()
-        if k >= support and (k / n[1]) > 20 * (seen[0][part] + 0.25) / (n[0] + 0.5)
-    }
+    frequent = {part: k for part, k in toxic.items() if k >= support}
+    clean: Counter = Counter()
+    for words, label in zip(texts, labels):
+        if not label:
+            clean.update(parts_of(words) & frequent.keys())
+    return {part for part, k in frequent.items() if (k / n[1]) > 20 * (clean[part] + 0.25) / (n[0] + 0.5)}
 
 
 class Field:
@@ -103,7 +109,7 @@ def train_field(sequences: list[list[str]], tags: list[list[int]], steps: int =
     """Maximise the conditional likelihood of the tags with AdaGrad. The pair marginals give the gradient of the moves."""
     n, width = len(sequences), SEQUENCE
     index: dict[str, list[int]] = {}
-    flat_features, flat_tokens = [], []
+    flat_features, flat_tokens = array("i"), array("i")
     y = np.zeros((n, width))
     mask = np.zeros((n, width), bool)
     for i, (words, own) in enumerate(zip(sequences, tags)):
@@ -111,11 +117,11 @@ def train_field(sequences: list[list[str]], tags: list[list[int]], steps: int =
             found = index.get(word)
             if found is None:
                 found = index[word] = features(word)
-            flat_features += found
-            flat_tokens += [i * width + t] * len(found)
+            flat_features.extend(found)
+            flat_tokens.extend([i * width + t] * len(found))
         y[i, : len(own)] = own
         mask[i, : len(words)] = True
-    feature, token = np.array(flat_features), np.array(flat_tokens)
+    feature, token = np.frombuffer(flat_features, np.int32), np.frombuffer(flat_tokens, np.int32)
     weights, moves = np.zeros(BUCKETS), np.zeros((2, 2))
     past_w, past_m = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     weights[0] = -2.0
@@ -185,14 +191,14 @@ class Tagger:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The marginals of every text's tokens."""
+    def tag(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
+        """The marginals of every text's tokens. The words of one text are held at a time."""
         if self.emissions is None:
             self.emissions = Emissions(self.field.weights)
-        lengths = np.array([len(words) for words in texts], np.int64)
         lookup = self.emissions.__getitem__
-        scores = np.fromiter((lookup(word) for words in texts for word in words), np.float64, int(lengths.sum()))
-        return np.split(self.field.marginals(scores, lengths), np.cumsum(lengths)[:-1]) if len(texts) else []
+        scores = [np.fromiter(map(lookup, words), np.float64, len(words)) for words in texts]
+        lengths = np.array([len(s) for s in scores], np.int64)
+        return np.split(self.field.marginals(np.concatenate(scores), lengths), np.cumsum(lengths)[:-1]) if scores else []
 
     def score(self, marginals: list[np.ndarray]) -> np.ndarray:
         found = summary(marginals)
@@ -215,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     if not sample or not 0 < share < 1:
         return Tagger(None, np.zeros(3), share)
     unique = dict(sample)
-    texts, y = [words_of(text) for text in unique], [int(v > 0) for v in unique.values()]
+    texts, y = [list(map(sys.intern, words_of(text))) for text in unique], [int(v > 0) for v in unique.values()]
     lexicon = token_lexicon(texts, y)
     sequences, tags, plain = [], [], []
     for words, label in zip(texts, y):
@@ -247,7 +253,7 @@ def score_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
         if tagger.field is None:
             scores, counts, spans = [tagger.share] * len(raw), [0] * len(raw), [[]] * len(raw)
         else:
-            marginals = tagger.tag([words_of(text) for text in raw])
+            marginals = tagger.tag(words_of(text) for text in raw)
             scores = tagger.score(marginals)
             counts = [int((m > 0.5).sum()) for m in marginals]
             spans = [_spans(text, m) if k else [] for text, m, k in zip(raw, marginals, counts)]
@@ -287,8 +293,8 @@ def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, with all their columns; texts are not shuffled."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [words_of(text) for text in utf8(batch.column("text"))]
-        scores = np.full(len(texts), tagger.share) if tagger.field is None else tagger.score(tagger.tag(texts))
+        texts = utf8(batch.column("text"))
+        scores = np.full(len(texts), tagger.share) if tagger.field is None else tagger.score(tagger.tag(words_of(text) for text in texts))
         yield batch.filter(pa.array(scores < 0.5))
 
     return over_batches(docs, run, docs.schema)
