@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from canopy.session import written
 
 #: Bounds of one Arrow batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ HEAVY_SHINGLES = 300_000
 SMALL_GROUP = 32
 #: Sets of one block; a task holds two at most.
 TREE_SETS = 256
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 16
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

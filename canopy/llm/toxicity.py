@@ -34,7 +34,7 @@ BUCKETS = 1 << 18
 STEPS = 60
 TOKEN = re.compile(r"\w+")
 #: Words whose emission score one worker keeps.
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 16
 
 
 def features(word: str) -> list[int]:
