@@ -26,7 +26,7 @@ from canopy.llm.common import over_batches, utf8
 #: Code points of one pass of the scan; a longer text is a pass of its own.
 PASS_CHARS = 1 << 18
 #: Slices that one worker keeps merged.
-CACHE_SLICES = 1 << 16
+CACHE_SLICES = 1 << 18
 #: Slices up to this many bytes are merged over plain lists, longer ones with a heap.
 SHORT_SLICE = 64
 #: Length of the scan's blocks.
