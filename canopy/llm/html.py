@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
-Every element subtree outside the article is hashed. Spark counts, per host, on how many pages a subtree occurs; those
-that recur are the site's template and go with all they contain. An exact check follows: of what is left, only text of
-the article stays (or of the whole body where a page marks no article), without elements whose tag, role or class
-names them as menus, notices, adverts, forms and the like.
+Every element subtree is hashed, inside the article as outside of it. Spark counts, per host, on how many pages a subtree
+occurs; those that recur are the site's template and go with all they contain. An exact check follows: of what is left,
+only text of the article stays (or of the whole body where a page marks no article, or where all text of its articles
+was template), without elements whose tag, role or class names them as menus, notices, adverts, forms and the like.
+Subtrees that hold nothing but what the check drops anyway are not counted.
 
 Defined cases: null and empty html give an empty text; a null url or one without a host shares the host ``''``; repeated
 rows are separate pages; unclosed and unopened tags are closed or skipped as browsers do; extra columns are ignored.
@@ -55,23 +56,23 @@ def _is_noise(tag: str, attrs: dict) -> bool:
 class _Element:
     __slots__ = ("tag", "noise", "main", "hash", "first")
 
-    def __init__(self, tag: str, noise: bool, main: bool, first: int):
+    def __init__(self, tag: str, noise: bool, main: bool, first: int, hashed: bool):
         self.tag, self.noise, self.main, self.first = tag, noise, main, first
-        self.hash = None if main else hashlib.blake2b(tag.encode(), digest_size=8)
+        self.hash = hashlib.blake2b(tag.encode(), digest_size=8) if hashed else None
 
 
 class PageParser(HTMLParser):
-    """One pass over a page: text blocks with their place, and the digests of all subtrees outside the article.
+    """One pass over a page: text blocks with their place and, with ``hashed``, the digests of the subtrees around them.
 
     ``blocks`` holds [text, inside the article, noise by rule, digests of the subtrees around it].
     """
 
-    def __init__(self):
+    def __init__(self, hashed: bool = True):
         super().__init__(convert_charrefs=True)
         self.open: list[_Element] = []
         self.blocks: list[list] = []
         self.parts: list[str] = []
-        self.subtrees: set[int] = set()
+        self.hashed = hashed
         self.saw_main = False
         self.noise_depth = self.main_depth = 0
 
@@ -85,7 +86,7 @@ class PageParser(HTMLParser):
         if tag in VOID:
             return
         noise = _is_noise(tag, dict(attrs)) or (tag == "header" and not self.main_depth)  # in an article it holds the title
-        element = _Element(tag, noise, self.main_depth > 0 or tag in MAIN or tag in ("html", "body"), len(self.blocks))
+        element = _Element(tag, noise, self.main_depth > 0 or tag in MAIN, len(self.blocks), self.hashed and tag not in ("html", "body"))
         if tag in MAIN and not self.noise_depth:
             self.saw_main = True
         self.main_depth += tag in MAIN
@@ -125,7 +126,6 @@ class PageParser(HTMLParser):
             if element.tag not in INLINE:
                 self.end_block_of(element)
             digest = int.from_bytes(element.hash.digest(), "little", signed=True)
-            self.subtrees.add(digest)
             for block in self.blocks[element.first :]:
                 block[3].append(digest)
             if self.open and self.open[-1].hash is not None:
@@ -159,76 +159,74 @@ class PageParser(HTMLParser):
             self.pop()
 
 
-def parse_page(html: str) -> PageParser:
-    parser = PageParser()
+def parse_page(html: str, hashed: bool = True) -> PageParser:
+    parser = PageParser(hashed)
     parser.feed(html)
     parser.finish()
     return parser
 
 
-PARSED = (
-    "_row long, page_id long, url string, host string, has_main boolean, main_text string, "
-    "outer array<struct<at:int,text:string,main:boolean,noise:boolean,around:array<bigint>>>, subtrees array<bigint>"
-)
-_OUTER = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string()), ("main", pa.bool_()), ("noise", pa.bool_()), ("around", pa.list_(pa.int64()))]))
+def page_text(page: PageParser, deleted: set[int]) -> str:
+    """The exact check on what is left of a page without the subtrees ``deleted``."""
+    left = [block for block in page.blocks if not block[2] and deleted.isdisjoint(block[3])]
+    inside = [block for block in left if block[1]]
+    # Articles that were nothing but template mark no article.
+    marked = inside or (page.saw_main and not any(main and not noise for _, main, noise, _ in page.blocks))
+    return " ".join(block[0] for block in (inside if marked else left))
+
 
+SUBTREES = "host string, page binary, content long, subtrees array<bigint>"
+TEXTS = "page_id long, url string, text string"
 
-def _parse_batch(batch: pa.RecordBatch):
-    main_texts, has_main, outers, subtrees = [], [], [], []
+
+def _hash_batch(batch: pa.RecordBatch):
+    contents, subtrees = [], []
     for html in batch.column("html").to_pylist():
-        page = parse_page(html or "")
-        main = [text for text, inside, noise, _ in page.blocks if inside and not noise]
-        main_texts.append(" ".join(main))
-        has_main.append(page.saw_main)
-        outers.append([
-            {"at": at, "text": text, "main": inside, "noise": noise, "around": around}
-            for at, (text, inside, noise, around) in enumerate(page.blocks)
-            if not inside
-        ])
-        subtrees.append(sorted(page.subtrees))
+        blocks = [block for block in parse_page(html or "").blocks if not block[2]]
+        text = "\n".join(block[0] for block in blocks).encode("utf-8", "surrogatepass")
+        contents.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True))
+        subtrees.append(sorted({digest for block in blocks for digest in block[3]}))
     yield pa.RecordBatch.from_arrays(
-        [batch.column("_row"), batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(has_main, pa.bool_()),
-         pa.array(main_texts, pa.string()), pa.array(outers, _OUTER), pa.array(subtrees, pa.list_(pa.int64()))],
-        ["_row", "page_id", "url", "host", "has_main", "main_text", "outer", "subtrees"],
-    )
+        [batch.column("host"), batch.column("page"), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))],
+        ["host", "page", "content", "subtrees"],
+    )
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: text of the article, text blocks outside of it, digests of all subtrees outside of it."""
+def _text_batch(batch: pa.RecordBatch):
+    texts = []
+    for html, deleted in zip(batch.column("html").to_pylist(), batch.column("deleted").to_pylist()):
+        texts.append(page_text(parse_page(html or "", hashed=bool(deleted)), set(deleted or ())))
+    yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """Pages with their host and the digest of their html; equal pages of a host have equal templates."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), "page_id", "url", host.alias("host"), "html")
-    return over_batches(rows, _parse_batch, PARSED)
+    return pages.select("page_id", "url", host.alias("host"), F.unhex(F.md5(F.coalesce("html", F.lit("")).cast("binary"))).alias("page"), "html")
 
 
-def site_templates(parsed: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
+def site_templates(hashed: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
     """The subtrees ``(host, digest, pages)`` that recur on at least ``min_pages`` pages of their host.
 
     Each page counts a subtree once, and counts are summed before the shuffle, so a host with a third of all pages is no
     hot group.
     """
-    each = parsed.select("host", F.explode("subtrees").alias("digest"))
+    each = hashed.select("host", F.explode("subtrees").alias("digest"))
     return each.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
 
 
 def extract(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
     """``(page_id, url, text, n_chars)``: the main text of every page.
 
-    Only text blocks outside an article are joined with the templates; the texts of articles are never shuffled.
+    Pages are parsed twice, once for their digests and once for their text, so that no text is written between. Deleted
+    subtrees are written before the join with the pages; both its sides are then exchanges, and a page with many copies
+    can be split.
     """
-    parsed = pinned(parsed_pages(pages))
-    templates = pinned(site_templates(parsed, min_pages))
-    around = parsed.where("not has_main").select("_row", "host", F.explode("outer").alias("b")).select("_row", "host", "b.*")
-    hit = (
-        around.select("_row", "at", "host", F.explode("around").alias("digest"))
-        .join(templates.select("host", "digest"), ["host", "digest"], "left_semi")
-        .select("_row", "at")
-        .distinct()
-        .groupBy("_row")
-        .agg(F.collect_set("at").alias("deleted"))
-    )
-    # Exact check on what the templates leave: text outside an article stays only on pages without one.
-    kept = F.filter("outer", lambda b: ~b["noise"] & ~F.coalesce(F.array_contains("deleted", b["at"]), F.lit(False)))
-    open_pages = parsed.where("not has_main").join(hit, "_row", "left")
-    bodies = open_pages.select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
-    articles = parsed.where("has_main").select("page_id", "url", F.col("main_text").alias("text"))
-    return articles.union(bodies).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    named = keyed(pages)
+    hashed = pinned(over_batches(named.select("host", "page", "html"), _hash_batch, SUBTREES))
+    templates = pinned(site_templates(hashed, min_pages))
+    around = hashed.select("host", "page", F.explode("subtrees").alias("digest"))
+    hit = around.join(templates.select("host", "digest"), ["host", "digest"], "left_semi")
+    hit = pinned(hit.groupBy("host", "page").agg(F.collect_set("digest").alias("deleted")))
+    joined = named.join(hit, ["host", "page"], "left").select("page_id", "url", "html", "deleted")
+    return over_batches(joined, _text_batch, TEXTS).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -147,6 +147,16 @@ def test_html_templates_go(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_templates_go_inside_articles(spark):
+    box = "<div class='box'><p>More from us</p></div>"
+    bodies = [f"<article><h1>T{k}</h1><p>text {k}</p>{box}</article><div>out {k}</div>" for k in range(6)]
+    bodies += [f"<article>{box}</article><div>out {k}</div>" for k in (6, 7)]
+    bodies += ["<article></article><div>out 8</div>"]
+    pages = spark.createDataFrame([(k, "http://h.example/x", PAGE.format(b)) for k, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got == {**{k: f"T{k} text {k}" for k in range(6)}, 6: "out 6", 7: "out 7", 8: ""}
+
+
 def test_warc_round_trip(spark):
     long = "é" * 60
     rows = [(1, "http://a", long), (2, "http://b", long), (3, None, "short"), (4, "http://c", "short"), (5, "http://d", None), (2, "http://b", long), (None, "http://e", long), (6, "x", "WARC/1.1\r\n\r\n" * 20)]
