@@ -38,27 +38,41 @@ NOISE_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe svg button select textarea head title menu dialog object canvas".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|footer|comments?|disqus|replies|share|sharing|social|related|widget|login)(?:$|[\s_-])",
+_NAMES = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|"
+    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|replies|share|sharing|social|related|widget|login"
+)
+#: Outside an article: names with a word of these. ``has-sidebar`` and the like state what else is on the page.
+NOISE_NAMES = re.compile(rf"(?:^|\s)(?!(?:has|with|without|no|is)[_-])(?:\S*[_-])?(?:{_NAMES})(?![^\s_-])|(?:^|\s)(?:site[_-]|global[_-])?header(?!\S)", re.I)
+#: Names that say it as a whole; an element of such a name that holds articles is a list of teasers if there are others.
+TEASER_NAMES = re.compile(rf"(?:^|\s)(?:{_NAMES})(?:[_-](?:posts?|articles?|items?|list|links))?(?!\S)", re.I)
+#: Inside an article: whole names that clearly mean adverts, comments or forms.
+ARTICLE_NAMES = re.compile(
+    r"(?:^|\s)(?:ads?|advert|adverts|advertisements?|advertising|sponsored|comments?|comments?[_-](?:list|section|area|form)|commentlist|respond|replies|"
+    r"disqus|disqus_thread|(?:contact|search|login|signup|subscribe|newsletter)[_-]?form)(?!\S)",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _is_noise(tag: str, attrs: dict) -> bool:
-    if tag in NOISE_TAGS or (attrs.get("role") or "").lower() in NOISE_ROLES or "hidden" in attrs:
-        return True
-    if tag in ("html", "body", "article", "main"):
+    return tag in NOISE_TAGS or (attrs.get("role") or "").lower() in NOISE_ROLES or "hidden" in attrs
+
+
+def _is_named(tag: str, attrs: dict, names: re.Pattern) -> bool:
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
         return False
-    return any(NOISE_NAMES.search(attrs[k] or "") for k in ("class", "id") if k in attrs)
+    return any(names.search(attrs[k] or "") for k in ("class", "id") if k in attrs)
 
 
 class _Element:
-    __slots__ = ("tag", "noise", "main", "hash", "first")
+    __slots__ = ("tag", "noise", "main", "hash", "first", "named", "teasers", "holds")
 
     def __init__(self, tag: str, noise: bool, main: bool, first: int, hashed: bool):
         self.tag, self.noise, self.main, self.first = tag, noise, main, first
         self.hash = hashlib.blake2b(tag.encode(), digest_size=8) if hashed else None
+        #: Noise by name, by a whole name, and whether an article lies inside.
+        self.named = self.teasers = self.holds = False
 
 
 class PageParser(HTMLParser):
@@ -75,6 +89,9 @@ class PageParser(HTMLParser):
         self.hashed = hashed
         self.saw_main = False
         self.noise_depth = self.main_depth = 0
+        self.named: list[_Element] = []
+        self.around: list[tuple[_Element, ...]] = []
+        self.free_main = False
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -85,10 +102,17 @@ class PageParser(HTMLParser):
             self.close_implied(tag, stop=("ul", "ol", "dl", "table", "select", "menu"))
         if tag in VOID:
             return
-        noise = _is_noise(tag, dict(attrs)) or (tag == "header" and not self.main_depth)  # in an article it holds the title
+        attrs = dict(attrs)
+        noise = _is_noise(tag, attrs) or (tag == "header" and not self.main_depth)  # in an article it holds the title
         element = _Element(tag, noise, self.main_depth > 0 or tag in MAIN, len(self.blocks), self.hashed and tag not in ("html", "body"))
+        if _is_named(tag, attrs, ARTICLE_NAMES if self.main_depth else NOISE_NAMES):
+            element.named, element.teasers = True, bool(self.main_depth) or _is_named(tag, attrs, TEASER_NAMES)
+            self.named.append(element)
         if tag in MAIN and not self.noise_depth:
             self.saw_main = True
+            self.free_main |= not self.named
+            for outer in self.named:
+                outer.holds = True
         self.main_depth += tag in MAIN
         self.noise_depth += element.noise
         self.open.append(element)
@@ -122,6 +146,8 @@ class PageParser(HTMLParser):
         element = self.open.pop()
         self.main_depth -= element.tag in MAIN
         self.noise_depth -= element.noise
+        if element.named:
+            self.named.pop()
         if element.hash is not None:
             if element.tag not in INLINE:
                 self.end_block_of(element)
@@ -135,7 +161,12 @@ class PageParser(HTMLParser):
         if self.parts:
             self.open.append(element)
             self.noise_depth += element.noise
+            self.main_depth += element.tag in MAIN
+            self.named += [element] * element.named
             self.end_block()
+            if element.named:
+                self.named.pop()
+            self.main_depth -= element.tag in MAIN
             self.noise_depth -= element.noise
             self.open.pop()
 
@@ -151,12 +182,16 @@ class PageParser(HTMLParser):
             self.parts.clear()
             if text:
                 self.blocks.append([text, self.main_depth > 0, self.noise_depth > 0, []])
+                self.around.append(tuple(self.named))
 
     def finish(self):
         self.close()
         self.end_block()
         while self.open:
             self.pop()
+        # A name rule does not reach articles: an element that holds one is no noise, unless it lists teasers beside others.
+        for block, named in zip(self.blocks, self.around):
+            block[2] |= any(not e.holds or (e.teasers and self.free_main) for e in named)
 
 
 def parse_page(html: str, hashed: bool = True) -> PageParser:

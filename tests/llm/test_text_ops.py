@@ -135,6 +135,21 @@ def test_html_parser():
         html.parse_page(odd)
 
 
+def test_html_names_do_not_reach_articles():
+    def text(body):
+        return html.page_text(html.parse_page(PAGE.format(body)), set())
+
+    assert text("<div class='page has-sidebar'>pre<article><h1>T</h1><p>a</p></article></div>") == "T a"
+    assert text("<div class='promo-layout'>pre<main>a</main></div>") == "a"
+    assert text("<div class='page has-sidebar'><p>a</p><div class='sidebar'>no</div></div>") == "a"
+    assert text("<article><header class='entry-header'><h1>T</h1></header><div class='article-header'>b</div><p>a</p></article>") == "T b a"
+    assert text("<article><div class='related-work'>r</div><div class='copyright-notice'>c</div><h2 class='section-header'>S</h2>a</article>") == "r c S a"
+    assert text("<div class='post-header'><h1>T</h1></div><h2 class='header'>S</h2><p>a</p>") == "T S a"
+    assert text("<article>a<div class='ad'>no</div><div id='comments'>no</div><div class='x newsletter-form'>no</div></article>") == "a"
+    assert text("<article>a</article><div class='related-posts'><article>no</article></div>") == "a"
+    assert text("<div class='ad'>no</div><div class='site-header'>no</div><div class='main-menu'>no</div><p>a</p>") == "a"
+
+
 def test_html_templates_go(spark):
     bodies = [f"<div>Our site offers</div><p>text {k}</p>" for k in range(6)]
     rows = [(k, "http://h.example/x", PAGE.format(b)) for k, b in enumerate(bodies)]
