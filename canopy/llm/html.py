@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
-Every element subtree is hashed, inside the article as outside of it. Spark counts, per host, on how many pages a subtree
-occurs; those that recur are the site's template and go with all they contain. An exact check follows: of what is left,
+Every element subtree is hashed, inside the article as outside of it. Spark counts, per host, in how many distinct page
+contents (texts that the rules leave, so copies count once) a subtree occurs; those in at least half of them are the
+site's template and go with all they contain. An exact check follows: of what is left,
 only text of the article stays (or of the whole body where a page marks no article, or where all text of its articles
 was template), without elements whose tag, role or class names them as menus, notices, adverts, forms and the like.
 Subtrees that hold nothing but what the check drops anyway are not counted.
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from canopy.llm.common import over_batches, pinned
 
-#: A subtree is part of a site's template when it occurs on at least this many pages of the host.
-TEMPLATE_PAGES = 5
+#: A subtree is part of a site's template when it occurs in at least this share of the host's distinct page contents, and
+#: in at least so many. A host with fewer contents has no template: two pages alike do not tell it from a copied text.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 
 # Fixed values of HTML: elements without content, elements that flow inside a line, elements that a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,14 +242,17 @@ def keyed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), F.unhex(F.md5(F.coalesce("html", F.lit("")).cast("binary"))).alias("page"), "html")
 
 
-def site_templates(hashed: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """The subtrees ``(host, digest, pages)`` that recur on at least ``min_pages`` pages of their host.
+def site_templates(hashed: DataFrame, min_pages: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """The subtrees ``(host, digest, pages)`` in a ``share`` of the distinct contents of their host, and in ``min_pages``.
 
-    Each page counts a subtree once, and counts are summed before the shuffle, so a host with a third of all pages is no
-    hot group.
+    Equal contents count once. Counts are summed before the shuffle, so a host with a third of all pages is no hot group;
+    the candidates are written before the join with the hosts' counts, so that such a host can be split there.
     """
-    each = hashed.select("host", F.explode("subtrees").alias("digest"))
-    return each.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    shown = hashed.where(F.size("subtrees") > 0)
+    each = shown.select("host", "content", F.explode("subtrees").alias("digest")).distinct()
+    counts = pinned(each.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages))
+    hosts = pinned(shown.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("contents")))
+    return counts.join(hosts, "host").where(F.col("pages") >= share * F.col("contents")).select("host", "digest", "pages")
 
 
 def extract(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:

@@ -172,6 +172,18 @@ def test_html_templates_go_inside_articles(spark):
     assert got == {**{k: f"T{k} text {k}" for k in range(6)}, 6: "out 6", 7: "out 7", 8: ""}
 
 
+def test_html_templates_are_a_share_of_the_site(spark):
+    box = "<div>Our site offers</div>"
+    copied = "<p>a text that was copied</p>"
+    rows = [("big", f"<p>own {k}</p>" + box * (k % 4 != 0)) for k in range(40)] + [("big", f"<p>six</p><p>more {k}</p>") for k in range(6)]
+    rows += [("big", copied + f"<div class='ad'>{k}</div>") for k in range(60)]
+    rows += [("small", f"<p>s {k}</p>" + box) for k in range(3)] + [("two", f"<p>t {k}</p>" + box) for k in range(2)]
+    pages = spark.createDataFrame([(k, f"http://{host}.example/", PAGE.format(b)) for k, (host, b) in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in sorted(html.extract(pages).collect(), key=lambda r: r.page_id)]
+    want = [f"own {k}" for k in range(40)] + [f"six more {k}" for k in range(6)] + ["a text that was copied"] * 60
+    assert got == want + [f"s {k}" for k in range(3)] + [f"t {k} Our site offers" for k in range(2)]
+
+
 def test_warc_round_trip(spark):
     long = "é" * 60
     rows = [(1, "http://a", long), (2, "http://b", long), (3, None, "short"), (4, "http://c", "short"), (5, "http://d", None), (2, "http://b", long), (None, "http://e", long), (6, "x", "WARC/1.1\r\n\r\n" * 20)]
