@@ -3,8 +3,9 @@
 Entities are found by pattern. Every distinct entity of the corpus gets one surrogate, made by a keyed digest from the
 entity itself, so equal entities have equal surrogates in all documents (coreference). A surrogate keeps the kind and
 the format: length, signs, letter case, script, vowels and consonants, the country code of a phone number, the top level
-domain, the range of IP numbers, a valid check digit of a card number; of a name with a title the title and the last
-letter of each word, which carry the gender. Surrogates that meet another surrogate or an entity of the corpus are made anew with
+domain, the range of IP numbers, the country and the valid check digits of a card number or IBAN; of a name the titles and
+the last letter of each word, which carry the gender. Every word of a name has its own surrogate, so all mentions of a
+surname agree, and words of a titled name are also replaced where they stand alone in the same document. Surrogates that meet another surrogate or an entity of the corpus are made anew with
 the next attempt number until all are distinct.
 
 Defined cases: null texts stay null and empty ones empty; a text without entities is untouched; repeated rows are treated
@@ -22,14 +23,27 @@ from canopy.llm.common import pinned, prepare
 # Titles, patterns by kind in order of precedence, and the alphabets that letters are drawn from.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña")
-TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\b\.? "
+NEUTRAL_TITLES = ("Dr", "Prof", "Professor", "Professeur", "Mx", "Dra")
+TITLE = "(?:(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES) + r")\b\.? )+"
+HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = (
     ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.[\p{L}]{2,}"),
     ("access_key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("iban", r"(?<![\p{L}\d])(?=[A-Z]{2}(?:[A-Z ]*\d){8})[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("card", r"(?<![\p{L}\d])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\p{L}\d])"),
+    ("card", r"(?<![\p{L}\d])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\p{L}\d])"),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"),
-    ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"),
+    (
+        "ipv6",
+        rf"(?<![\p{{L}}\d:.])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|::(?:{HEX}:){{0,6}}{HEX}|(?:{HEX}:){{1,7}}:)(?![\p{{L}}\d:]|\.\d)",
+    ),
+    (
+        "phone",
+        r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|"
+        r"(?<![\p{L}\d])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?[ .-]?\d{2,14}(?:[ .-]\d{2,8}){0,4}(?![\p{L}\d])|"
+        r"(?<![\p{L}\d]|\d[.-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\d]|[.-]\d)|"
+        r"(?<![\p{L}\d]|\d[.-])(?=\(?(?:[ ./()-]{0,2}\d){9,15}(?![\p{L}\d]))(?:\(0\d{1,4}\)|0\d{1,4})[ ./-]{1,2}(?:\d{3,9}(?:[ ./-]\d{2,6}){0,3}|\d{2}(?:[ ./-]\d{2}){3})(?![\p{L}\d])",
+    ),
     ("secret", r"(?<![\p{L}\d])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{16,64}(?![\p{L}\d])"),
     ("name", rf"\b{TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"),
 )
@@ -41,17 +55,44 @@ ALPHABETS = (
 HEX_ALPHABETS = ("0123456789", "abcdef", "ABCDEF")
 ENTITY = "|".join(pattern for _, pattern in KINDS)
 #: What every entity contains; most texts are done with this.
-HINT = rf"[0-9@]|{TITLE}"
+HINT = rf"[0-9@]|::|{TITLE}"
+NAME = dict(KINDS)["name"]
 MAX_ATTEMPTS = 64
+#: The country code of a phone number, by its length where no sign ends it.
+CALLING_CODE = r"^\+(?:\d{1,3}(?=[ .(-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def has_entity(text: Column) -> Column:
     return F.when(text.rlike(HINT), text.rlike(ENTITY)).otherwise(F.lit(False))
 
 
-def entities(text: Column) -> Column:
+def name_words(entity: Column) -> Column:
+    """The words of a name with its titles."""
+    return F.split(F.regexp_replace(entity, rf"\A{TITLE}", ""), " ")
+
+
+def is_name(entity: Column) -> Column:
+    return entity.rlike(rf"\A(?:{NAME})\z")
+
+
+def entity_pattern(text: Column) -> Column:
+    """The pattern of the entities of a text: also the words of its titled names, where they stand alone."""
+    names = F.filter(F.regexp_extract_all(text, F.lit(ENTITY), 0), is_name)
+    words = F.array_distinct(F.flatten(F.transform(names, name_words)))
+    # Longest first, so that a word is never taken for the begin of a longer one.
+    words = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
+    alone = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    return F.when(F.size(words) > 0, alone).otherwise(F.lit(ENTITY))
+
+
+def entities(text: Column, pattern: Column | None = None) -> Column:
     """The entities of a text in order."""
-    return F.regexp_extract_all(text, F.lit(ENTITY), 0)
+    return F.regexp_extract_all(text, F.lit(ENTITY) if pattern is None else pattern, 0)
+
+
+def units(entity: Column) -> Column:
+    """What gets a surrogate of its own: the words of a name, any other entity as a whole."""
+    return F.when(is_name(entity), name_words(entity)).otherwise(F.array(entity))
 
 
 def kind_of(entity: Column) -> Column:
@@ -86,6 +127,14 @@ def _luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda total, d: total + F.when(d > 9, d - 9).otherwise(d)) % 10
 
 
+def _mod97(iban: Column) -> Column:
+    """The check sum of an IBAN, blanks skipped; 1 if it is valid."""
+    plain = F.regexp_replace(iban, " ", "")
+    chars = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda total, c: (total * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
 def with_surrogate(table: DataFrame, key: str) -> DataFrame:
     """``table(entity, kind, attempt)`` with the column ``surrogate``."""
     seed = F.concat_ws("\u0001", F.lit(key), "kind", "attempt", "entity")
@@ -94,7 +143,8 @@ def with_surrogate(table: DataFrame, key: str) -> DataFrame:
     n, entity = F.length("entity"), F.col("entity")
     kept_begin = (
         F.when(F.col("kind") == "access_key", 4)
-        .when(F.col("kind") == "phone", F.length(F.regexp_extract("entity", r"^\+\d{1,3}(?=[ .(-])", 0)))
+        .when(F.col("kind") == "iban", 4)
+        .when(F.col("kind") == "phone", F.length(F.regexp_extract("entity", CALLING_CODE, 0)))
         .when(F.col("kind") == "name", F.length(F.regexp_extract("entity", rf"^{TITLE}", 0)))
         .otherwise(0)
     )
@@ -104,7 +154,7 @@ def with_surrogate(table: DataFrame, key: str) -> DataFrame:
     def moved(at):
         char = F.substring(entity, at, 1)
         byte = _byte(F.col("_stream"), at - 1)
-        letter = F.when(F.col("kind") == "secret", _shifted(char, HEX_ALPHABETS, byte)).otherwise(_shifted(char, ("0123456789", *ALPHABETS), byte))
+        letter = F.when(F.col("kind").isin("secret", "ipv6"), _shifted(char, HEX_ALPHABETS, byte)).otherwise(_shifted(char, ("0123456789", *ALPHABETS), byte))
         word_end = (F.col("kind") == "name") & F.substring(entity, at + 1, 1).isin("", " ")
         return F.when((at <= F.col("_begin")) | (at > F.col("_end")) | word_end, char).otherwise(letter)
 
@@ -119,7 +169,10 @@ def with_surrogate(table: DataFrame, key: str) -> DataFrame:
     open_ = F.concat(F.substring("_plain", F.lit(1), n - 1), F.lit("0"))
     checked = F.concat(F.substring("_plain", F.lit(1), n - 1), F.pmod(10 - _luhn(open_), F.lit(10)).cast("string"))
     valid_card = F.when(F.col("kind") == "card", _luhn(entity) == 0).otherwise(F.lit(False))
-    rows = rows.withColumn("surrogate", F.when(valid_card, checked).otherwise(F.col("_plain")))
+    zeros = F.concat(F.substring("_plain", 1, 2), F.lit("00"), F.substring("_plain", F.lit(5), n))
+    numbered = F.concat(F.substring("_plain", 1, 2), F.lpad((98 - _mod97(zeros)).cast("string"), 2, "0"), F.substring("_plain", F.lit(5), n))
+    valid_iban = F.when(F.col("kind") == "iban", _mod97(entity) == 1).otherwise(F.lit(False))
+    rows = rows.withColumn("surrogate", F.when(valid_card, checked).when(valid_iban, numbered).otherwise(F.col("_plain")))
     return rows.select("entity", "kind", "attempt", "surrogate")
 
 
@@ -129,7 +182,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     Of entities whose surrogates meet, the smallest keeps its own; the rest, and those that meet an entity of the corpus,
     go to the next attempt. Each round is an aggregate and two joins over the table of entities.
     """
-    known = pinned(found.distinct().withColumn("kind", kind_of(F.col("entity"))))
+    known = pinned(found.distinct().withColumn("kind", F.coalesce(kind_of(F.col("entity")), F.lit("name"))))
     table = pinned(with_surrogate(known.withColumn("attempt", F.lit(0)), key))
     for _ in range(MAX_ATTEMPTS):
         first = table.groupBy("surrogate").agg(F.min("entity").alias("_first"))
@@ -153,13 +206,16 @@ def pseudonymized(docs: DataFrame, key: str = "canopy", counter: str | None = No
     columns = docs.columns
     plain = docs.where(~F.coalesce(has_entity(F.col("text")), F.lit(False)))
     hit = docs.where(has_entity(F.col("text")))
-    pairs = pinned(hit.select(F.sha2(F.col("text").cast("binary"), 256).alias("_key"), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity")).distinct())
+    pairs = pinned(hit.select(F.sha2(F.col("text").cast("binary"), 256).alias("_key"), F.explode(F.array_distinct(F.flatten(F.transform(entities(F.col("text")), units)))).alias("entity")).distinct())
     table = surrogates(pairs.select("entity"), key)
     # Written, so that the join below has an exchange on either side and a text that many rows share can be split.
     maps = pinned(pairs.join(table, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_map")))
     own = hit.select(F.struct(*columns).alias("_row"), F.sha2(F.col("text").cast("binary"), 256).alias("_key")).join(maps, "_key")
     text = F.col("_row.text")
-    own = own.select("_row", F.split(text, ENTITY, -1).alias("_between"), F.transform(entities(text), lambda e: F.element_at("_map", e)).alias("_new"))
+    own = own.withColumn("_pattern", entity_pattern(text))
+    name = lambda e: F.concat(F.regexp_extract(e, rf"\A{TITLE}", 0), F.array_join(F.transform(name_words(e), lambda w: F.element_at("_map", w)), " "))
+    new = F.transform(entities(text, F.col("_pattern")), lambda e: F.when(is_name(e), name(e)).otherwise(F.element_at("_map", e)))
+    own = own.select("_row", F.split(text, F.col("_pattern"), -1).alias("_between"), new.alias("_new"))
     woven = F.array_join(F.zip_with("_between", "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     done = own.select(*(woven.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns), *([F.size("_new").alias(counter)] if counter else []))
     return plain.select(*columns, *([F.lit(0).alias(counter)] if counter else [])).union(done)

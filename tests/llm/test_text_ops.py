@@ -115,6 +115,33 @@ def test_pii(make):
     assert pii.pseudonymized(docs.limit(0)).count() == 0
 
 
+def test_pii_formats(make):
+    formats = ["+14155552671", "+442079460958", "415-555-2671", "415.555.2671", "(415)-555-2671", "415 555 2671", "1-415-555-2671", "030 1234567", "0171/1234567", "01 23 45 67 89"]
+    formats += ["+1 (415) 555-2671", "3782 822463 10005", "4111 1111 1111 1111", "378282246310005", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO93 8601 1117 947"]
+    formats += ["2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329", "fe80::1", "::1", "dead::beef", "10.20.30.40"]
+    around = ["call {} now", "({})", "{}", "a: {}, b", "x\n{}.\n"]
+    texts = [a.format(f) for f in formats for a in around]
+    got = [r for r in sorted(pii.pseudonymized(make(texts), counter="k").collect(), key=lambda r: r.doc_id)]
+    for (f, a), r in zip([(f, a) for f in formats for a in around], got):
+        before, after = a.split("{}")
+        new = r.text[len(before) : len(r.text) - len(after)]
+        assert r.k == 1 and r.text == before + new + after and new != f and len(new) == len(f), (f, a, r.text)
+        assert "".join("9" if c.isdigit() else c for c in new) == "".join("9" if c.isdigit() else c for c in f) or any(c.isalpha() for c in f)
+        if f.startswith(("DE", "GB", "NO")):
+            plain = new.replace(" ", "")
+            assert new[:2] == f[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    still = ["at 12:30:45 on 01-02-2024", "std::cout << a", "version 4.0, 1234567 items, 2024-05-06", "a 10-20 b"]
+    assert [r.text for r in sorted(pii.pseudonymized(make(still)).collect(), key=lambda r: r.doc_id)] == still
+
+
+def test_pii_names_agree_by_word(make):
+    docs = make(["Mr John Smith came. Mr Smith left; Smith and John, not Smithson.", "Prof. Dr. Weber met Mrs Smith.", "Smith stands alone."])
+    one, two, three = [r.text for r in sorted(pii.pseudonymized(docs).collect(), key=lambda r: r.doc_id)]
+    john, smith = one.split(" came")[0].split()[1:]
+    assert one == f"Mr {john} {smith} came. Mr {smith} left; {smith} and {john}, not Smithson." and "Smith" != smith and "John" != john
+    assert two.startswith("Prof. Dr. ") and two.endswith(f" met Mrs {smith}.") and "Weber" not in two and three == "Smith stands alone."
+
+
 def test_surrogates_stay_distinct_where_the_format_is_narrow(spark):
     found = spark.createDataFrame([(f"{a}.{b}.{c}.{d}",) for a in range(1, 5) for b in range(1, 5) for c in (1, 2) for d in range(1, 10)], "entity string")
     table = pii.surrogates(found, "k").collect()
