@@ -6,7 +6,8 @@ the format: length, signs, letter case, script, vowels and consonants, the count
 domain, the range of IP numbers, the country and the valid check digits of a card number or IBAN; of a name the titles and
 the last letter of each word, which carry the gender. Every word of a name has its own surrogate, so all mentions of a
 surname agree, and words of a titled name are also replaced where they stand alone in the same document. Surrogates that meet another surrogate or an entity of the corpus are made anew with
-the next attempt number until all are distinct.
+the next attempt number until all are distinct. Where a format has too few surrogates, attempts from NARROW on are longer:
+octets of an IP number have three digits, everything else gets one more letter or digit, and another every WIDER attempts.
 
 Defined cases: null texts stay null and empty ones empty; a text without entities is untouched; repeated rows are treated
 alike; texts of any length are searched whole; the table of entities grows with the corpus and is only ever joined by
@@ -57,7 +58,8 @@ ENTITY = "|".join(pattern for _, pattern in KINDS)
 #: What every entity contains; most texts are done with this.
 HINT = rf"[0-9@]|::|{TITLE}"
 NAME = dict(KINDS)["name"]
-MAX_ATTEMPTS = 64
+#: Attempts that keep the length, attempts for each further length, and a guard against endless rounds.
+NARROW, WIDER, MAX_ATTEMPTS = 16, 4, 64
 #: The country code of a phone number, by its length where no sign ends it.
 CALLING_CODE = r"^\+(?:\d{1,3}(?=[ .(-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
@@ -162,7 +164,8 @@ def with_surrogate(table: DataFrame, key: str) -> DataFrame:
         value, byte = part.cast("int"), _byte(F.col("_stream"), at) + 256 * _byte(F.col("_stream"), at + 16)
         least = F.when(F.length(part) == 3, 100).when(F.length(part) == 2, 10).otherwise(1)
         many = F.when(F.length(part) == 3, 156).when(F.length(part) == 2, 90).otherwise(9)
-        return (least + F.pmod(value + 1 + F.pmod(byte, many - 1) - least, many)).cast("string")
+        same = least + F.pmod(value + 1 + F.pmod(byte, many - 1) - least, many)
+        return F.when(F.col("attempt") < NARROW, same).otherwise(100 + byte % 156).cast("string")
 
     plain = F.array_join(F.transform(F.sequence(F.lit(1), n), moved), "")
     rows = rows.withColumn("_plain", F.when(F.col("kind") == "ip", F.array_join(F.transform(F.split("entity", r"\."), octet), ".")).otherwise(plain))
@@ -172,7 +175,17 @@ def with_surrogate(table: DataFrame, key: str) -> DataFrame:
     zeros = F.concat(F.substring("_plain", 1, 2), F.lit("00"), F.substring("_plain", F.lit(5), n))
     numbered = F.concat(F.substring("_plain", 1, 2), F.lpad((98 - _mod97(zeros)).cast("string"), 2, "0"), F.substring("_plain", F.lit(5), n))
     valid_iban = F.when(F.col("kind") == "iban", _mod97(entity) == 1).otherwise(F.lit(False))
-    rows = rows.withColumn("surrogate", F.when(valid_card, checked).when(valid_iban, numbered).otherwise(F.col("_plain")))
+    same = F.when(valid_card, checked).when(valid_iban, numbered).otherwise(F.col("_plain"))
+
+    # Further characters go where the kind can be longer; a number with check digits is no valid one then.
+    more = F.when(F.col("attempt") < NARROW, 0).otherwise(F.floor((F.col("attempt") - NARROW) / WIDER) + 1).cast("int")
+    lettered = F.col("kind").isin("email", "name")
+    letters, digits = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("0123456789")
+    extra = F.transform(F.sequence(F.lit(1), more), lambda k: F.substring(F.when(lettered, letters).otherwise(digits), _byte(F.col("_stream"), 128 - k) % F.when(lettered, 26).otherwise(10) + 1, 1))
+    extra = F.when(more > 0, F.array_join(extra, "")).otherwise(F.lit(""))
+    at = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "name", n - 1).otherwise(n)
+    longer = F.concat(F.substring(same, F.lit(1), at), extra, F.substring(same, at + 1, n))
+    rows = rows.withColumn("surrogate", F.when((more == 0) | (F.col("kind") == "ip"), same).otherwise(longer))
     return rows.select("entity", "kind", "attempt", "surrogate")
 
 

@@ -40,8 +40,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data get surrogates of the same length, so n_chars stays right."""
-    return pii.pseudonymized(docs)
+    """Personal data get surrogates; n_chars is counted anew, as some of a full format are longer."""
+    done = pii.pseudonymized(docs.withColumn("_before", F.length("text")))
+    if "n_chars" in docs.columns:
+        grown = F.coalesce(F.length("text") - F.col("_before"), F.lit(0))
+        done = done.withColumn("n_chars", (F.col("n_chars") + grown).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,17 @@ def test_surrogates_stay_distinct_where_the_format_is_narrow(spark):
     assert len({r.surrogate for r in table}) == found.count() and not {r.surrogate for r in table} & {r.entity for r in table}
 
 
+def test_surrogates_widen_a_full_format(spark):
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeo"]
+    ips = [f"1.1.{c}.{d}" for c in range(1, 10) for d in range(1, 10)] + [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(2, 9)]
+    mails = [a + "@b.co" for a in "abcdefghijklmnopqrstuvwxyz"] + [a + "@" + b + ".co" for a in "aeiou" for b in "cdfghjklmnpqrstvwxyz"]
+    found = spark.createDataFrame([(e,) for e in sorted({*names, *ips, *mails})], "entity string")
+    table = pii.surrogates(found, "k").collect()
+    assert len(table) == found.count() == len({r.surrogate for r in table}) and not {r.surrogate for r in table} & {r.entity for r in table}
+    assert all(r.surrogate.endswith(".co") for r in table if r.kind == "email") and all(r.surrogate[-1] == r.entity[-1] for r in table if r.kind == "name")
+    assert all(all(0 <= int(o) <= 255 for o in r.surrogate.split(".")) for r in table if r.kind == "ip")
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav>{}<footer>f</footer></body></html>"
 
 
