@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, decontaminate, html, jaccard, merkle, pii, quality, sql, substrings, toxicity, warc
+from canopy.llm import bpe, decontaminate, html, jaccard, merkle, periodic, pii, quality, sql, substrings, toxicity, warc
 from canopy.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 def register(catalog) -> None:
     catalog.add("op1_decontaminate", op1_decontaminate, sql.DECONTAMINATE)
     catalog.add("op2_substrings", op2_substrings)
@@ -72,3 +76,4 @@ def register(catalog) -> None:
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)
+    catalog.add("op12_periodic", op12_periodic)
