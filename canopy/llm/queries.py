@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, decontaminate, html, jaccard, merkle, periodic, pii, quality, sql, substrings, toxicity, warc
-from canopy.llm.common import table
+from canopy.llm import bpe, chunk_bpe, decontaminate, html, jaccard, merkle, periodic, pii, quality, spelling, sql, substrings, toxicity, warc
+from canopy.llm.common import pinned, table
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def tokenizer_path() -> str:
-    """The rank file of the installed public tokenizers, the same on every machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """A file of the installed public tokenizers, by default the ranks, the same on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +61,19 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = pinned(spelling.vocabulary(table(spark, sf_dir, "documents"), misspell=True))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def register(catalog) -> None:
     catalog.add("op1_decontaminate", op1_decontaminate, sql.DECONTAMINATE)
     catalog.add("op2_substrings", op2_substrings)
@@ -76,4 +85,6 @@ def register(catalog) -> None:
     catalog.add("op8_bpe", op8_bpe)
     catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)
+    catalog.add("op11_chunk_bpe", op11_chunk_bpe)
     catalog.add("op12_periodic", op12_periodic)
+    catalog.add("op13_spelling", op13_spelling)
