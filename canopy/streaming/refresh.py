@@ -1,18 +1,22 @@
 """Incremental refresh of a node table as a stream of re-read files.
 
-Each micro-batch is written once under its own number, so a replayed batch
-overwrites itself. Nothing already written is touched: readers take, for each
-file, its newest version that has arrived whole.
+Three tables are kept in merged parts: ``index`` has, per file, its newest version that has arrived whole; ``nodes`` the rows
+of such versions; ``open`` the rows of versions that are not whole yet. A batch compares its files with the index,
+drops what is older or was there before, joins the open rows of its own versions to its rows, and moves versions that have
+become whole to ``nodes``. Node rows of other files are not read. A read takes the node rows that the index names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from canopy.nodes import NODE_SCHEMA
+from canopy.streaming.parts import Kind, Parts, remove
 
 # A re-read row: a node, the version of its file, and whether the file is gone.
 CHANGE_SCHEMA = T.StructType(
@@ -22,6 +26,9 @@ CHANGE_SCHEMA = T.StructType(
         T.StructField("deleted", T.BooleanType()),
     ]
 )
+INDEX_SCHEMA = "file_path string, version bigint, deleted boolean"
+VERSION = ["file_path", "version"]
+NODE = [*VERSION, "node_id"]
 
 
 def changes_of(nodes: DataFrame, version: int) -> DataFrame:
@@ -35,58 +42,101 @@ def deletions_of(files: DataFrame, version: int) -> DataFrame:
     return files.select("file_path", *blank, F.lit(version).cast("bigint").alias("version"), F.lit(True).alias("deleted"))
 
 
-def start_refresh(
-    spark: SparkSession, incoming: str, root: str, *, files_per_batch: int = 1_000
-) -> StreamingQuery:
-    """Follow a folder of change rows (Parquet) into the table at ``root`` until all there is has been taken."""
-    stream = (
-        spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
-    )
+def _newest(index: DataFrame) -> DataFrame:
+    """(file_path, version, deleted) of the newest whole version of each file."""
+    newest = index.groupBy("file_path").agg(F.max(F.struct("version", "deleted")).alias("v"))
+    return newest.select("file_path", "v.version", "v.deleted")
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", f"{root}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+def _newer_than(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of versions above the one that the index has of their file."""
+    known = index.groupBy("file_path").agg(F.max("version").alias("_has"))
+    return rows.join(known, "file_path", "left").where("_has is null or version > _has").drop("_has")
+
+
+def _named(rows: DataFrame, index: DataFrame) -> DataFrame:
+    return rows.join(_newest(index).where("not deleted").select(*VERSION), VERSION, "left_semi")
 
 
-def _history(spark: SparkSession, root: str) -> DataFrame:
-    """All change rows, each once: a version may be delivered again."""
-    return spark.read.schema(CHANGE_SCHEMA).parquet(f"{root}/data").dropDuplicates(["file_path", "version", "node_id"])
+def node_parts(spark: SparkSession, root: str) -> Parts:
+    """The three tables under ``root``; merging drops rows that the index has left behind."""
+    return Parts(
+        spark,
+        root,
+        {
+            "index": Kind(INDEX_SCHEMA, lambda rows, _: _newest(rows)),
+            "open": Kind(CHANGE_SCHEMA, lambda rows, parts: _newer_than(rows.dropDuplicates(NODE), parts.read("index"))),
+            "nodes": Kind(CHANGE_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
+        },
+    )
 
 
-def _newest(changes: DataFrame) -> DataFrame:
-    """(file_path, version, deleted) of the newest whole version of each file.
+def _whole(rows: DataFrame) -> DataFrame:
+    """(file_path, version, deleted) of the newest version of each file that ``rows`` hold whole.
 
     A version is whole when it has as many nodes as its root nodes say, so a
     large file may arrive over several batches without being seen half done.
     """
     expected = F.sum(F.when(F.col("depth") == 0, F.col("descendant_count") + 1))
-    versions = changes.groupBy("file_path", "version").agg(
+    versions = rows.groupBy(*VERSION).agg(
         F.max("deleted").alias("deleted"), ((expected == F.count("*")) | F.max("deleted")).alias("whole")
     )
-    newest = versions.where("whole").groupBy("file_path").agg(F.max(F.struct("version", "deleted")).alias("v"))
-    return newest.select("file_path", "v.version", "v.deleted")
+    return _newest(versions.where("whole"))
+
+
+def take_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+    """Take one batch of change rows into the tables under ``root``; a batch taken before is passed over."""
+    spark = batch.sparkSession
+    parts = node_parts(spark, root)
+    if batch_id <= parts.batch:
+        return
+    work = f"{root}/work/{uuid.uuid4().hex}"
+    index = parts.read("index")
+    fresh = _newer_than(batch.select(*CHANGE_SCHEMA.fieldNames()), index)
+    fresh.write.parquet(f"{work}/fresh")
+    fresh = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/fresh").dropDuplicates(NODE)
+    waiting = parts.read("open").join(fresh.select(*VERSION).distinct(), VERSION, "left_semi")
+    # A version may be delivered again, over this batch or earlier ones.
+    seen = fresh.unionByName(waiting).dropDuplicates(NODE)
+    _whole(seen).write.parquet(f"{work}/whole")
+    whole = spark.read.schema(INDEX_SCHEMA).parquet(f"{work}/whole")
+    parts.publish(batch_id, {"index": whole, "open": _newer_than(fresh, whole), "nodes": _named(seen, whole)})
+    remove(spark, work)
+
+
+def start_refresh(
+    spark: SparkSession, incoming: str, root: str, *, files_per_batch: int = 1_000
+) -> StreamingQuery:
+    """Follow a folder of change rows (Parquet) into the tables at ``root`` until all there is has been taken."""
+    stream = (
+        spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
+    )
+    return (
+        stream.writeStream.foreachBatch(lambda batch, batch_id: take_batch(batch, batch_id, root))
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def current_nodes(spark: SparkSession, root: str) -> DataFrame:
     """The node table as of the newest whole version of each file."""
-    changes = _history(spark, root)
-    live = _newest(changes).where("not deleted").select("file_path", "version")
-    return changes.join(live, ["file_path", "version"]).select(*NODE_SCHEMA.fieldNames())
+    parts = node_parts(spark, root)
+    return _named(parts.read("nodes"), parts.read("index")).select(*NODE_SCHEMA.fieldNames())
 
 
 def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
-    """Write the newest whole versions as the start of a new change history at ``target``.
+    """Write the tables at ``root``, each as one part, as the beginning of new ones at ``target``.
 
-    Versions keep their numbers and deletions their rows, so what arrives late there loses as it would here. The old
-    history stays as it is until the caller drops it.
+    Versions keep their numbers and deletions their rows, so what arrives late there loses as it would here, and versions
+    that are not whole go on. The old tables stay as they are until the caller drops them.
     """
-    changes = _history(spark, root)
-    kept = changes.join(_newest(changes).select("file_path", "version"), ["file_path", "version"])
-    kept.select(*CHANGE_SCHEMA.fieldNames()).write.mode("error").parquet(f"{target}/data/batch=-1")
+    old = node_parts(spark, root)
+    index = old.read("index")
+    packed = {
+        "index": _newest(index),
+        "open": _newer_than(old.read("open").dropDuplicates(NODE), index),
+        "nodes": _named(old.read("nodes"), index),
+    }
+    node_parts(spark, target).publish(-1, packed)
     return current_nodes(spark, target)

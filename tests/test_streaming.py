@@ -1,13 +1,15 @@
 """Streams end in the state that the batch operators give, replays and late rows included."""
 
 import datetime as dt
+import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from canopy.functions.times import utc_instant
 from canopy.operators import review
-from canopy.streaming import refresh, review_fold
+from canopy.streaming import parts, refresh, review_fold
 
 
 def test_refresh_sees_only_whole_versions_and_survives_a_replay(spark, nodes_of, tmp_path):
@@ -32,11 +34,10 @@ def test_refresh_sees_only_whole_versions_and_survives_a_replay(spark, nodes_of,
     drop("a", "v2", 2, 2, only=slice(1, 2))
     second = [("a", "v2", 0), ("a", "v2", 1), ("b", "v1", 0)]
     assert run() == second
-    # The last batch again, as after a crash between its write and its commit.
-    batches = sorted((tmp_path / "table" / "data").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))
-    again = spark.read.schema(refresh.CHANGE_SCHEMA).parquet(str(batches[-1])).cache()
-    again.count()
-    again.write.mode("overwrite").parquet(str(batches[-1]))
+    # The last batch again, as after a crash between its manifest and its commit.
+    taken = refresh.node_parts(spark, root)
+    refresh.take_batch(spark.read.schema(refresh.CHANGE_SCHEMA).parquet(incoming), taken.batch, root)
+    assert refresh.node_parts(spark, root).live == taken.live
     assert sorted(rows(refresh.current_nodes(spark, root), "file_path", "name", "node_id")) == second
     refresh.deletions_of(spark.createDataFrame([("b",)], "file_path string"), 3).write.mode("append").parquet(incoming)
     assert run() == second[:2]
@@ -83,3 +84,86 @@ def test_fold_over_batches_equals_the_batch_fold_late_rounds_included(spark, tmp
         assert review_fold.current_states(spark, str(tmp_path / "never")).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _totals(spark, batch):
+    data = [(f"p{k % 7}", f"2024-01-{1 + (batch + k) % 9:02d}", 1, 1 + (batch * k) % 3, (dt.datetime(2024, 1, 1), batch * 10 + k, f"m{batch}")) for k in range(5)]
+    return spark.createDataFrame(data, review_fold.RUN_SCHEMA)
+
+
+def test_many_batches_leave_few_parts_and_the_same_state(spark, tmp_path):
+    root, expected = str(tmp_path / "state"), None
+    for batch in range(21):
+        store = review_fold.run_parts(spark, root)
+        store.publish(batch, {"totals": _totals(spark, batch)})
+        store.publish(batch, {"totals": _totals(spark, batch)})  # replayed: passed over
+        expected = _totals(spark, batch) if expected is None else expected.unionByName(_totals(spark, batch))
+        # 4 batches make a part of level 1, 16 one of level 2.
+        digits = [batch_ for batch_ in ((batch + 1) % 4, (batch + 1) // 4 % 4, (batch + 1) // 16)]
+        live = review_fold.run_parts(spark, root).live
+        assert [sum(p.level == level for p in live) for level in range(3)] == digits
+    assert len(parts.names_in(spark, f"{root}/manifest")) == 2
+    assert len(parts.names_in(spark, f"{root}/parts")) <= 9
+    folded = review_fold.fold_runs(review_fold._added_up(expected))
+    assert sorted(rows(review_fold.current_states(spark, root))) == sorted(rows(folded))
+
+
+def test_a_crash_during_a_merge_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "state")
+    for batch in range(3):
+        review_fold.run_parts(spark, root).publish(batch, {"totals": _totals(spark, batch)})
+    before = sorted(rows(review_fold.current_states(spark, root)))
+    reader = review_fold.run_parts(spark, root).read("totals")
+    write = parts.Parts._write
+
+    def failing(self, kind, level, data):
+        part = write(self, kind, level, data)
+        if level:
+            raise OSError("lost")
+        return part
+
+    monkeypatch.setattr(parts.Parts, "_write", failing)
+    with pytest.raises(OSError):
+        review_fold.run_parts(spark, root).publish(3, {"totals": _totals(spark, 3)})
+    monkeypatch.undo()
+    assert sorted(rows(review_fold.current_states(spark, root))) == before
+    review_fold.run_parts(spark, root).publish(3, {"totals": _totals(spark, 3)})
+    assert review_fold.run_parts(spark, root).read("totals").agg({"rounds": "sum"}).first()[0] == 20
+    assert reader.agg({"rounds": "sum"}).first()[0] == 15  # a reader of the manifest before still finds its parts
+    assert len(parts.names_in(spark, f"{root}/parts")) == 4  # the merged part, and those of the manifest before it
+
+
+def test_refresh_in_random_pieces_equals_the_newest_whole_versions(spark, nodes_of, tmp_path, monkeypatch):
+    rng, root = random.Random(6), str(tmp_path / "table")
+    sizes = {(f, v): rng.randint(1, 4) for f in "abcde" for v in range(1, 4)}
+    pieces = []
+    for (file, version), size in sizes.items():
+        whole = [{"file_path": file, "node_id": i, "depth": min(i, 1), "name": f"v{version}", "descendant_count": 0 if i else size - 1} for i in range(size)]
+        cut = rng.randint(0, size)
+        pieces += [(version, part) for part in (whole[:cut], whole[cut:], whole[: rng.randint(0, size)]) if part]
+    rng.shuffle(pieces)
+    read, asked = parts.Parts.read, []
+    monkeypatch.setattr(parts.Parts, "read", lambda self, kind: (asked.append(kind), read(self, kind))[1])
+    arrived, gone = set(), {}
+    for batch, at in enumerate(range(0, len(pieces), 4)):
+        some = pieces[at : at + 4]
+        changes = [refresh.changes_of(nodes_of(part), version) for version, part in some]
+        if batch == 4:
+            gone["c"] = 2
+            changes.append(refresh.deletions_of(spark.createDataFrame([("c",)], "file_path string"), 2))
+        union = changes[0]
+        for more in changes[1:]:
+            union = union.unionByName(more)
+        refresh.take_batch(union, batch, root)
+        arrived |= {(r["file_path"], version, r["node_id"]) for version, part in some for r in part}
+        assert "nodes" not in asked, "node rows of other files are only read by readers and merges of their own"
+        done = {}
+        for (file, version), size in sizes.items():
+            if sum(a[:2] == (file, version) for a in arrived) == size:
+                done[file] = max(done.get(file, 0), version)
+        live = {f: v for f, v in done.items() if v > gone.get(f, 0)}
+        want = sorted((f, f"v{v}", i) for f, v in live.items() for i in range(sizes[f, v]))
+        got = sorted(rows(refresh.current_nodes(spark, root), "file_path", "name", "node_id"))
+        assert got == want, batch
+        asked.clear()
+    assert batch > 5
