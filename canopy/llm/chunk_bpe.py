@@ -10,7 +10,7 @@ agrees is encoded like other text.
 
 Words are split by the pattern of byte-level tokenizers. A single space between two other signs always begins a
 word, so text is cut there first, and what lies between is looked up as a whole. New words are merged together, many at a
-time, in arrays: each step merges the first of the pairs of lowest rank in every word.
+time, in arrays: each step merges the first of the pairs of lowest rank in every word. Ids are kept as bytes, four each.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text; the strings of special tokens become
 these tokens, the longest first; texts of any length are encoded whole; repeated rows and null ids stay; extra columns
@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import string
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,11 @@ SHORTEST, BITS = 64, 8
 #: Bytes of text whose new words are merged together.
 PASS_BYTES = 1 << 20
 #: Units between spaces, and words, that one worker keeps encoded; longer ones than KEPT_CHARS are not kept.
-CACHE, KEPT_CHARS = 1 << 17, 64
-#: Words up to this many bytes are merged in arrays, longer ones with a heap.
-MATRIX_WIDTHS = (8, 16, 32)
+CACHE, KEPT_CHARS = 1 << 18, 64
+#: Words up to these many bytes are merged in arrays, longer ones with a heap.
+MATRIX_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32)
+#: Signs that end a unit behind its letters. They are never letters, numbers or white space, and begin no contraction.
+_TAIL = string.punctuation.replace("'", "")
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
 #: The pattern of byte-level pre-tokenizers (fixed value).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -94,6 +98,13 @@ def _keep_half(cache: dict) -> None:
             del cache[key]
 
 
+@functools.cache
+def _odd_letters() -> frozenset[str]:
+    """Characters that Python and the pattern don't agree on being letters: none, if both know the same Unicode."""
+    signs = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    return frozenset(regex.findall(r"\p{L}", signs)) ^ frozenset(filter(str.isalpha, signs))
+
+
 class Tokenizer:
     """Byte-level BPE of a tokenizer file: words to ids, ids to bytes, special strings."""
 
@@ -121,66 +132,97 @@ class Tokenizer:
         self.size = size
         keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
         self.none = len(pairs)
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}  # by what follows the space
+        self._table(keys)
+        self.sizes = np.array([len(token) for token in self.tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}  # by what follows the space
+
+    def _table(self, keys: np.ndarray) -> None:
+        """Ranks by pair in an open hash table, eight slots a pair, the next slot on a clash."""
+        bits = max(int(8 * len(keys)).bit_length(), 4)
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys = np.full(1 << bits, -1, np.int64)
+        self._ranks = np.full(1 << bits, self.none, np.int32)
+        rank, at = np.arange(len(keys)), self._slot(keys)
+        while len(rank):
+            free = self._keys[at] < 0
+            first = np.zeros(len(rank), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self._keys[at[put]], self._ranks[at[put]] = keys[rank[put]], rank[put]
+            rank, at = rank[~put], (at[~put] + 1) & self._mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair, ``none`` for those that are never merged or hold a -1."""
+        """The rank of each pair, ``none`` for those that are never merged."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
+        at = self._slot(key)
+        seen = self._keys[at]
+        out = np.where(seen == key, self._ranks[at], self.none)
+        going = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(going):
+            at[going] = (at[going] + 1) & self._mask
+            seen = self._keys[at[going]]
+            hit = seen == key[going]
+            out[going[hit]] = self._ranks[at[going[hit]]]
+            going = going[~hit & (seen >= 0)]
+        return out
 
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of words, all merged at once."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+        out = [b""] * len(words)
         sizes = np.array([len(word) for word in words], np.int64)
         least = 0
         for width in MATRIX_WIDTHS:
-            own = np.flatnonzero((sizes > least) & (sizes <= width))
+            own = np.flatnonzero((sizes > least) & (sizes <= width)).tolist()
             least = width
-            if len(own):
-                for at, ids in zip(own.tolist(), self._merge_matrix([words[k] for k in own.tolist()], sizes[own], width)):
+            if own:
+                for at, ids in zip(own, self._merge_matrix([words[k] for k in own], sizes[own], width)):
                     out[at] = ids
         for at in np.flatnonzero(sizes > least).tolist():
             out[at] = self.merge_long(words[at])
         return out
 
-    def _merge_matrix(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple[int, ...]]:
-        parts = np.full((len(words), width + 1), -1, np.int64)
-        parts[np.arange(width + 1) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        ranks = np.full((len(words), width + 1), self.none, np.int64)
-        ranks[:, :-1] = self.rank(parts[:, :-1], parts[:, 1:])
-        done = np.empty_like(parts)
-        row, columns = np.arange(len(words)), np.arange(width)
-        while len(row):
+    def _merge_matrix(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        """Words as rows of parts with ranks between neighbours. A step takes one part from every row that still merges."""
+        parts = np.full((len(words), width), -1, np.int64)
+        parts[np.arange(width) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full((len(words), width), self.none, np.int64)  # the last column stands for the end
+        inside = np.arange(width - 1) < sizes[:, None] - 1
+        ranks[:, :-1][inside] = self.rank(parts[:, :-1][inside], parts[:, 1:][inside])
+        done = np.full((len(words), width), -1, np.int32)
+        row = np.arange(len(words))
+        while True:
             at = ranks.argmin(1)
-            best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+            best = ranks[np.arange(len(row)), at]
             on = best < self.none
-            done[row[~on]] = parts[~on]
-            row, at, best, parts, ranks = row[on], at[on], best[on], parts[on], ranks[on]
-            if not len(row):
+            done[row[~on], : parts.shape[1]] = parts[~on]
+            if not on.any():
                 break
-            here = np.arange(len(row))
-            # What stands behind the merged pair moves up by one.
-            source = columns + (columns > at[:, None])
-            parts[:, :-1] = np.take_along_axis(parts, source, 1)
-            source = columns + (columns >= at[:, None])
-            ranks[:, :-1] = np.take_along_axis(ranks, source, 1)
-            new = self.merged[best]
+            row, at, best, parts, ranks = row[on], at[on], best[on], parts[on], ranks[on]
+            here, new = np.arange(len(row)), self.merged[best]
             parts[here, at] = new
-            ranks[here, at] = self.rank(new, parts[here, at + 1])
-            before = np.maximum(at - 1, 0)
-            ranks[here, before] = np.where(at > 0, self.rank(parts[here, before], new), ranks[here, before])
+            keep = np.ones(parts.shape, bool)
+            keep[here, at + 1] = False  # the pair's right part, and the rank between it and the next one
+            parts = parts[keep].reshape(len(row), -1)
+            ranks = ranks[keep].reshape(len(row), -1)
+            ranks[here, at] = self.none
+            for left, some in ((at, at + 1 < parts.shape[1]), (at - 1, at > 0)):
+                k = np.flatnonzero(some)
+                one, other = parts[k, left[k]], parts[k, left[k] + 1]
+                ranks[k, left[k]] = np.where(other >= 0, self.rank(one, other), self.none)
         counts = (done >= 0).sum(1)
-        flat = done[done >= 0].tolist()
-        ends = np.cumsum(counts).tolist()
-        return [tuple(flat[end - n : end]) for end, n in zip(ends, counts.tolist())]
+        flat = done[done >= 0].tobytes()
+        ends = 4 * np.cumsum(counts)
+        return [flat[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist())]
 
-    def merge_long(self, word: bytes) -> tuple[int, ...]:
+    def merge_long(self, word: bytes) -> bytes:
         """The ids of one word in n log n steps."""
         ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
@@ -208,23 +250,40 @@ class Tokenizer:
             offer(at)
             if before[at] >= 0:
                 offer(before[at])
-        return tuple(k for k in ids if k >= 0)
+        return np.array([k for k in ids if k >= 0], np.int32).tobytes()
 
-    def encode_pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of pieces of text: cut into words, the new words merged together."""
+    def encode_pieces(self, units: set[str], pieces: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The ids of units, which follow a space, and of other pieces of text: cut into words, new words merged together."""
         _keep_half(self.words)
-        cut = {piece: _WORD.findall(piece) for piece in pieces}
-        words = self.words
-        new = list({word for own in cut.values() for word in own if word not in words})
+        words, odd = self.words, _odd_letters()
+        cut, rest = {}, {}
+        for unit in units:
+            letters = unit.rstrip(_TAIL)
+            if letters.isalpha() and (not odd or odd.isdisjoint(letters)):  # one word, and its tail another
+                cut[unit] = (" " + letters, unit[len(letters) :]) if len(letters) < len(unit) else (" " + letters,)
+            else:
+                cut[unit] = _WORD.findall(" " + unit)
+        for piece in pieces:
+            rest[piece] = _WORD.findall(piece)
+        new = [*{word for own in chain(cut.values(), rest.values()) for word in own}.difference(words)]
         words.update(zip(new, self.merge([word.encode() for word in new])))
-        out = {piece: words[own[0]] if len(own) == 1 else tuple(chain.from_iterable([words[word] for word in own])) for piece, own in cut.items()}
+        out = tuple({piece: b"".join([words[word] for word in own]) for piece, own in kind.items()} for kind in (cut, rest))
         for word in [word for word in new if len(word) > KEPT_CHARS]:
             del words[word]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
-        return b"".join([tokens[k] for k in ids])
+        return b"".join([tokens[k] for k in np.frombuffer(ids, np.int32).tolist()])
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of texts, ``counts`` ids each."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        shift = self.starts[ids] - (ends - sizes)
+        data = self.blob[np.arange(len(shift) and ends[-1]) + np.repeat(shift, sizes)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
@@ -243,12 +302,12 @@ class _Plan:
         self.units: list = []  # (place in items, the parts between spaces)
         self.words: list = []  # (place in items, piece)
 
-    def ids(self, ids: list[int]) -> None:
+    def ids(self, ids: bytes) -> None:
         self.items.append(ids)
 
     def word(self, piece: str) -> None:
         self.words.append((len(self.items), piece))
-        self.items.append(())
+        self.items.append(b"")
 
     def stretch(self, text: str) -> None:
         """Text from a boundary to a clean space or the end of the text."""
@@ -259,7 +318,7 @@ class _Plan:
             self.word(" ".join(parts[:at]))
         if at < len(parts):
             self.units.append((len(self.items), parts[at:]))
-            self.items.append(())
+            self.items.append(b"")
 
 
 def _clean(left: str, right: str) -> bool:
@@ -295,7 +354,7 @@ def _plain(plan: _Plan, text: str, a: int, b: int) -> None:
         a = match.end()
 
 
-def plan_section(plan: _Plan, text: str, parts: dict[tuple[int, int], list[int]], own: Tokenizer) -> None:
+def plan_section(plan: _Plan, text: str, parts: dict[tuple[int, int], bytes], own: Tokenizer) -> None:
     """Plan a text without special strings; ``parts`` has the ids of chunks that were encoded before."""
     raw = text.encode()
     ends = cuts(raw) if parts else []
@@ -316,10 +375,12 @@ def plan_section(plan: _Plan, text: str, parts: dict[tuple[int, int], list[int]]
             if true == mine and true < sure:
                 _plain(plan, text, done, true)
                 skip, k = len(text[at:true].encode()), 0
-                while skip > 0:
-                    skip -= len(own.tokens[known[k]])
+                for token in np.frombuffer(known, np.int32).tolist() if skip else ():
+                    if skip <= 0:
+                        break
+                    skip -= len(own.tokens[token])
                     k += 1
-                plan.ids(known[k:])
+                plan.ids(known[4 * k :])
                 done = sure
         start, at = end, at + size
     _plain(plan, text, done, len(text))
@@ -329,37 +390,36 @@ def plan_text(text: str, parts: dict, own: Tokenizer) -> _Plan:
     plan, begin = _Plan(), 0
     for match in own.special.finditer(text) if own.special else ():
         plan_section(plan, text[begin : match.start()], parts, own)
-        plan.ids([own.specials[match[0]]])
+        plan.ids(np.int32(own.specials[match[0]]).tobytes())
         begin = match.end()
     plan_section(plan, text[begin:], parts, own)
     return plan
 
 
-def fill(plans: list[_Plan], own: Tokenizer) -> list[list[int]]:
+def fill(plans: list[_Plan], own: Tokenizer) -> list[bytes]:
     """The ids of planned texts, the words new to this worker merged together."""
     units = own.units
     _keep_half(units)
-    new = {part for plan in plans for _, parts in plan.units for part in parts}.difference(units)
+    new = set().union(*[parts for plan in plans for _, parts in plan.units]).difference(units)
     fit = {part for part in new if _clean(part, part)}
     unfit = new - fit
     stretches = [(plan, at, parts if unfit.isdisjoint(parts) else _glued(parts)) for plan in plans for at, parts in plan.units]
     # What was glued has no place among the units: alone it may stand next to an unclean space.
     glued = {piece for _, _, parts in stretches for piece in parts}.difference(units, fit) if unfit else set()
-    pieces = {*(" " + part for part in chain(fit, glued)), *(piece for plan in plans for _, piece in plan.words)}
-    ids = own.encode_pieces(pieces)
-    units.update((part, ids[" " + part]) for part in fit)
+    fresh, ids = own.encode_pieces(fit, {*(" " + piece for piece in glued), *(piece for plan in plans for _, piece in plan.words)})
+    units.update(fresh)
     for plan in plans:
         for at, piece in plan.words:
             plan.items[at] = ids[piece]
     for plan, at, parts in stretches:
         found = [ids[" " + part] if part in glued else units[part] for part in parts] if glued else map(units.__getitem__, parts)
-        plan.items[at] = list(chain.from_iterable(found))
+        plan.items[at] = b"".join(found)
     for long in [part for part in fit if len(part) > KEPT_CHARS]:
         del units[long]
-    return [list(chain.from_iterable(plan.items)) for plan in plans]
+    return [b"".join(plan.items) for plan in plans]
 
 
-def encode_texts(texts: list[str], parts: list[dict], path: str) -> list[list[int]]:
+def encode_texts(texts: list[str], parts: list[dict], path: str) -> list[bytes]:
     """The ids of texts, ``parts`` holding the ids of the shared chunks of each."""
     own = tokenizer(path)
     return fill([plan_text(text, known, own) for text, known in zip(texts, parts)], own)
@@ -376,7 +436,7 @@ def sure_end(text: str) -> int:
     return last
 
 
-def encode_chunks(pieces: list[str], path: str) -> list[list[int]]:
+def encode_chunks(pieces: list[str], path: str) -> list[bytes]:
     """The ids of chunks, each up to its sure end."""
     own, plans = tokenizer(path), []
     for piece in pieces:
@@ -399,9 +459,9 @@ def _passes(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _id_lists(lists: list) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
+def _id_lists(lists: list[bytes]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(lists), np.int32)))
 
 
 def _sections(text: bytes, own: Tokenizer) -> list[bytes]:
@@ -412,6 +472,7 @@ def _sections(text: bytes, own: Tokenizer) -> list[bytes]:
 
 def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
     """``(high, low, ids)`` of the chunks that occur more than once in ``docs(text)``: each encoded once, up to where it is sure.
+    ``ids`` are 32-bit numbers in bytes.
 
     Occurrences are summed in every batch and before the shuffle, so a chunk of any number of copies is a few rows.
     """
@@ -432,12 +493,12 @@ def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pieces = [piece.decode() for piece in batch.column("piece").to_pylist()]
         for a, b in _passes([len(piece) for piece in pieces]):
-            lists = encode_chunks(pieces[a:b], path)
-            yield pa.RecordBatch.from_arrays([batch.column("high")[a:b], batch.column("low")[a:b], _id_lists(lists)], ["high", "low", "ids"])
+            ids = pa.array(encode_chunks(pieces[a:b], path), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("high")[a:b], batch.column("low")[a:b], ids], ["high", "low", "ids"])
 
     pieces = over_batches(docs.select("text"), cut, "high long, low long, n long, piece binary")
     pieces = pieces.groupBy("high", "low").agg(F.sum("n").alias("n"), F.first("piece").alias("piece")).where("n > 1")
-    return over_batches(pieces.select("high", "low", "piece"), encode, "high long, low long, ids array<int>").where(F.size("ids") > 0)
+    return over_batches(pieces.select("high", "low", "piece"), encode, "high long, low long, ids binary").where(F.octet_length("ids") > 0)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -464,15 +525,25 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     chunks = over_batches(rows.select("_key", "text"), refer, "_key long, high long, low long")
     # Most chunks are not shared and go here; a chunk that many texts share meets one row, and equal texts are one set.
     known = chunks.join(shared, ["high", "low"]).groupBy("_key").agg(F.collect_set(F.struct("high", "low", "ids")).alias("parts"))
+    # Written first: with an exchange on either side adaptive execution can split a text that many rows have.
+    known = pinned(known)
+
+    def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        packed = pa.array([squeeze(text) for text in utf8(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), packed], ["doc_id", "_key", "packed"])
 
     def fill_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, column = utf8(batch.column("text")), batch.column("parts")
+        loosen = zstandard.ZstdDecompressor().decompress
+        texts, column = [loosen(packed) for packed in batch.column("packed").to_pylist()], batch.column("parts")
         for a, b in _passes([len(text) for text in texts]):
             parts = [{(p["high"], p["low"]): p["ids"] for p in own or ()} for own in column[a:b].to_pylist()]
             lists = encode_texts([text.decode() for text in texts[a:b]], parts, path)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], _id_lists(lists)], ["doc_id", "ids"])
 
-    joined = rows.join(known, "_key", "left").select(F.col("doc_id").cast("long"), "text", "parts")
+    # Texts cross the shuffle packed, which halves what it writes.
+    packed = over_batches(rows.select(F.col("doc_id").cast("long"), "_key", "text"), pack, "doc_id long, _key long, packed binary")
+    joined = packed.join(known, "_key", "left").select("doc_id", "packed", "parts")
     return over_batches(joined, fill_in, "doc_id long, ids array<int>")
 
 
@@ -485,7 +556,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         lengths = batch.column("ids").value_lengths().fill_null(0).to_pylist()
         for a, b in _passes([4 * n for n in lengths]):
             part = batch.slice(a, b - a)
-            texts = [own.decode(ids or ()).decode("utf-8", "replace") for ids in part.column("ids").to_pylist()]
+            ids = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+            texts = [data.decode("utf-8", "replace") for data in own.decode_all(ids, np.array(lengths[a:b], np.int64))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*kept).dtypes)
