@@ -253,7 +253,9 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, searches: int =
         own = [(read, k) for read, k in zip(reads, n) if k is not None]
         return search(group.column("forward")[0].as_py(), [r for r, _ in own], [k for _, k in own], [r for r, k in zip(reads, n) if k is None])
 
-    found = indexed.union(asked).groupBy("forward", "shard", "block").applyInArrow(task, "word string, n_near long, form string, form_n long")
+    # A number of partitions of its own: few bytes here are much work, and partitions must not be put together by bytes.
+    tasks = indexed.union(asked).repartition(2 * parts, "forward", "shard", "block")
+    found = tasks.groupBy("forward", "shard", "block").applyInArrow(task, "word string, n_near long, form string, form_n long")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
     near = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best)
     return near.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
