@@ -223,6 +223,30 @@ def register(catalog: Catalog) -> None:
           / count(*) over (partition by source) as position from documents""",
     )
 
+    # The greedy pick itself, member by member: how many each group has left, and the last one's group.
+    def picked(order: str) -> str:
+        return f"""with recursive sized as materialized (
+            select source, count(*) as size, row_number() over (order by source) as spot from documents group by source),
+          start as (select list(size order by spot) as counts, sum(size) as total from sized),
+          walk(step, counts, total, pick) as (
+            select 0, counts, total, 0 from start
+            union all
+            select step + 1, list_transform(counts, lambda c, i: case when i = best then c - 1 else c end), total, best from (
+              select step, counts, total, case when list_max(list_transform(counts, lambda c, i: case when i = pick then 0 else c end)) = 0 then pick
+                else list_position(list_transform(counts, lambda c, i: case when i = pick then -1 else c end),
+                  list_max(list_transform(counts, lambda c, i: case when i = pick then -1 else c end))) end as best
+              from walk where step < total)),
+          picks as (select step as position, pick, row_number() over (partition by pick order by step) as turn from walk where step > 0),
+          members as (select doc_id, source, row_number() over (partition by source order by {order}) as turn from documents)
+          select doc_id, members.source, cast(position as bigint) as position
+          from members join sized on sized.source = members.source join picks on picks.pick = sized.spot and picks.turn = members.turn"""
+
+    def apart(s, d, **options):
+        return review.interleave_apart(table(s, d, "documents").select("doc_id", "source"), "source", "doc_id", **options)
+
+    add("l03_interleave_apart", apart, picked("doc_id"))
+    add("l03_interleave_apart_seeded", lambda s, d: apart(s, d, seed=7), picked("md5(doc_id || ':7'), doc_id"))
+
     def schedule(s, d):
         pool = table(s, d, "orders").select(F.concat_ws("/", F.col("o_orderstatus"), F.col("o_orderpriority")).alias("reviewer"))
         return review.rotation_schedule(table(s, d, "part"), pool, "p_partkey", "p_size", "p_partkey", "reviewer")
@@ -230,17 +254,18 @@ def register(catalog: Catalog) -> None:
     add(
         "l04_rotation_schedule",
         schedule,
-        """with pool as (select distinct o_orderstatus || '/' || o_orderpriority as m, o_orderstatus as g from orders),
-          sizes as (select g, count(*) as size from pool group by g),
-          batches as (select p_partkey, least(50, greatest(1, p_size)) as rounds, unnest(range(0, (least(50, greatest(1, p_size)) - 1) // 5 + 1)) as b from part),
-          spots as (select p_partkey, rounds, b, g, m, (row_number() over (partition by p_partkey, b, g
-              order by md5(p_partkey || ':' || b || ':0:' || m), m) - 0.5::double) / size as p from batches, pool join sizes using (g)),
-          ranked as (select *, row_number() over (partition by p_partkey, b order by p, g, m) as k from spots),
-          meets as (select x.p_partkey, x.b from ranked x join ranked y on x.p_partkey = y.p_partkey and y.b = x.b - 1
-            where x.k = 1 and y.k = 5 and x.m = y.m)
+        """with pool as materialized (select distinct o_orderstatus || '/' || o_orderpriority as m, o_orderstatus as g from orders),
+          sized as materialized (select g, m, count(*) over (partition by g) as size from pool),
+          batches as materialized (select p_partkey, least(50, greatest(1, p_size)) as rounds, unnest(range(0, (least(50, greatest(1, p_size)) - 1) // 5 + 1)) as b from part),
+          spots as materialized (select p_partkey, rounds, b, g, m, (row_number() over (partition by p_partkey, b, g
+              order by md5(p_partkey || ':' || b || ':0:' || m), m) - 0.5::double) / size as p from batches, sized),
+          ranked as materialized (select p_partkey, rounds, b, m, row_number() over (partition by p_partkey, b order by p, g, m) as k from spots),
+          firsts as materialized (select p_partkey, rounds, b, m, k from ranked where k <= 5),
+          ends as materialized (select p_partkey, b + 1 as b, m as last from firsts where k = 5),
+          heads as materialized (select p_partkey, b, m as head from firsts where k = 1)
           select p_partkey, cast(b * 5 + place as int) as round, cast(b as int) as batch, m as reviewer from (
-            select r.p_partkey, r.b, r.m, rounds, case when t.b is not null and k <= 2 then 3 - k else k end as place
-            from ranked r left join meets t on t.p_partkey = r.p_partkey and t.b = r.b where k <= 5)
+            select f.p_partkey, f.b, f.m, f.rounds, case when head = last and k <= 2 then 3 - k else k end as place
+            from firsts f join heads using (p_partkey, b) left join ends using (p_partkey, b))
           where b * 5 + place <= rounds""",
     )
 
@@ -261,6 +286,20 @@ def register(catalog: Catalog) -> None:
           case when doc_id % 5 <> 0 then {overall} end as verdict, cast(k as int) as number, 'vector ' || k as vector, {rank} as result
           from documents, range(1, 8) t(k)""",
     )
+
+    def issue_texts(s, d):
+        critical = "case when doc_id % 3 = 0 then 'None.' else concat('### ', source, '\n', lang, ' ', n_chars, '\n\n### Security\nx') end"
+        major = "case when doc_id % 2 = 0 then concat('### ', lang, '\n\nsee ', doc_id) else 'None.' end"
+        body = f"""concat('# Report: x\n\n', replace(text, '#', ''), '\n\n## Critical Issues (must fix)\n\n', {critical}, '\n\n---\n\n## Major Issues (should fix)\n\n', {major}, '\n\n---\n\nVerdict: FAILED\n')"""
+        return table(s, d, "documents").selectExpr("doc_id", f"{body} as body")
+
+    add(
+        "r04_report_issues",
+        lambda s, d: records.report_issues(issue_texts(s, d), "body"),
+        """select doc_id, 'critical' as severity, 1 as number, source as title, lang || ' ' || n_chars as detail from documents where doc_id % 3 <> 0
+          union all select doc_id, 'critical', 2, 'Security', 'x' from documents where doc_id % 3 <> 0
+          union all select doc_id, 'major', 1, lang, 'see ' || doc_id from documents where doc_id % 2 = 0""",
+    )
     add(
         "r03_report_consistency",
         lambda s, d: review.report_consistency(records.report_rows(records.read_reports(report_texts(s, d), "body")), ["plan_slug"], "result", "verdict"),

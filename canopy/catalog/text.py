@@ -43,6 +43,15 @@ def register(catalog: Catalog) -> None:
         + ", ".join(f"('{a}', '{b}')" for a, b in TERMS)
         + ") t(term, replacement) where contains(text, term) group by conv_id, term, replacement",
     )
+    term = "regexp_extract(text, '([A-Za-z]{6,})', 1)"
+    add(
+        "b10_banned_term_table",
+        lambda s, d: textscan.banned_terms_of(
+            table(s, d, "conversations"), "conv_id", "text", documents(s, d).selectExpr(f"{term} as term", f"upper({term}) as replacement")
+        ),
+        f"""select conv_id, term, upper(term) as replacement, count(*) as texts
+          from conversations, (select distinct {term} as term from documents) where term <> '' and contains(text, term) group by conv_id, term""",
+    )
     # A log entry is the document with one more command at its end.
     commands = "concat(text, '\\ngit clean -fd ', case when doc_id % 3 = 0 then ' .reviews/x.json' else ' other/' end)"
     duck_commands = commands.replace("\\n", "' || chr(10) || '")

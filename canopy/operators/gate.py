@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from canopy.session import written
 MAX_FILES = 10
 MAX_TESTS = 20
 MAX_CHAIN = 3
+# Levels of a dependency graph that one job takes at most, and dependants of one task that are looked up in one place.
+ROUNDS, DEPENDANTS = 16, 100_000
 
 
 def is_done(text: Column, strict: bool = False) -> Column:
@@ -106,31 +110,55 @@ def size_limits(tasks: DataFrame, key: str, files: str, tests: str) -> DataFrame
     )
 
 
+def _pending(tasks: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """``tasks(id, base, slots)`` with ``chain``: known if all links of a task are resolved within so many rounds."""
+    # A task that many depend on is looked up in several slots, each a row of its own.
+    slot = F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)
+    open_ = F.lit(None).cast("bigint")
+    now = tasks.select("id", "base", "slots", open_.alias("chain"))
+    for _ in range(rounds):
+        known = now.select(F.col("id").alias("depends_on"), F.explode(slot).alias("slot"), "chain")
+        below = links.join(known, ["depends_on", "slot"]).select("id", open_.alias("base"), open_.alias("slots"), "chain", F.col("chain").isNull().alias("open"))
+        own = tasks.select("id", "base", "slots", open_.alias("chain"), F.lit(False).alias("open"))
+        folded = below.unionByName(own).groupBy("id").agg(
+            F.max("base").alias("base"), F.max("slots").alias("slots"), F.max("chain").alias("longest"), F.max("open").alias("open")
+        )
+        now = folded.select("id", "base", "slots", F.when(~F.col("open"), F.greatest("base", "longest") + 1).alias("chain"))
+    return now
+
+
 def dependency_chains(edges: DataFrame, limit: int = MAX_CHAIN) -> DataFrame:
     """Length of the longest chain below each task, whether it is over ``limit``, and whether it runs into a cycle.
 
-    ``edges`` (id, depends_on). Walks of 1, 2, 4 ... steps are found by joining walks with themselves; then every task
-    takes the largest of these steps that some walk from its present ends allows, from long to short. So a chain of n
-    tasks takes about 2 log2(n) joins. A walk longer than there are tasks repeats one: its task has no longest
-    chain, ``chain`` is NULL, ``over_limit`` and ``cyclic`` are true.
+    ``edges`` (id, depends_on). Lengths are found from the ends up: a task is resolved once all it depends on is, one row
+    per task and a link at a time, so tables stay as small as the edges. A job takes 1, 2, 4 and up to ROUNDS levels;
+    then resolved tasks leave, and links to them become a number at their task. So a chain of n tasks takes about
+    n / ROUNDS jobs over what is still open. What is never resolved runs into a cycle: such a task has no longest chain,
+    ``chain`` is NULL, ``over_limit`` and ``cyclic`` are true.
     """
+    spark = edges.sparkSession
     links = written(edges.select("id", "depends_on").where("id is not null and depends_on is not null").distinct())
-    tasks = links.select("id").union(links.select("depends_on")).distinct().count()
-    walks, cyclic = [links.select("id", F.col("depends_on").alias("at"))], None
-    while cyclic is None:
-        onward = walks[-1].select(F.col("id").alias("at"), F.col("at").alias("to"))
-        longer = written(walks[-1].join(onward, "at").select("id", F.col("to").alias("at")).distinct())
-        if longer.limit(1).count() == 0 or 2 ** len(walks) > tasks:
-            cyclic = longer.select("id").distinct()
-        else:
-            walks.append(longer)
-    ids = links.select("id").distinct()
-    ends = ids.join(cyclic, "id", "left_anti").select("id", F.col("id").alias("at"), F.lit(0).cast("bigint").alias("chain"))
-    for power in reversed(range(len(walks))):
-        step = walks[power].select(F.col("id").alias("at"), F.col("at").alias("to"))
-        moved = ends.join(step, "at").select("id", F.col("to").alias("at"), (F.col("chain") + 2**power).alias("chain")).distinct()
-        ends = written(moved.unionByName(ends.join(moved.select("id").distinct(), "id", "left_anti")))
-    chains = ends.groupBy("id").agg(F.max("chain").alias("chain"))
+    counts = written(links.groupBy("depends_on").agg(F.ceil(F.count("*") / DEPENDANTS).alias("slots")))
+    links = links.join(counts, "depends_on").select("id", "depends_on", F.pmod(F.xxhash64("id"), "slots").alias("slot"))
+    tasks = links.select("id").distinct().join(counts.withColumnRenamed("depends_on", "id"), "id", "left")
+    tasks = written(tasks.select("id", F.lit(0).cast("bigint").alias("base"), F.coalesce("slots", F.lit(1)).cast("bigint").alias("slots")))
+    links = written(links.join(tasks.select(F.col("id").alias("depends_on")), "depends_on", "left_semi"))
+    resolved = [spark.createDataFrame([], tasks.select("id", F.col("base").alias("chain")).schema)]
+    rounds = 1
+    while True:
+        state = written(_pending(tasks, links, rounds))
+        known = state.where("chain is not null").select("id", "chain")
+        if known.limit(1).count() == 0:
+            break
+        resolved.append(known)
+        open_links = links.join(known.select("id"), "id", "left_anti")
+        # The longest chain among resolved dependencies goes on as a number.
+        floor = open_links.join(known.withColumnRenamed("id", "depends_on"), "depends_on").groupBy("id").agg(F.max("chain").alias("below"))
+        left = state.where("chain is null").join(floor, "id", "left")
+        tasks = written(left.select("id", F.greatest("base", "below").alias("base"), "slots"))
+        links = written(open_links.join(known.select(F.col("id").alias("depends_on")), "depends_on", "left_anti"))
+        rounds = min(2 * rounds, ROUNDS)
+    chains = reduce(DataFrame.unionByName, resolved)
     straight = chains.select("id", "chain", (F.col("chain") > limit).alias("over_limit"), F.lit(False).alias("cyclic"))
-    looped = cyclic.select("id", F.lit(None).cast("bigint").alias("chain"), F.lit(True).alias("over_limit"), F.lit(True).alias("cyclic"))
+    looped = tasks.select("id", F.lit(None).cast("bigint").alias("chain"), F.lit(True).alias("over_limit"), F.lit(True).alias("cyclic"))
     return straight.unionByName(looped)

@@ -51,7 +51,12 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
 
 def complexity_hotspots(nodes: DataFrame, file_pattern: Globs, n: int = 20) -> DataFrame:
     """The n most complex functions; equal ones in order of file and position."""
-    ranked = function_metrics(scan_nodes(nodes, file_pattern)).orderBy(F.desc("cyclomatic"), "file_path", "node_id").limit(n)
+    return hotspots_of(function_metrics(scan_nodes(nodes, file_pattern)), n)
+
+
+def hotspots_of(measured: DataFrame, n: int = 20) -> DataFrame:
+    """The n most complex of measured functions."""
+    ranked = measured.orderBy(F.desc("cyclomatic"), "file_path", "node_id").limit(n)
     return ranked.select("file_path", "name", "lines", "cyclomatic", "conditionals", "loops", "return_count", "max_depth")
 
 

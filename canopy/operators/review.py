@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.text import trimmed
 from canopy.plans.numbering import HOT_ROWS, key_sizes, numbered, running_sum
+from canopy.session import written
 
 # Verdicts from mild to severe; anything else ranks 0 and counts as missing.
 VERDICTS = ("PASSED", "CONDITIONAL", "FAILED")
@@ -19,8 +20,8 @@ DEFAULT_ROUNDS = 1
 MAX_ROUNDS = 50
 SLOTS = 3
 BATCH = 5
-# Names that a reviewer pool may have.
-POOL_LIMIT = 200
+# Names of a reviewer pool that one row holds.
+CHUNK = 256
 
 # The reviewers used when none are named.
 DEFAULT_REVIEWERS = (
@@ -230,21 +231,95 @@ def interleave(
     return placed.drop("_by", "_rank", "_size").orderBy("position", group)
 
 
-def _batch_order(names: Sequence[str], seed: Column, batch: Column, fill: int = 0) -> Column:
-    """The pool in the order of one batch: shuffled by a hash of seed and batch within providers, providers spread evenly."""
-    groups = [name.split("/", 1)[0] for name in names]
-    shuffled = [
-        F.struct(F.lit(g).alias("g"), F.lit(groups.count(g)).alias("size"), F.lit(m).alias("m"),
-                 F.md5(F.concat_ws(":", seed, batch, F.lit(fill), F.lit(m)).cast("binary")).alias("h"))
-        for g, m in zip(groups, names)
-    ]
+def interleave_apart(
+    members: DataFrame, group: str, order: str, seed: int | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Arrange members so that no two of a group are neighbours while another group has members left.
+
+    ``position`` counts from 1. The rows are those of the greedy pick (always a member of the group with most members left
+    that is not the last one's; on ties the first group by name), found without picking. A member's level is how many of
+    its group are left when it is picked. The largest group T takes turns with the others, these by (level, name), while T
+    has most left; from there on all go by (level, name). When the turns end follows from the first place among the others
+    whose level is above what T has left by then, and every position from a rank and a count per level. So one global
+    numbering and joins on rank and level do it. Inside a group members are in ``order``, or shuffled by a seeded hash of
+    it. Rows without a group are a group of their own, the last by name. Two rows, the name and size of T and the end of
+    the turns, go to the driver.
+    """
+    named = F.struct(F.col(group).isNull().alias("none"), F.col(group).alias("name"))
+    keyed = members.withColumns(
+        {"_g": named, "_by": F.col(order) if seed is None else F.md5(F.concat_ws(":", F.col(order), F.lit(seed)).cast("binary"))}
+    )
+    sizes = written(keyed.groupBy("_g").agg(F.count("*").alias("_size")))
+    top = sizes.orderBy(F.desc("_size"), "_g").first()
+    if top is None:
+        return members.withColumn("position", F.lit(0).cast("bigint"))
+    ranked = numbered(keyed, ["_g"], ["_by", order], "_rank", sizes=key_sizes(members, [group]), hot_rows=hot_rows)
+    ranked = written(ranked.join(sizes, "_g").withColumn("_level", F.col("_size") - F.col("_rank") + 1))
+    largest = F.struct(F.lit(top["_g"]["none"]).alias("none"), F.lit(top["_g"]["name"]).cast(members.schema[group].dataType).alias("name"))
+    others = ranked.where(F.col("_g") != largest).withColumn("_down", -F.col("_level"))
+    others = written(numbered(others, [], ["_down", "_g"], "_i", hot_rows=hot_rows).drop("_down").withColumn("_i", F.col("_i") - 1))
+    count, size = others.count(), top["_size"]
+    # T is picked at turn i if it has more left than the others' next, or as many and comes first, or the next was just picked.
+    gap = size - F.col("_i") - F.col("_level")
+    before = others.select((F.col("_i") + 1).alias("_i"), F.col("_g").alias("_last"))
+    ties = others.where((gap == 0) & (F.col("_g") < largest)).select("_i", "_g").join(before, "_i", "left")
+    ends = ties.where("_last is null or _last <> _g").select("_i").union(others.where(gap < 0).select("_i"))
+    turns = ends.agg(F.min("_i")).first()[0]
+    turns = count if turns is None else turns
+    left = size - turns
+    earlier = F.greatest(F.lit(left) - F.col("_level"), F.lit(0)) + F.when((F.col("_level") <= left) & (largest < F.col("_g")), 1).otherwise(0)
+    placed = others.withColumn("position", F.when(F.col("_i") < turns, 2 * F.col("_i") + 2).otherwise(turns + F.col("_i") + earlier + 1))
+    levels = others.groupBy("_level").agg(F.min("_i").alias("_first"), F.count_if(F.col("_g") < largest).alias("_less"))
+    own = ranked.where(F.col("_g") == largest)
+    turn = F.col("_rank") - 1
+    among = F.coalesce(F.col("_first") + F.col("_less"), F.lit(count))  # the others before a member of T that has no turn
+    rest = turns + F.greatest(among, F.lit(turns)) + (left - F.col("_level")) + 1
+    own = own.join(levels, "_level", "left").withColumn("position", F.when(turn < turns, 2 * turn + 1).otherwise(rest))
+    columns = [*members.columns, F.col("position").cast("bigint").alias("position")]
+    return own.select(*columns).unionByName(placed.select(*columns)).orderBy("position")
+
+
+# --- rotation ---
+
+
+def _pool_chunks(pool: DataFrame, member: str) -> DataFrame:
+    """The pool as rows of at most CHUNK members: ``(chunk, members)``, written.
+
+    Members are sorted by provider and name. Each carries the size of its provider, its place among the provider's members
+    in the chunk, and whether the provider has members in other chunks.
+    """
+    names = pool.select(F.col(member).alias("m")).where("m is not null").distinct().withColumn("g", provider_of(F.col("m")))
+    placed = numbered(names, [], ["g", "m"], "n").withColumn("chunk", F.floor((F.col("n") - 1) / CHUNK))
+    sizes = placed.groupBy("g").agg(F.count("*").alias("size"), (F.min("chunk") != F.max("chunk")).alias("spread"))
+    inside = placed.groupBy("chunk", "g").agg(F.min("n").alias("first"))
+    rows = placed.join(inside, ["chunk", "g"]).join(sizes, "g")
+    entry = F.struct("g", "m", "size", "spread", (F.col("n") - F.col("first") + 1).alias("place"))
+    return written(rows.groupBy("chunk").agg(F.array_sort(F.collect_list(entry)).alias("members")))
 
-    def placed(pool: Column) -> Column:
-        before = lambda e: F.size(F.filter(pool, lambda x: (x["g"] == e["g"]) & (F.struct(x["h"], x["m"]) < F.struct(e["h"], e["m"]))))
-        spots = F.transform(pool, lambda e: F.struct(((before(e) + 0.5) / e["size"]).alias("p"), e["g"].alias("g"), e["m"].alias("m")))
-        return F.transform(F.array_sort(spots), lambda x: x["m"])
 
-    return F.transform(F.array(F.array(*shuffled)), placed)[0]
+def _first_members(batches: DataFrame, chunks: DataFrame, n_chunks: int) -> DataFrame:
+    """``(seed, batch, fill, five)``: the first members of the pool in the order of each of ``batches(seed, batch, fill)``.
+
+    In that order the members of a provider are shuffled by a hash of seed, batch and fill, and providers are spread evenly.
+    Every chunk of the pool gives the few that can be among the first: of providers of its own the first BATCH of all, of
+    a provider that reaches into other chunks the first BATCH of it.
+    """
+    asked = batches.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint"))))
+    rows = asked.join(chunks, "chunk")
+    hashed = lambda e: F.md5(F.concat_ws(":", "seed", "batch", "fill", e["m"]).cast("binary"))
+    # Sorted by provider and hash, a provider's members stand where they stood sorted by name.
+    shuffled = F.array_sort(F.transform("members", lambda e: F.struct(e["g"].alias("g"), hashed(e).alias("h"), e["m"].alias("m"))))
+    both = F.zip_with(shuffled, "members", lambda x, e: F.struct(
+        ((e["place"] - 0.5) / e["size"]).alias("p"), x["g"].alias("g"), x["m"].alias("m"), x["h"].alias("h"), e["size"].alias("size"), e["spread"].alias("spread"), e["place"].alias("place")))
+    near = F.filter(both, lambda e: e["place"] <= BATCH)
+    rows = rows.select("seed", "batch", "fill", near.alias("near"))
+    whole = F.slice(F.array_sort(F.filter("near", lambda e: ~e["spread"])), 1, BATCH)
+    each = rows.select("seed", "batch", "fill", F.explode(F.concat(whole, F.filter("near", lambda e: e["spread"]))).alias("e"))
+    each = each.select("seed", "batch", "fill", "e.*")
+    inside = Window.partitionBy("seed", "batch", "fill", "g").orderBy("h", "m")
+    spread = each.withColumn("p", F.when(F.col("spread"), (F.row_number().over(inside) - 0.5) / F.col("size")).otherwise(F.col("p")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "g", "m"))), lambda e: e["m"])
+    return spread.where(F.col("p") * F.col("size") < BATCH).groupBy("seed", "batch", "fill").agg(F.slice(ordered, 1, BATCH).alias("five"))
 
 
 def _swapped_unlike(order: Column, last: Column) -> Column:
@@ -255,32 +330,37 @@ def _swapped_unlike(order: Column, last: Column) -> Column:
 def rotation_schedule(plans: DataFrame, pool: DataFrame, plan: str, rounds: str, seed: str, member: str) -> DataFrame:
     """A reviewer for every round of every plan, in batches of five that are shuffled anew.
 
-    Rounds are clamped to [1, 50]. The order of a batch is a function of (seed, batch) alone, so no state runs between
-    rows: providers are spread evenly, a small pool is gone through again, and where two batches or passes would meet in
-    one reviewer the later one swaps its first two. Two reviewers take turns. The pool is a configuration of at most
-    POOL_LIMIT names; more raise an error.
+    Rounds are clamped to [1, 50]. The order of a batch is a function of (seed, batch) alone: providers are spread evenly, a
+    small pool is gone through again, and where two batches or passes would meet in one reviewer the later one swaps its
+    first two. Two reviewers take turns. The pool is a table of any size, worked off in chunks; what a batch begins
+    with is computed once per seed, and a batch learns the end of the one before by a join.
     """
-    names = [row[0] for row in pool.select(member).distinct().orderBy(member).limit(POOL_LIMIT + 1).collect()]
-    if not 0 < len(names) <= POOL_LIMIT:
-        raise ValueError(f"the reviewer pool must have 1 to {POOL_LIMIT} names")
-    each = plans.select(
-        plan, F.col(seed).alias("_seed"), F.explode(F.sequence(F.lit(0), F.floor((clamp_rounds(F.col(rounds)) - 1) / BATCH).cast("int"))).alias("batch"),
-        clamp_rounds(F.col(rounds)).alias("_rounds"),
-    )
-
-    def five(number: Column) -> Column:
-        order = _batch_order(names, F.col("_seed"), number)
-        if len(names) < BATCH:
-            order = F.concat(order, _swapped_unlike(_batch_order(names, F.col("_seed"), number, 1), order[len(names) - 1]))
-        return F.slice(order, 1, BATCH)
-
-    if len(names) > 2:
-        shuffled = each.withColumns({"_five": five(F.col("batch")), "_last": five(F.col("batch") - 1)[BATCH - 1]})
-        order = F.when(F.col("batch") > 0, _swapped_unlike(F.col("_five"), F.col("_last"))).otherwise(F.col("_five"))
+    chunks = _pool_chunks(pool, member)
+    n_chunks, n_names = chunks.agg(F.count("*"), F.sum(F.size("members"))).first()
+    if not n_chunks:
+        raise ValueError("the reviewer pool is empty")
+    each = plans.select(plan, F.col(seed).alias("seed"), clamp_rounds(F.col(rounds)).alias("_rounds"))
+    number = F.sequence(F.lit(0), F.floor((F.max("_rounds") - 1) / BATCH).cast("int"))
+    seeds = each.groupBy("seed").agg((number if n_names > 2 else F.array(F.lit(0))).alias("numbers"))
+    batches = seeds.select("seed", F.explode("numbers").alias("batch"))
+    fills = F.array(*(F.lit(k) for k in range(2 if 2 < n_names < BATCH else 1)))
+    orders = written(_first_members(batches.withColumn("fill", F.explode(fills)), chunks, n_chunks))
+    first = orders.where("fill = 0").drop("fill")
+    if n_names > 2:
+        if n_names < BATCH:
+            again = orders.where("fill = 1").select(F.col("seed").alias("s"), F.col("batch").alias("b"), F.col("five").alias("more"))
+            both = first.join(again, F.col("seed").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b")))
+            passed = F.concat("five", _swapped_unlike(F.col("more"), F.element_at("five", -1)))
+            first = both.select("seed", "batch", F.slice(passed, 1, BATCH).alias("five"))
+        ends = first.select(F.col("seed").alias("s"), (F.col("batch") + 1).alias("b"), F.element_at("five", -1).alias("last"))
+        met = first.join(ends, F.col("seed").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b")), "left")
+        order = F.when(F.col("last").isNull(), F.col("five")).otherwise(_swapped_unlike(F.col("five"), F.col("last")))
+        ready = met.select(F.col("seed").alias("s"), "batch", order.alias("five"))
     else:
-        turns = F.transform(F.sequence(F.lit(0), F.lit(BATCH - 1)), lambda k: F.pmod(F.col("batch") * BATCH + k, F.lit(len(names))))
-        shuffled = each.withColumn("_five", _batch_order(names, F.col("_seed"), F.lit(0)))
-        order = F.transform(turns, lambda k: F.col("_five")[k])
-    rows = shuffled.select(plan, "batch", "_rounds", F.posexplode(order).alias("_at", member))
+        turn = lambda k: F.pmod(F.col("batch") * BATCH + k, F.lit(n_names).cast("int"))
+        turns = F.transform(F.sequence(F.lit(0), F.lit(BATCH - 1)), lambda k: F.col("five")[turn(k)])
+        numbers = each.groupBy("seed").agg(number.alias("numbers")).select(F.col("seed").alias("s"), F.explode("numbers").alias("batch"))
+        ready = first.drop("batch").join(numbers, F.col("seed").eqNullSafe(F.col("s"))).select("s", "batch", turns.alias("five"))
+    rows = each.join(written(ready), F.col("seed").eqNullSafe(F.col("s"))).select(plan, "batch", "_rounds", F.posexplode("five").alias("_at", member))
     rows = rows.withColumn("round", (F.col("batch") * BATCH + F.col("_at") + 1).cast("int")).where("round <= _rounds")
     return rows.select(plan, "round", "batch", member)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.patterns import is_valid_slug
 from canopy.functions.text import clean_path, matching_lines, trimmed, word_count
+from canopy.session import written
 
 
 def count_matching_lines(files: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -39,6 +40,47 @@ def banned_terms(texts: DataFrame, group: str, text: str, terms: Sequence[tuple[
     )
 
 
+#: Characters of a gram that terms are looked up by.
+GRAM = 4
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, cut from its characters in one pass."""
+
+    def runs(signs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(signs) - size + 1, F.lit(1)))
+        return F.when(F.size(signs) >= size, F.array_distinct(F.transform(starts, lambda at: F.array_join(F.slice(signs, at, size), ""))))
+
+    # As an argument of a lambda the characters are taken apart once, not once for every run.
+    each = F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), runs)[0]
+    return F.coalesce(each, F.array().cast("array<string>"))
+
+
+def banned_terms_of(texts: DataFrame, group: str, text: str, terms: DataFrame) -> DataFrame:
+    """``banned_terms`` with the terms from a table (term, replacement) of any size.
+
+    Each term is looked up by one of its grams, the one that the fewest texts have; a term with a gram that no text has
+    is never looked up. Texts and terms meet by equal grams, and only these pairs are searched for the whole term. Terms
+    shorter than a gram are a gram of their own length. Empty and NULL terms are none; a term listed twice counts once.
+    """
+    rows = texts.select(F.col(group).alias("_group"), F.col(text).alias("_text")).where("_text is not null")
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    listed = written(terms.select("term", "replacement").where("term <> ''").distinct().withColumn("_size", F.least(F.length("term"), F.lit(GRAM))))
+    sizes = sorted(row[0] for row in listed.select("_size").distinct().collect())  # at most GRAM of them
+    if not sizes:
+        return rows.select(F.col("_group").alias(group), F.lit("").alias("term"), F.lit("").alias("replacement"), F.lit(0).cast("bigint").alias("texts")).limit(0)
+    keys = reduce(DataFrame.unionByName, [listed.where(F.col("_size") == k).select("term", "replacement", F.explode(_grams(F.col("term"), k)).alias("gram")) for k in sizes])
+    found = rows.select("_row", F.explode(F.concat(*[_grams(F.col("_text"), k) for k in sizes])).alias("gram"))
+    hits = written(found.join(keys.select("gram").distinct(), "gram", "left_semi"))
+    # A gram that no text has counts 0 and is the rarest.
+    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = keys.join(counts, "gram", "left").groupBy("term", "replacement").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
+    lookups = written(rarest.where("key.n > 0").select("term", "replacement", F.col("key.gram").alias("gram")))
+    pairs = hits.join(lookups, "gram").select("_row", "term", "replacement")
+    used = pairs.join(rows, "_row").where(F.contains("_text", F.col("term")))
+    return used.groupBy(F.col("_group").alias(group), "term", "replacement").agg(F.count("*").alias("texts"))
+
+
 # The fields an artifact must fill, in the order they are checked.
 REQUIRED_FIELDS = ("title", "source", "summary", "api_surface", "constraints", "anti_patterns")
 

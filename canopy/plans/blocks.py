@@ -30,8 +30,11 @@ class Grid:
 
     def all_blocks(self, position: str) -> Column:
         """Every (level, block) that contains one position."""
+        return F.expr(self.all_blocks_sql(position))
+
+    def all_blocks_sql(self, position: str) -> str:
         blocks = [_block(level, self.block_of(position, level)) for level in range(self.levels)]
-        return F.expr(f"array({', '.join(blocks)})")
+        return f"array({', '.join(blocks)})"
 
     def parents(self, block: str) -> Column:
         """The (level, block) of a level-0 block and of all that contain it."""
@@ -44,6 +47,9 @@ class Grid:
         At most two runs of ``2**step`` blocks per level; only the top level
         may hold a longer run. An empty range gives an empty array.
         """
+        return F.expr(self.cover_sql(first, last))
+
+    def cover_sql(self, first: str, last: str) -> str:
         mask = (1 << self.step) - 1
         low, high = f"bigint({first})", f"bigint({last})"
         runs: list[str] = []
@@ -56,7 +62,7 @@ class Grid:
             # nothing is left, low stays above high on all further levels.
             low, high = f"(shiftright({low}, {self.step}) + 1)", f"(shiftright({high}, {self.step}) - 1)"
         runs.append(_run(self.levels - 1, low, high, f"{low} <= {high}"))
-        return F.expr(f"concat({', '.join(runs)})")
+        return f"concat({', '.join(runs)})"
 
 
 # The expressions are SQL text, because each level refers to the one below it.

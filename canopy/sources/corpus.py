@@ -23,26 +23,14 @@ def _excluded(relative: Column) -> Column:
 def _scanned(spark: SparkSession, root: str, extension: str) -> DataFrame:
     """All files with one extension but those of the excluded folders, whose content is never read.
 
-    The listing alone is looked at first; it gives the folders right below ``root``, and only the allowed ones are read.
+    Spark lists the folders, in tasks where there are many. The exclusion asks the path of a file alone, so it is applied to
+    the listing, and the plan is the same for any number of folders.
     """
     base = root.rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), base, -1)
-
-    def read(*paths: str, **options: str) -> DataFrame:
-        return spark.read.format("binaryFile").options(pathGlobFilter=f"*.{extension}", **options).load(list(paths))
-
-    listed = read(base, recursiveFileLookup="true").select(relative.alias("file_path"))
-    folder = F.when(F.contains("file_path", F.lit("/")), F.substring_index("file_path", "/", 1))
-    tops = {row[0] for row in listed.select(folder).distinct().collect()}
-    parts = [read(base + top, recursiveFileLookup="true") for top in sorted(t for t in tops if t is not None) if top not in EXCLUDED_FOLDERS]
-    if None in tops:
-        parts.append(read(f"{base}*.{extension}"))
-    if not parts:
-        parts = [read(base, recursiveFileLookup="true").where("false")]
-    files = reduce(DataFrame.unionByName, parts)
-    return files.select(relative.alias("file_path"), F.col("modificationTime").alias("modified_at"), "length", "content").where(
-        ~_excluded(F.col("file_path"))
-    )
+    relative = F.substring_index(F.col("_metadata.file_path"), base, -1)
+    files = spark.read.format("binaryFile").options(pathGlobFilter=f"*.{extension}", recursiveFileLookup="true").load(base)
+    kept = files.where(~_excluded(relative))
+    return kept.select(F.substring_index(F.col("path"), base, -1).alias("file_path"), F.col("modificationTime").alias("modified_at"), "length", "content")
 
 
 def _is_text() -> Column:

@@ -4,6 +4,11 @@ The block-skeleton rule: container tags open and close, every other tag is a
 leaf whose close tag is ignored. A page is one cell of the input, so the
 tokens of a page are bounded by a text one task has already held, and all
 windows share one exchange on the page.
+
+With ``sliced`` a page may be far larger than a task should hold as tokens: they are cut into slices of SLICE positions, and
+windows run inside a slice. What goes on from slice to slice is one row per slice: sums that are carried forward, and per
+level of nesting the first token of a slice at that level, which ends whatever is still open there, or the last parent.
+Both forms give the same rows; the sliced one writes its tokens down and takes more steps.
 """
 
 from __future__ import annotations
@@ -11,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.session import written
+
 # Tags that hold other nodes.
 CONTAINERS = (
     "html", "head", "body", "title", "nav", "ul", "li", "div", "article", "footer", "h1", "a",
 )
 DEFINITION_TAGS = ("article", "nav", "footer")
+# Tokens of one slice of a page.
+SLICE = 65_536
 # Text that only looks like markup: scripts, styles, comments, the doctype.
 OPAQUE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
 TOKEN = r"\n|</?[a-zA-Z][^>]*>"
@@ -71,33 +80,66 @@ def _paired(tokens: DataFrame) -> DataFrame:
     return ended.withColumn("reason", reason)
 
 
-def markup_rejects(pages: DataFrame, file_path: str = "url", text: str = "html") -> DataFrame:
+def _carried(tokens: DataFrame) -> DataFrame:
+    """Tokens with running counts over their page: balance of containers, opened nodes, and the line they begin on."""
+    sliced = written(tokens.withColumn("slice", F.floor(F.col("pos") / SLICE)))
+    steps = {
+        "balance": F.when(~F.col("container"), 0).when(F.col("closing"), -1).otherwise(1).cast("bigint"),
+        "opens": (~F.col("closing") & (F.col("tag") != "")).cast("bigint"),
+        "lines": F.col("breaks").cast("bigint"),
+    }
+    so_far = Window.partitionBy("file_path", "slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = sliced.withColumns({name: F.sum(step).over(so_far) for name, step in steps.items()})
+    totals = sliced.groupBy("file_path", "slice").agg(*[F.sum(step).alias(f"all_{name}") for name, step in steps.items()])
+    earlier = Window.partitionBy("file_path").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    carry = totals.select("file_path", "slice", *[F.coalesce(F.sum(f"all_{name}").over(earlier), none).alias(f"from_{name}") for name in steps])
+    joined = inside.join(carry, ["file_path", "slice"])
+    return joined.withColumns({name: F.col(name) + F.col(f"from_{name}") for name in steps}).withColumn(
+        "line", (F.col("lines") - F.col("breaks") + 1).cast("int")
+    )
+
+
+def _paired_in_slices(tokens: DataFrame) -> DataFrame:
+    """The same, slice by slice."""
+    # A container and the token that ends it share a level.
+    level = F.when(F.col("container"), F.col("balance") + F.col("closing").cast("int"))
+    counted = written(_carried(tokens)).withColumns({"level": level, "here": F.struct("pos", "opens", "line", "tag", "closing")})
+    firsts = counted.where("container").groupBy("file_path", "slice", "level").agg(F.min("here").alias("first"))
+    later = Window.partitionBy("file_path", "level").orderBy("slice")
+    beyond = firsts.select("file_path", "slice", "level", F.lead("first").over(later).alias("beyond"))
+    in_slice = Window.partitionBy("file_path", "slice", "level").orderBy("pos")
+    ended = counted.withColumn("next", F.when(F.col("container"), F.lead("here").over(in_slice))).join(beyond, ["file_path", "slice", "level"], "left")
+    end = F.when(F.col("container"), F.coalesce("next", "beyond"))
+    ended = written(ended.select(
+        "file_path", "slice", "pos", "token", "tag", "closing", "container", "balance", "opens", "line",
+        end["opens"].alias("end_opens"), end["line"].alias("end_line"), end["tag"].alias("end_tag"), end["closing"].alias("end_closes"), "breaks",
+    ))
+    opened = F.col("container") & ~F.col("closing")
+    clash = opened & ((F.col("end_tag") != F.col("tag")) | ~F.col("end_closes"))
+    pages = ended.groupBy("file_path").agg(
+        F.max("opens").alias("page_opens"), F.max(F.col("line") + F.col("breaks")).alias("page_lines"),
+        F.min("balance").alias("lowest"), F.max(F.coalesce(clash, F.lit(False))).alias("clashes"),
+    )
+    reason = F.when(F.col("lowest") < 0, "negative depth").when(F.col("clashes"), "mismatched pair")
+    return ended.join(pages, "file_path").withColumn("reason", reason)
+
+
+def markup_rejects(pages: DataFrame, file_path: str = "url", text: str = "html", sliced: bool = False) -> DataFrame:
     """Pages that break the rule, with the reason."""
-    broken = _paired(_tokens(pages, file_path, text)).where("reason is not null")
+    broken = (_paired_in_slices if sliced else _paired)(_tokens(pages, file_path, text)).where("reason is not null")
     return broken.groupBy("file_path").agg(F.min("reason").alias("reason"))
 
 
-def markup_nodes(pages: DataFrame, file_path: str = "url", text: str = "html", peek: int | str = 200) -> DataFrame:
-    """The node table of all pages that keep the rule."""
-    tokens = _paired(_tokens(pages, file_path, text)).where("reason is null and not closing and tag <> ''")
-    inside = F.when(F.col("container"), F.coalesce("end_opens", "page_opens") - F.col("opens")).otherwise(0)
-    nodes = tokens.select(
-        "file_path",
-        (F.col("opens") - 1).alias("node_id"),
-        (F.col("balance") - F.col("container").cast("int")).cast("int").alias("depth"),
-        F.col("tag").alias("type"),
-        "token",
-        F.col("line").alias("start_line"),
-        F.when(F.col("container"), F.coalesce("end_line", "page_lines")).otherwise(F.col("line")).cast("int").alias("end_line"),
-        inside.cast("bigint").alias("descendant_count"),
-    )
+def _related(nodes: DataFrame) -> DataFrame:
+    """Nodes with their parent and the number of their children."""
     in_page = Window.partitionBy("file_path").orderBy("node_id")
     # In pre-order, the node before a first child is its parent; later children
     # find that parent at the last first child of their own depth.
     first_parent = F.when(F.lag("depth").over(in_page) == F.col("depth") - 1, F.lag("node_id").over(in_page))
     same_depth = Window.partitionBy("file_path", "depth").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
     siblings = Window.partitionBy("file_path", "parent_id")
-    related = (
+    return (
         nodes.withColumn("first_parent", first_parent)
         .withColumn("parent_id", F.when(F.col("depth") > 0, F.last("first_parent", ignorenulls=True).over(same_depth)))
         .withColumn("sibling_count", F.count("*").over(siblings))
@@ -106,6 +148,45 @@ def markup_nodes(pages: DataFrame, file_path: str = "url", text: str = "html", p
             F.when(F.lead("depth").over(in_page) == F.col("depth") + 1, F.lead("sibling_count").over(in_page)).otherwise(0),
         )
     )
+
+
+def _related_in_slices(nodes: DataFrame) -> DataFrame:
+    """The same, slice by slice."""
+    sliced = written(nodes).withColumn("slice", F.floor(F.col("node_id") / SLICE))
+    in_slice = Window.partitionBy("file_path", "slice").orderBy("node_id")
+    # The node before the first of a slice is the last of the slice before.
+    lasts = sliced.groupBy("file_path", "slice").agg(F.max(F.struct("node_id", "depth")).alias("before"))
+    lasts = lasts.select("file_path", (F.col("slice") + 1).alias("slice"), "before")
+    before = F.coalesce(F.lag(F.struct("node_id", "depth")).over(in_slice), F.col("before"))
+    # In pre-order, the node before a first child is its parent; later children
+    # find that parent at the last first child of their own depth.
+    placed = sliced.join(lasts, ["file_path", "slice"], "left").withColumn("before", before)
+    first = written(placed.withColumn("first_parent", F.when(F.col("before.depth") == F.col("depth") - 1, F.col("before.node_id"))))
+    of_slice = first.groupBy("file_path", "slice", "depth").agg(F.max(F.when(F.col("first_parent").isNotNull(), F.struct("node_id", "first_parent"))).alias("last"))
+    earlier = Window.partitionBy("file_path", "depth").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = of_slice.select("file_path", "slice", "depth", F.last("last.first_parent", ignorenulls=True).over(earlier).alias("carried"))
+    same_depth = Window.partitionBy("file_path", "slice", "depth").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = first.withColumn("own", F.last("first_parent", ignorenulls=True).over(same_depth)).join(carried, ["file_path", "slice", "depth"])
+    related = written(found.withColumn("parent_id", F.when(F.col("depth") > 0, F.coalesce("own", "carried"))))
+    children = related.where("parent_id is not null").groupBy("file_path", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children_count"))
+    return related.join(children, ["file_path", "node_id"], "left").withColumn("children_count", F.coalesce("children_count", F.lit(0)))
+
+
+def markup_nodes(pages: DataFrame, file_path: str = "url", text: str = "html", peek: int | str = 200, sliced: bool = False) -> DataFrame:
+    """The node table of all pages that keep the rule."""
+    tokens = (_paired_in_slices if sliced else _paired)(_tokens(pages, file_path, text)).where("reason is null and not closing and tag <> ''")
+    inside = F.when(F.col("container"), F.coalesce("end_opens", "page_opens") - F.col("opens")).otherwise(0)
+    nodes = tokens.select(
+        "file_path",
+        (F.col("opens") - 1).alias("node_id"),
+        (F.col("balance") - F.col("container").cast("int")).cast("int").alias("depth"),
+        F.col("tag").alias("type"),
+        "token",
+        F.col("line").alias("start_line"),
+        F.when(F.col("container"), F.coalesce("end_line", "page_lines")).otherwise(F.col("line")).cast("int").alias("end_line"),
+        inside.cast("bigint").alias("descendant_count"),
+    )
+    related = _related_in_slices(nodes) if sliced else _related(nodes)
     href = F.regexp_extract("token", r'href="([^"]*)"', 1)
     is_link = (F.col("type") == "a") & F.col("token").rlike(r"\bhref=")
     is_part = F.col("type").isin(*DEFINITION_TAGS)

@@ -74,3 +74,27 @@ def report_rows(reports: DataFrame) -> DataFrame:
     return reports.select(*[c for c in reports.columns if c != "vectors"], F.explode("vectors").alias("v")).select(
         *[c for c in reports.columns if c != "vectors"], F.col("v.number").cast("int").alias("number"), "v.vector", "v.result"
     )
+
+
+# The sections of a report that list issues, and their severity.
+ISSUE_SECTIONS = {"critical": "Critical Issues", "major": "Major Issues"}
+
+
+def report_issues(documents: DataFrame, text: str) -> DataFrame:
+    """One row per issue that a report lists: severity, place in its section from 1, title and detail, beside the other columns.
+
+    An issue is a third-level heading and what stands below it; a section without headings, such as one that says "None.",
+    lists none.
+    """
+    body = F.col(text)
+
+    def issues(severity: str, title: str) -> Column:
+        section = F.regexp_replace(_section(body, title), r"(?s)(?:\A|\n)---[ \t\r]*(?:\n.*)?\z", "")  # a rule ends it
+        parts = F.slice(F.split(section, r"(?m)^### "), 2, 1 << 30)  # what stands before the first heading is no issue
+        return F.transform(parts, lambda part, at: F.struct(
+            F.lit(severity).alias("severity"), (at + 1).alias("number"),
+            trimmed(F.substring_index(part, "\n", 1)).alias("title"), trimmed(F.regexp_replace(part, r"\A[^\n]*", "")).alias("detail")))
+
+    sections = [issues(severity, title) for severity, title in ISSUE_SECTIONS.items()]
+    kept = [c for c in documents.columns if c != text]
+    return documents.select(*kept, F.explode(F.concat(*sections)).alias("_issue")).select(*kept, "_issue.*")

@@ -1,9 +1,12 @@
 """Incremental refresh of a node table as a stream of re-read files.
 
-Three tables are kept in merged parts: ``index`` has, per file, its newest version that has arrived whole; ``nodes`` the rows
+Tables are kept in merged parts: ``index`` has, per file, its newest version that has arrived whole; ``nodes`` the rows
 of such versions; ``open`` the rows of versions that are not whole yet. A batch compares its files with the index,
 drops what is older or was there before, joins the open rows of its own versions to its rows, and moves versions that have
 become whole to ``nodes``. Node rows of other files are not read. A read takes the node rows that the index names.
+
+What depends on the nodes of one file alone is kept in the same way: ``metrics`` has the measures of every function,
+computed when its file comes in, so that asking for them reads no nodes at all.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from canopy.nodes import NODE_SCHEMA
+from canopy.operators.lookup import Globs, scan_nodes
+from canopy.operators.metrics import function_metrics, hotspots_of
 from canopy.streaming.parts import Kind, Parts, remove
 
 # A re-read row: a node, the version of its file, and whether the file is gone.
@@ -27,6 +32,8 @@ CHANGE_SCHEMA = T.StructType(
     ]
 )
 INDEX_SCHEMA = "file_path string, version bigint, deleted boolean"
+METRICS_SCHEMA = """file_path string, node_id bigint, name string, start_line int, lines int, cyclomatic bigint, conditionals bigint,
+    loops bigint, return_count bigint, max_depth int, version bigint"""
 VERSION = ["file_path", "version"]
 NODE = [*VERSION, "node_id"]
 
@@ -59,7 +66,7 @@ def _named(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def node_parts(spark: SparkSession, root: str) -> Parts:
-    """The three tables under ``root``; merging drops rows that the index has left behind."""
+    """The tables under ``root``; merging drops rows that the index has left behind."""
     return Parts(
         spark,
         root,
@@ -67,10 +74,17 @@ def node_parts(spark: SparkSession, root: str) -> Parts:
             "index": Kind(INDEX_SCHEMA, lambda rows, _: _newest(rows)),
             "open": Kind(CHANGE_SCHEMA, lambda rows, parts: _newer_than(rows.dropDuplicates(NODE), parts.read("index"))),
             "nodes": Kind(CHANGE_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
+            "metrics": Kind(METRICS_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
         },
     )
 
 
+def _measured(nodes: DataFrame) -> DataFrame:
+    """Measures of the functions in change rows, one version of each file."""
+    versions = nodes.select(*VERSION).distinct()
+    return function_metrics(nodes).join(versions, "file_path")
+
+
 def _whole(rows: DataFrame) -> DataFrame:
     """(file_path, version, deleted) of the newest version of each file that ``rows`` hold whole.
 
@@ -100,7 +114,8 @@ def take_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     seen = fresh.unionByName(waiting).dropDuplicates(NODE)
     _whole(seen).write.parquet(f"{work}/whole")
     whole = spark.read.schema(INDEX_SCHEMA).parquet(f"{work}/whole")
-    parts.publish(batch_id, {"index": whole, "open": _newer_than(fresh, whole), "nodes": _named(seen, whole)})
+    named = _named(seen, whole)
+    parts.publish(batch_id, {"index": whole, "open": _newer_than(fresh, whole), "nodes": named, "metrics": _measured(named)})
     remove(spark, work)
 
 
@@ -125,6 +140,17 @@ def current_nodes(spark: SparkSession, root: str) -> DataFrame:
     return _named(parts.read("nodes"), parts.read("index")).select(*NODE_SCHEMA.fieldNames())
 
 
+def current_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """``function_metrics`` of the current node table, from what was kept; no nodes are read."""
+    parts = node_parts(spark, root)
+    return _named(parts.read("metrics"), parts.read("index")).drop("version")
+
+
+def current_hotspots(spark: SparkSession, root: str, file_pattern: Globs = "**", n: int = 20) -> DataFrame:
+    """The n most complex functions of the current node table, as ``complexity_hotspots`` has them."""
+    return hotspots_of(scan_nodes(current_metrics(spark, root), file_pattern), n)
+
+
 def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
     """Write the tables at ``root``, each as one part, as the beginning of new ones at ``target``.
 
@@ -137,6 +163,7 @@ def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
         "index": _newest(index),
         "open": _newer_than(old.read("open").dropDuplicates(NODE), index),
         "nodes": _named(old.read("nodes"), index),
+        "metrics": _named(old.read("metrics"), index),
     }
     node_parts(spark, target).publish(-1, packed)
     return current_nodes(spark, target)

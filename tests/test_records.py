@@ -73,3 +73,32 @@ def test_glob_classes(spark):
     match = lambda glob: sorted(r[0] for r in df.where(path_matches(glob)).collect())
     assert match("[ab][0-9].go") == ["a1.go", "b2.go"] and match("[!a]?.go") == ["b2.go", "e-.go"]
     assert match("**/*[1-3].go") == ["a1.go", "b2.go", "c/d3.go"] and match("[[]x].go") == ["[x].go"]
+
+
+ISSUES = """# Report: x
+
+## Critical Issues (must fix before implementation)
+
+### Edge cases
+Empty input
+crashes.
+
+### Security
+---
+
+## Major Issues (should fix before proceeding)
+
+None.
+
+---
+
+Verdict: FAILED
+"""
+
+
+def test_issues_of_a_report(spark):
+    texts = [(1, ISSUES), (2, ISSUES.replace("None.", "### Failure modes\r\nRetry.\n\n### x")), (3, "no report"), (4, None), (5, "## Major Issues\n### only\n## Critical Issues\n### last")]
+    got = sorted(rows(records.report_issues(spark.createDataFrame(texts, "id int, body string"), "body"), "id", "severity", "number", "title", "detail"))
+    first = [("critical", 1, "Edge cases", "Empty input\ncrashes."), ("critical", 2, "Security", "")]
+    assert got == [(1, *first[0]), (1, *first[1]), (2, *first[0]), (2, *first[1]), (2, "major", 1, "Failure modes", "Retry."), (2, "major", 2, "x", ""),
+                   (5, "critical", 1, "last", ""), (5, "major", 1, "only", "")]

@@ -1,6 +1,8 @@
 """Verdicts, states, gate, rotation."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -160,6 +162,65 @@ def test_rotation_is_shuffled_per_batch_without_equal_neighbours(spark, size):
     assert by_plan["many"][:44] == by_plan["p1"][:44]  # the seed decides, not the plan
 
 
+def greedy(groups):
+    """Always the group with most left that is not the last one's; on ties the first by name."""
+    left, out, last = dict(groups), [], None
+    while any(left.values()):
+        free = [g for g in sorted(left, key=lambda g: (g is None, g)) if left[g] and g != last] or [last]
+        last = max(free, key=lambda g: left[g])
+        left[last] -= 1
+        out.append(last)
+    return out
+
+
+def test_interleave_apart_equals_the_greedy_pick(spark):
+    rng = random.Random(5)
+    cases = [{"a": 1}, {"a": 5, "b": 5}, {"a": 9, "b": 2, "c": 1}, {"b": 4, "a": 4, "c": 1}, {"b": 5, "a": 4}, {"z": 6, "a": 6, "m": 5}, {None: 3, "a": 3, "b": 1}, {"a": 3, "b": 1, "c": 1, "d": 1}]
+    cases += [{g: rng.randint(1, 9) for g in rng.sample("abcdefg", rng.randint(1, 6))} for _ in range(14)]
+    for case in cases:
+        pairs = [(g, k) for g, n in case.items() for k in range(n)]
+        rng.shuffle(pairs)
+        df = spark.createDataFrame([(k * 10 + i, g, "x") for i, (g, k) in enumerate(pairs)], "id int, grp string, position2 string")
+        for options in ({}, {"seed": 3, "hot_rows": 4}):
+            got = review.interleave_apart(df, "grp", "id", **options).collect()
+            assert [r.grp for r in got] == greedy(case) and [r.position for r in got] == list(range(1, len(pairs) + 1)), (case, options)
+            assert sorted(r.id for r in got) == sorted(r[0] for r in df.collect())
+            for g in case if not options else ():
+                assert [r.id for r in got if r.grp == g] == sorted(r.id for r in got if r.grp == g)
+    assert review.interleave_apart(df.limit(0), "grp", "id").count() == 0
+
+
+def test_a_large_pool_gives_the_rows_of_the_whole_order(spark, monkeypatch):
+    monkeypatch.setattr(review, "CHUNK", 16)
+    rng = random.Random(2)
+    names = [f"big/{k}" for k in range(150)] + [f"p{k}/{j}" for k in range(40) for j in range(rng.randint(1, 4))] + ["mid/%d" % k for k in range(20)]
+    size = {g: sum(n.split("/")[0] == g for n in names) for g in {n.split("/")[0] for n in names}}
+
+    def order(seed, batch):
+        h = {n: hashlib.md5(f"{seed}:{batch}:0:{n}".encode()).hexdigest() for n in names}
+        place = {}
+        for n in sorted(names, key=lambda n: (h[n], n)):
+            g = n.split("/")[0]
+            place[n] = sum(m.split("/")[0] == g for m in place)
+        return sorted(names, key=lambda n: ((place[n] + 0.5) / size[n.split("/")[0]], n.split("/")[0], n))[:5]
+
+    plans = [(f"p{k}", rng.randint(1, 50), k % 4) for k in range(9)]
+    pool = spark.createDataFrame([(n,) for n in names] + [(names[0],), (None,)], "m string")
+    got = review.rotation_schedule(spark.createDataFrame(plans, "plan string, rounds int, seed int"), pool, "plan", "rounds", "seed", "m")
+    want = []
+    for plan, rounds, seed in plans:
+        chosen = []
+        for batch in range(-(-rounds // 5)):
+            five = order(seed, batch)
+            if batch and five[0] == order(seed, batch - 1)[-1]:
+                five[:2] = five[1::-1]
+            chosen += five
+        want += [(plan, k + 1, k // 5, m) for k, m in enumerate(chosen[:rounds])]
+    assert sorted(rows(got)) == sorted(want)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
 def test_rotation_needs_a_pool(spark):
     plans = spark.createDataFrame([("p", 1, 1)], "plan string, rounds int, seed int")
     with pytest.raises(ValueError, match="pool"):

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from canopy.functions.times import utc_instant
-from canopy.operators import review
+from canopy.operators import metrics, review
 from canopy.streaming import parts, refresh, review_fold
 
 
@@ -138,7 +138,7 @@ def test_refresh_in_random_pieces_equals_the_newest_whole_versions(spark, nodes_
     sizes = {(f, v): rng.randint(1, 4) for f in "abcde" for v in range(1, 4)}
     pieces = []
     for (file, version), size in sizes.items():
-        whole = [{"file_path": file, "node_id": i, "depth": min(i, 1), "name": f"v{version}", "descendant_count": 0 if i else size - 1} for i in range(size)]
+        whole = [{"file_path": file, "node_id": i, "depth": min(i, 1), "name": f"v{version}", "descendant_count": 0 if i else size - 1, "semantic_type": "DEFINITION_FUNCTION"} for i in range(size)]
         cut = rng.randint(0, size)
         pieces += [(version, part) for part in (whole[:cut], whole[cut:], whole[: rng.randint(0, size)]) if part]
     rng.shuffle(pieces)
@@ -166,4 +166,10 @@ def test_refresh_in_random_pieces_equals_the_newest_whole_versions(spark, nodes_
         got = sorted(rows(refresh.current_nodes(spark, root), "file_path", "name", "node_id"))
         assert got == want, batch
         asked.clear()
+        measured = refresh.current_metrics(spark, root)
+        assert "nodes" not in asked
+        assert sorted(rows(measured)) == sorted(rows(metrics.function_metrics(refresh.current_nodes(spark, root))))
+        asked.clear()
     assert batch > 5
+    top = refresh.current_hotspots(spark, root, "**", 3)
+    assert rows(top) == rows(metrics.complexity_hotspots(refresh.current_nodes(spark, root), "**", 3)) and top.count() == 3

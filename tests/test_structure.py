@@ -1,5 +1,7 @@
 """Rules of the structure operators that the given tables cannot show."""
 
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -237,3 +239,39 @@ def test_views_answer_sql(spark, nodes_of):
     register_views(nodes)
     got = spark.sql("select name, kind from ast_symbols join function_metrics using (name, file_path) where cyclomatic = 1")
     assert rows(got) == [("f", "function")]
+
+
+def test_slices_of_a_page_give_the_nodes_of_the_whole(spark, monkeypatch):
+    rng = random.Random(7)
+
+    def page(size):
+        out, stack = [], []
+        for _ in range(size):
+            kind = rng.random()
+            if kind < 0.4:
+                stack.append(rng.choice(["div", "ul", "li"]))
+                out.append(f"<{stack[-1]}>")
+            elif kind < 0.75 and stack:
+                out.append(f"</{stack.pop()}>")
+            else:
+                out.append(rng.choice(["<p>", "\n", "<br>", "</b>", '<a href="/x">t</a>']))
+        if rng.random() < 0.7:
+            out += [f"</{tag}>" for tag in reversed(stack)]
+        return "".join(out)
+
+    pages = [(f"u{k}", page(rng.choice([3, 40, 300]))) for k in range(25)]
+    pages += [("neg", page(30) + "</div>" * 40), ("clash", "<div><ul>" + page(4) + "</div></ul>"), ("flat", "<p>" * 100), ("deep", "<div>" * 60 + "</div>" * 60), ("open", "<div><p>" * 50)]
+    df = spark.createDataFrame(pages, "url string, html string")
+    shown = ["file_path", "node_id", "parent_id", "depth", "type", "start_line", "end_line", "descendant_count", "children_count"]
+    whole, rejects = sorted(rows(markup.markup_nodes(df), *shown), key=repr), sorted(rows(markup.markup_rejects(df)))
+    monkeypatch.setattr(markup, "SLICE", 4)
+    assert sorted(rows(markup.markup_nodes(df, sliced=True), *shown), key=repr) == whole
+    assert sorted(rows(markup.markup_rejects(df, sliced=True))) == rejects
+    assert len(rejects) >= 2 and len(whole) > 500
+    children = {}
+    for file, _, parent, *_ in whole:
+        children[file, parent] = children.get((file, parent), 0) + 1
+    assert all(children.get((r[0], r[1]), 0) == r[8] for r in whole)
+    for file, node, parent, depth, *_ in whole:
+        earlier = [r[1] for r in whole if r[0] == file and r[1] < node and r[3] == depth - 1]
+        assert parent == (max(earlier) if depth else None)

@@ -1,5 +1,7 @@
 """Rules of the text scans, artifacts, links and gate checks."""
 
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -129,6 +131,48 @@ def test_dependency_chains_have_their_true_length(spark):
     assert gate.dependency_chains(spark.createDataFrame([], "id string, depends_on string")).count() == 0
 
 
+@pytest.mark.parametrize("dependants", [100_000, 3])
+def test_chains_of_layered_graphs_keep_tables_as_small_as_the_edges(spark, monkeypatch, dependants):
+    monkeypatch.setattr(gate, "DEPENDANTS", dependants)
+    rng, layers, wide = random.Random(3), 40, 12
+    edges = {(k * wide + i, (k + 1) * wide + rng.randrange(wide)) for k in range(layers) for i in range(wide) for _ in range(3)}
+    edges |= {(rng.randrange(0, 200), rng.randrange(250, layers * wide)) for _ in range(40)}  # links over many layers
+    edges |= {(9000 + k, 300) for k in range(60)}  # many that depend on one
+    edges |= {(5000, 5001), (5001, 5002), (5002, 5000), (5003, 5000), (5003, 7), (5004, 5003), (4, 4 + wide)}
+    below = {}
+    for task, dependency in edges:
+        below.setdefault(task, set()).add(dependency)
+    want, open_ = {}, dict(below)
+    while ready := [t for t, ds in open_.items() if all(d in want or d not in below for d in ds)]:
+        want |= {t: 1 + max(want.get(d, 0) for d in open_[t]) for t in ready}
+        for t in ready:
+            del open_[t]
+    sizes = []
+    monkeypatch.setattr(gate, "written", lambda df, keep=gate.written: (table := keep(df), sizes.append(table.count()))[0])
+    found = rows(gate.dependency_chains(spark.createDataFrame(list(edges), "id bigint, depends_on bigint")))
+    assert sorted(found, key=repr) == sorted([(t, n, n > 3, False) for t, n in want.items()] + [(t, None, True, True) for t in open_], key=repr)
+    assert set(open_) == {5000, 5001, 5002, 5003, 5004} and max(want.values()) == layers
+    assert max(sizes) <= len(edges)
+
+
 def test_status_of_another_line_does_not_count(spark):
     df = spark.createDataFrame([("Status:\n\nDone when x",), ("**Status:** Done",), ("- Status : completed",)], "t string")
     assert [r[0] for r in df.select(gate.is_done(F.col("t"), strict=True)).collect()] == [False, True, True]
+
+
+def test_terms_of_a_table_equal_brute_force(spark):
+    rng = random.Random(9)
+    some = lambda low, high: "".join(rng.choice("abcé🙂 ") for _ in range(rng.randint(low, high)))
+    terms = [(t, t.upper()) for t in {some(1, 9) for _ in range(300)}] + [("abcab", "x"), ("abcab", "x"), ("abcab", "y"), ("", "z"), (None, "z"), ("zzzz", "never")]
+    texts = [(k % 7, some(0, 60), 1) for k in range(120)] + [(1, None, 1), (None, "abcab", 1), (2, "a", 1), (2, "a", 1)]
+    got = textscan.banned_terms_of(
+        spark.createDataFrame(texts, "grp int, body string, gram int"), "grp", "body", spark.createDataFrame(terms, "term string, replacement string")
+    )
+    want = {}
+    for grp, body, _ in texts:
+        for term, replacement in {t for t in terms if t[0]}:
+            if body is not None and term in body:
+                want[grp, term, replacement] = want.get((grp, term, replacement), 0) + 1
+    assert sorted(rows(got), key=repr) == sorted(((*k, n) for k, n in want.items()), key=repr)
+    none = textscan.banned_terms_of(spark.createDataFrame(texts, "grp int, body string, gram int"), "grp", "body", spark.createDataFrame([], "term string, replacement string"))
+    assert none.count() == 0 and none.columns == got.columns
