@@ -41,7 +41,7 @@ SHORTEST, BITS = 64, 8
 #: Bytes of text whose new words are merged together.
 PASS_BYTES = 1 << 20
 #: Units between spaces, and words, that one worker keeps encoded; longer ones than KEPT_CHARS are not kept.
-CACHE, KEPT_CHARS = 1 << 18, 64
+CACHE, KEPT_CHARS = 3 << 16, 64
 #: Words up to these many bytes are merged in arrays, longer ones with a heap.
 MATRIX_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32)
 #: Signs that end a unit behind its letters. They are never letters, numbers or white space, and begin no contraction.
