@@ -268,13 +268,36 @@ def test_repeated_passages(make):
     docs = make([*texts, texts[1]], [5, 1, 9, 2, 3, None, 1])
     found = substrings.repeated_spans(docs).collect()
     assert [(r.doc_id, r.first_doc_ids) for r in found] == [(9, [5])]
-    assert texts[2][found[0].start : found[0].end] in passage and found[0].end - found[0].start > 150
+    # The whole passage, and the spaces that stand around it in both texts.
+    assert texts[2][found[0].start : found[0].end].strip() == passage
     unique = docs.where("doc_id <> 1")
     cut = {r.doc_id: r.text for r in substrings.without_spans(unique, substrings.repeated_spans(docs)).collect()}
     assert cut[9] == texts[2][: found[0].start] + texts[2][found[0].end :] and cut[5] == texts[0]
     assert substrings.repeated_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [51, 60, 80])
+def test_planted_passages_are_found_whole(make, words):
+    rng = random.Random(words)
+    some = lambda n: " ".join("".join(rng.choice("aeioulnrstdé") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    passages = [some(words) for _ in range(300)]
+    texts = [f"{some(rng.randrange(3, 40))} {p} {some(rng.randrange(3, 40))}" for p in passages for _ in range(2)]
+    found = {}
+    for r in substrings.repeated_spans(make(texts)).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end, r.first_doc_ids))
+    caught, cover, beyond = 0, 0.0, 0
+    for k, passage in enumerate(passages):
+        begin = texts[2 * k + 1].index(passage)
+        spans = [(a, b) for a, b, firsts in found.get(2 * k + 1, []) if firsts == [2 * k]]
+        inside = sum(max(0, min(b, begin + len(passage)) - max(a, begin)) for a, b in spans)
+        caught += bool(spans)
+        cover += inside / len(passage)
+        beyond += sum(b - a for a, b in spans) - inside
+    assert caught >= 0.99 * len(passages) and cover >= 0.95 * len(passages)
+    assert beyond <= 6 * len(passages)  # the spaces around, and letters that happen to agree
+    assert not any(k % 2 == 0 for k in found)
+
+
 def labelled(make, spark, bad, column):
     rng = random.Random(7)
     clean = lambda: " ".join(rng.choice("the of and stone river light tree under walk slow".split()) for _ in range(rng.randrange(5, 60)))
