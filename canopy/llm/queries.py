@@ -86,5 +86,5 @@ def register(catalog) -> None:
     catalog.add("op9_html", op9_html)
     catalog.add("op10_warc", op10_warc, sql.WARC)
     catalog.add("op11_chunk_bpe", op11_chunk_bpe)
-    catalog.add("op12_periodic", op12_periodic)
-    catalog.add("op13_spelling", op13_spelling)
+    catalog.add("op12_periodic", op12_periodic, sql.PERIODIC)
+    catalog.add("op13_spelling", op13_spelling, sql.SPELLING)
