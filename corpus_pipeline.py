@@ -16,6 +16,14 @@ from canopy.llm.common import pinned, prepare, table
 from canopy.llm.queries import tokenizer_path
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field rejects go."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -24,9 +32,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of the n-gram Jaccard join the document with the smallest id stays."""
     found = jaccard.near_duplicates(docs)
-    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keeper")).distinct()
-    named = docs.where("doc_id is not null").join(keepers, F.col("doc_id") == F.col("_keeper"), "left_semi")
-    named = named.withColumn("_digest", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi").select(*docs.columns)
+    digest = free_name(docs, "_digest")
+    named = named.withColumn(digest, F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", digest]).drop(digest)
     return named.union(docs.where("doc_id is null"))
 
 
@@ -35,15 +44,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepare(spark)
     by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = decontaminate.decontaminate(by_text, table(spark, sf_dir, "benchmark"))
-    leaks = found.where("contaminated").select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.xxhash64("text") == F.col("_leak"), "left_anti")
+    leak = free_name(docs, "_leak")
+    leaks = found.where("contaminated").select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.xxhash64("text") == F.col(leak), "left_anti")
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars is counted anew, as some of a full format are longer."""
-    done = pii.pseudonymized(docs.withColumn("_before", F.length("text")))
+    before = free_name(docs, "_before")
+    done = pii.pseudonymized(docs.withColumn(before, F.length("text")))
     if "n_chars" in docs.columns:
-        grown = F.coalesce(F.length("text") - F.col("_before"), F.lit(0))
+        grown = F.coalesce(F.length("text") - F.col(before), F.lit(0))
         done = done.withColumn("n_chars", (F.col("n_chars") + grown).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 
