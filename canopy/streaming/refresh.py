@@ -1,9 +1,10 @@
 """Incremental refresh of a node table as a stream of re-read files.
 
 Tables are kept in merged parts: ``index`` has, per file, its newest version that has arrived whole; ``nodes`` the rows
-of such versions; ``open`` the rows of versions that are not whole yet. A batch compares its files with the index,
-drops what is older or was there before, joins the open rows of its own versions to its rows, and moves versions that have
-become whole to ``nodes``. Node rows of other files are not read. A read takes the node rows that the index names.
+of such versions; ``open`` the rows of versions that are not whole yet, and ``tally`` their number. A batch compares its files
+with the index, drops what is older or was there before, and adds up the tally of its versions. Only where that says that a
+version may be whole are its open rows read, to tell for certain and to move it to ``nodes``; so a file that arrives over many
+batches is read once, not in each of them. Node rows of other files are not read. A read takes the node rows that the index names.
 
 What depends on the nodes of one file alone is kept in the same way: ``metrics`` has the measures of every function,
 computed when its file comes in, so that asking for them reads no nodes at all.
@@ -32,6 +33,8 @@ CHANGE_SCHEMA = T.StructType(
     ]
 )
 INDEX_SCHEMA = "file_path string, version bigint, deleted boolean"
+# Rows of a version that came in, repeated ones included, and how many it has as far as its root is known.
+TALLY_SCHEMA = "file_path string, version bigint, arrived bigint, expected bigint, deleted boolean"
 METRICS_SCHEMA = """file_path string, node_id bigint, name string, start_line int, lines int, cyclomatic bigint, conditionals bigint,
     loops bigint, return_count bigint, max_depth int, version bigint"""
 VERSION = ["file_path", "version"]
@@ -65,6 +68,18 @@ def _named(rows: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(_newest(index).where("not deleted").select(*VERSION), VERSION, "left_semi")
 
 
+def _tally(rows: DataFrame) -> DataFrame:
+    """A version is not whole before ``arrived`` has reached ``expected``: one counts repeats, the other one root at most."""
+    root = F.max(F.when(F.col("depth") == 0, F.col("descendant_count") + 1))
+    return rows.groupBy(*VERSION).agg(F.count("*").alias("arrived"), root.alias("expected"), F.max("deleted").alias("deleted"))
+
+
+def _added_up(tally: DataFrame) -> DataFrame:
+    return tally.groupBy(*VERSION).agg(
+        F.sum("arrived").alias("arrived"), F.max("expected").alias("expected"), F.max("deleted").alias("deleted")
+    )
+
+
 def node_parts(spark: SparkSession, root: str) -> Parts:
     """The tables under ``root``; merging drops rows that the index has left behind."""
     return Parts(
@@ -72,6 +87,7 @@ def node_parts(spark: SparkSession, root: str) -> Parts:
         root,
         {
             "index": Kind(INDEX_SCHEMA, lambda rows, _: _newest(rows)),
+            "tally": Kind(TALLY_SCHEMA, lambda rows, parts: _newer_than(_added_up(rows), parts.read("index"))),
             "open": Kind(CHANGE_SCHEMA, lambda rows, parts: _newer_than(rows.dropDuplicates(NODE), parts.read("index"))),
             "nodes": Kind(CHANGE_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
             "metrics": Kind(METRICS_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
@@ -108,14 +124,35 @@ def take_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     index = parts.read("index")
     fresh = _newer_than(batch.select(*CHANGE_SCHEMA.fieldNames()), index)
     fresh.write.parquet(f"{work}/fresh")
-    fresh = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/fresh").dropDuplicates(NODE)
-    waiting = parts.read("open").join(fresh.select(*VERSION).distinct(), VERSION, "left_semi")
+    fresh = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/fresh")
+    # Tables begun before there was a tally get one of their open rows.
+    counted = any(part.kind == "tally" for part in parts.live)
+    added = _tally(fresh) if counted else _tally(fresh.unionByName(parts.read("open")))
+    added.write.parquet(f"{work}/tally")
+    added = spark.read.schema(TALLY_SCHEMA).parquet(f"{work}/tally")
+    asked = added.select(*VERSION).join(fresh.select(*VERSION).distinct(), VERSION, "left_semi")
+    known = _added_up(parts.read("tally").join(asked, VERSION, "left_semi").unionByName(added))
+    maybe = known.join(asked, VERSION, "left_semi").where("deleted or arrived >= expected").select(*VERSION, "arrived")
+    maybe.write.parquet(f"{work}/maybe")
+    maybe = spark.read.schema("file_path string, version bigint, arrived bigint").parquet(f"{work}/maybe")
+    if maybe.isEmpty():
+        parts.publish(batch_id, {"tally": added, "open": fresh})
+        remove(spark, work)
+        return
     # A version may be delivered again, over this batch or earlier ones.
-    seen = fresh.unionByName(waiting).dropDuplicates(NODE)
+    candidates = fresh.unionByName(parts.read("open")).join(maybe, VERSION, "left_semi").dropDuplicates(NODE)
+    candidates.write.parquet(f"{work}/seen")
+    seen = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/seen")
     _whole(seen).write.parquet(f"{work}/whole")
     whole = spark.read.schema(INDEX_SCHEMA).parquet(f"{work}/whole")
+    # Repeats are taken off the tally of what was looked at, so that it is next looked at when as much is there as it lacks.
+    exact = seen.groupBy(*VERSION).agg(F.count("*").alias("n"), F.sum(F.when(F.col("depth") == 0, F.col("descendant_count") + 1)).alias("expected"))
+    less = exact.join(maybe, VERSION).select(*VERSION, (F.col("n") - F.col("arrived")).alias("arrived"), "expected", F.lit(None).cast("boolean").alias("deleted"))
     named = _named(seen, whole)
-    parts.publish(batch_id, {"index": whole, "open": _newer_than(fresh, whole), "nodes": named, "metrics": _measured(named)})
+    parts.publish(
+        batch_id,
+        {"index": whole, "tally": _newer_than(added.unionByName(less), whole), "open": _newer_than(fresh, whole), "nodes": named, "metrics": _measured(named)},
+    )
     remove(spark, work)
 
 
@@ -161,6 +198,7 @@ def compact(spark: SparkSession, root: str, target: str) -> DataFrame:
     index = old.read("index")
     packed = {
         "index": _newest(index),
+        "tally": _newer_than(_tally(old.read("open").dropDuplicates(NODE)), index),
         "open": _newer_than(old.read("open").dropDuplicates(NODE), index),
         "nodes": _named(old.read("nodes"), index),
         "metrics": _named(old.read("metrics"), index),

@@ -173,3 +173,20 @@ def test_refresh_in_random_pieces_equals_the_newest_whole_versions(spark, nodes_
     assert batch > 5
     top = refresh.current_hotspots(spark, root, "**", 3)
     assert rows(top) == rows(metrics.complexity_hotspots(refresh.current_nodes(spark, root), "**", 3)) and top.count() == 3
+
+
+def test_open_rows_are_read_only_once_a_version_may_be_whole(spark, nodes_of, tmp_path, monkeypatch):
+    root, reads = str(tmp_path / "table"), []
+    whole = refresh._whole
+    monkeypatch.setattr(refresh, "_whole", lambda seen: reads.append(seen.count()) or whole(seen))
+
+    def node(i):
+        return {"file_path": "a", "node_id": i, "depth": 0 if i == 0 else 1, "name": str(i), "descendant_count": 7 if i == 0 else 0}
+
+    # The root first, rows that come again, and the last ones.
+    for number, ids in enumerate([[0, 1], [2, 3], [1, 2, 3], [4], [4, 5], [6], [7]]):
+        refresh.take_batch(refresh.changes_of(nodes_of([node(i) for i in ids]), 1), number, root)
+        assert refresh.current_nodes(spark, root).count() == (8 if number == 6 else 0)
+    # Looked at when eight rows are there, five of them distinct, and when the three that lacked have come, one repeated.
+    assert reads == [5, 7, 8]
+    assert refresh.current_metrics(spark, root).count() == 0
