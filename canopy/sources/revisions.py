@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from canopy.nodes import NODE_SCHEMA, clustered
 from canopy.operators.diff import structural_diff
 from canopy.operators.lookup import Globs, scan_nodes
+from canopy.session import written
 from canopy.sources.corpus import file_changes, node_manifest
 from canopy.streaming.parts import names_in
 
@@ -70,7 +71,7 @@ class RevisionStore:
             return
         if done and revision < done[-1]:
             raise ValueError(f"revision {revision} is below the last one, {done[-1]}")
-        manifest = node_manifest(nodes)
+        manifest = written(node_manifest(nodes))  # one small row per file, used twice
         changes = file_changes(self.manifest(revision), manifest).join(manifest, "file_path", "left").select("file_path", "status", "content_hash")
         # Entries are computed once, aside, and copied last.
         aside = f"{self.root}/changes/revision={revision}"
