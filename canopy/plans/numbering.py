@@ -21,6 +21,8 @@ from canopy.session import written
 HOT_ROWS = 5_000_000
 # Rows per slice of the range-partitioned plan.
 SLICE_ROWS = 1_000_000
+# Groups that keys are hashed to where a bound of their size is enough.
+KEY_GROUPS = 65_536
 # Copies of one identical row written out per task.
 COPY_BLOCK = 65_536
 
@@ -38,6 +40,11 @@ def key_sizes(df: DataFrame, keys: list[str]) -> KeySizes:
     return KeySizes(top.largest or 0, top.total or 0)
 
 
+def key_bound(df: DataFrame, keys: list[str]) -> KeySizes:
+    """An upper bound of the largest key, and the rows in all: keys are counted by hash, in KEY_GROUPS numbers."""
+    return key_sizes(df.select(F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).alias("_group")), ["_group"])
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
