@@ -40,8 +40,8 @@ def banned_terms(texts: DataFrame, group: str, text: str, terms: Sequence[tuple[
     )
 
 
-#: Characters of a gram that terms are looked up by.
-GRAM = 4
+#: Characters of a gram that terms are looked up by. With 4, most texts that hold the gram of a term do not hold the term.
+GRAM = 6
 
 
 def _grams(text: Column, size: int) -> Column:

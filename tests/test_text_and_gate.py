@@ -176,3 +176,13 @@ def test_terms_of_a_table_equal_brute_force(spark):
     assert sorted(rows(got), key=repr) == sorted(((*k, n) for k, n in want.items()), key=repr)
     none = textscan.banned_terms_of(spark.createDataFrame(texts, "grp int, body string, gram int"), "grp", "body", spark.createDataFrame([], "term string, replacement string"))
     assert none.count() == 0 and none.columns == got.columns
+
+
+def test_texts_that_share_only_part_of_a_term_are_not_looked_up(spark, monkeypatch):
+    kept, written = [], textscan.written
+    monkeypatch.setattr(textscan, "written", lambda df: kept.append(written(df)) or kept[-1])
+    texts = spark.createDataFrame([(k, f"a relation {k} of stations") for k in range(9)] + [(9, "an operation")], "k int, body string")
+    terms = spark.createDataFrame([("operation", "x"), ("nation", "y")], "term string, replacement string")
+    assert sorted(rows(textscan.banned_terms_of(texts, "k", "body", terms))) == [(9, "operation", "x", 1)]
+    hits = next(df for df in kept if df.columns == ["gram", "_row"])
+    assert hits.select("_row").distinct().count() == 1
