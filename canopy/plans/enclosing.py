@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.plans.blocks import Grid
+from canopy.session import written
 
 # Single lines, 64 lines, 4,096 lines. A longer scope lists its top blocks one
 # by one, so that no block is asked by more points than that.
 LINES = Grid(base=0, step=6, levels=3)
 BITS = 31
+# Questions that one task joins, whatever their compressed size.
+TASK_ROWS = 500_000
 
 
 def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, first: str, last: str) -> DataFrame:
@@ -26,21 +29,25 @@ def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,
     Bounds must be ints from 0 up.
     """
     rank = f"shiftleft(bigint({last} - {first}), {BITS}) + ({(1 << BITS) - 1}L - {first})"
-    wanted = points.select(*keys, point).distinct()
+    wanted = written(points.select(*keys, point).distinct())  # read twice below
+    tasks = max(1, -(-wanted.count() * LINES.levels // TASK_ROWS))
+    at = (*keys, "level", "block")
     registered = (
         ranges.select(*keys, first, last)
         .distinct()
         .select(*keys, F.expr(rank).alias("rank"), F.explode(LINES.cover(first, last)).alias("_at"))
-        .groupBy(*keys, "_at.level", "_at.block")
+        .select(*keys, "rank", "_at.level", "_at.block")
+        .repartition(tasks, *at)
+        .groupBy(*at)
         .agg(F.min("rank").alias("rank"))
     )
     asked = wanted.select(*keys, point, F.explode(LINES.all_blocks(point)).alias("_at")).select(
         *keys, point, "_at.level", "_at.block"
-    )
+    ).repartition(tasks, *at)
     # min() skips NULL, so the points themselves keep the unmatched ones alive.
     unmatched = wanted.withColumn("rank", F.lit(None).cast("bigint"))
     # Both sides are far larger than their source files; do not let an estimate broadcast one.
-    hits = asked.join(registered.hint("merge"), [*keys, "level", "block"]).select(*keys, point, "rank")
+    hits = asked.join(registered.hint("merge"), list(at)).select(*keys, point, "rank")
     best = hits.unionByName(unmatched).groupBy(*keys, point).agg(F.min("rank").alias("rank"))
     start = f"int({(1 << BITS) - 1}L - (rank & {(1 << BITS) - 1}L))"
     return best.selectExpr(

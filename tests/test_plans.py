@@ -1,6 +1,7 @@
 """The shared plans against brute force on small, awkward inputs."""
 
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -77,6 +78,16 @@ def test_innermost_equals_brute_force(spark, monkeypatch, step, levels):
     assert {(r.file, r.at): (r.lo, r.hi) for r in found.collect()} == want
 
 
+def test_tasks_of_innermost_join_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(enclosing, "TASK_ROWS", 100, raising=False)
+    ranges = spark.range(40).selectExpr("concat('f', id - id) as file", "int(id * 10) as lo", "int(id * 10 + 8) as hi")
+    points = spark.range(400).selectExpr("concat('f', id - id) as file", "int(id) as at")
+    found = enclosing.innermost(points, ranges, ["file"], "at", "lo", "hi")
+    dealt = re.findall(r"hashpartitioning\(file[^,]*, level[^,]*, block[^,]*, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt == ["12", "12"]  # 400 lines ask for 3 blocks each
+    assert {(r.at, r.lo) for r in found.collect()} == {(p, p - p % 10 if p % 10 < 9 else None) for p in range(400)}
+
+
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
 def test_running_sum_with_a_hot_key_and_copies(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(numbering, "COPY_BLOCK", 7)
