@@ -27,7 +27,7 @@ def _field(text: Column, label: str) -> Column:
 
 def _section(text: Column, title: str) -> Column:
     """What stands below a second-level heading, up to the next one."""
-    return F.regexp_extract(text, rf"(?s)(?:\A|\n)## {title}[^\n]*\n(.*?)(?=\n## |\z)", 1)
+    return F.regexp_extract(text, rf"(?:\A|\n)## {title}[^\n]*\n([^\n]*+(?:\n(?!## )[^\n]*+)*+)", 1)
 
 
 def read_tasks(documents: DataFrame, text: str) -> DataFrame:
@@ -51,8 +51,13 @@ def task_edges(tasks: DataFrame) -> DataFrame:
 
 
 def task_sizes(tasks: DataFrame) -> DataFrame:
-    """(task_id, files, tests) counts for ``gate.size_limits``."""
-    return tasks.select("task_id", F.size("files").cast("bigint").alias("files"), F.size("tests").cast("bigint").alias("tests"))
+    """(task_id, files, tests) counts for ``gate.size_limits``.
+
+    The counts come out of a generator, so that a filter on them stays above it: pushed below, it would build and search
+    each document a second time.
+    """
+    sizes = [F.size(c).cast("bigint").alias(c) for c in ("files", "tests")]
+    return tasks.select("task_id", F.inline(F.array(F.struct(*sizes))))
 
 
 def read_reports(documents: DataFrame, text: str) -> DataFrame:

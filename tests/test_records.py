@@ -1,5 +1,8 @@
 """Readers of task documents and reports, and globs with classes."""
 
+import random
+import re
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -102,3 +105,24 @@ def test_issues_of_a_report(spark):
     first = [("critical", 1, "Edge cases", "Empty input\ncrashes."), ("critical", 2, "Security", "")]
     assert got == [(1, *first[0]), (1, *first[1]), (2, *first[0]), (2, *first[1]), (2, "major", 1, "Failure modes", "Retry."), (2, "major", 2, "x", ""),
                    (5, "critical", 1, "last", ""), (5, "major", 1, "only", "")]
+
+
+def test_a_filter_on_task_sizes_searches_no_document_twice(spark):
+    df = spark.createDataFrame([(1, TASK)], "k int, body string").where("length(body) > 0")
+    limits = gate.size_limits(records.task_sizes(records.read_tasks(df, "body")).withColumn("files", F.col("files") * 9), "task_id", "files", "tests")
+    assert rows(limits) == [("P2-014", 18, 2, True, False)]
+    plan = limits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("`(Test[^`") == 1
+
+
+def test_sections_end_at_the_next_heading_or_with_the_text(spark):
+    pieces = ["## Files", "## Notes", "##Files", "### x", "a", "", " ## Files", "## Files of", "b\r", "\u2028## c"]
+    rng = random.Random(4)
+    texts = [("\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))),) for _ in range(400)]
+
+    def section(text):
+        found = re.search(r"(?s)(?:\A|\n)## Files[^\n]*\n(.*?)(?=\n## |\Z)", text)
+        return found[1] if found else ""
+
+    got = spark.createDataFrame(texts, "body string").select("body", records._section(F.col("body"), "Files")).collect()
+    assert [r[1] for r in got] == [section(r[0]) for r in got]
