@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from canopy.nodes import clustered
 from canopy.operators.planning import PLANNING_SCHEMA
+from canopy.session import written
 
 
 def refresh(nodes: DataFrame, manifest: DataFrame, reread: DataFrame, *, keep_deleted: bool = False) -> DataFrame:
@@ -19,8 +20,10 @@ def refresh(nodes: DataFrame, manifest: DataFrame, reread: DataFrame, *, keep_de
 
     ``manifest`` (file_path, status) lists what changed. Rows of listed files
     go, re-read rows of added and modified files come in. Deleted files leave
-    the table too, unless ``keep_deleted``.
+    the table too, unless ``keep_deleted``. The manifest is written out first: by its size as a file a short one is
+    broadcast, while its estimate as a plan would send all nodes of a file to one task.
     """
+    manifest = written(manifest.select("file_path", "status"))
     gone = manifest.where(~F.col("status").isin("deleted")) if keep_deleted else manifest
     current = manifest.where(F.col("status").isin("added", "modified"))
     kept = nodes.join(gone.select("file_path"), "file_path", "left_anti")

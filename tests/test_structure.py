@@ -159,6 +159,15 @@ def test_refresh_and_deleted_files(spark, nodes_of):
     assert got(keep_deleted=True) == [("a", "new"), ("b", "old"), ("c", "old"), ("d", "new")]
 
 
+def test_a_refresh_moves_no_nodes_for_a_short_manifest(spark, nodes_of):
+    old = nodes_of([{"file_path": f"f{i}", "name": "old"} for i in range(300)])
+    new = old.where("node_id > 0").withColumn("name", F.expr("if(node_id < 9, 'new', name)"))
+    changed = corpus.file_changes(corpus.node_manifest(old), corpus.node_manifest(new))
+    fresh = stores.refresh(old, changed, new)
+    assert "Exchange hashpartitioning" not in fresh._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(fresh, "file_path", "name")) == sorted((f"f{i}", "new" if i < 9 else "old") for i in range(1, 300))
+
+
 def test_planning_store_replay_changes_nothing(spark, nodes_of, tmp_path):
     path = str(tmp_path / "pins")
     nodes = nodes_of([{"name": n, "semantic_type": FUNC} for n in ("f", "g")])
