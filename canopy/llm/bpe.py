@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import over_batches, utf8
+from canopy.llm.common import emptied_by, over_batches, utf8
 
 #: Code points of one pass of the scan; a longer text is a pass of its own.
 PASS_CHARS = 1 << 18
@@ -189,6 +189,9 @@ def vocabulary(path: str) -> tuple[Merger, np.ndarray, np.ndarray]:
     return Merger(ranks), np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
+emptied_by[__name__] = vocabulary.cache_clear
+
+
 def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For UTF-8 texts: tokens per text, all ids, and the byte offset of every token in its text."""
     merger, _, starts = vocabulary(path)

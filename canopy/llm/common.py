@@ -5,6 +5,7 @@ Defined cases: every helper takes null texts as absent, and keeps repeated rows.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,10 @@ from canopy.session import written
 #: Bounds of one Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
+#: What empties the caches that an operator's module leaves in a worker, by module.
+emptied_by: dict[str, Callable[[], None]] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -39,14 +44,37 @@ def fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def empty_other_caches(module: str) -> None:
+    """A worker is used again by whatever operator comes next, so it keeps the caches of one operator at a time."""
+    for other, empty in emptied_by.items():
+        if other != module:
+            empty()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task would hold it beside the active ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``function`` over the record batches of ``df``; both sides stay bounded by the batch size."""
+    """``function`` over the record batches of ``df``; both sides stay bounded by the batch size.
+
+    Between tasks a worker holds the caches of the operator it last worked for, and little else.
+    """
     prepare(df.sparkSession)
+    module = function.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+        empty_other_caches(module)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from function(batch)
+        finally:
+            batch = None
+            release()
 
     return df.mapInArrow(run, schema)
 

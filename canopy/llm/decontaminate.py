@@ -20,7 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm.common import over_batches, pinned, utf8
@@ -172,6 +172,13 @@ def _hits(documents: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.select("_row", start.alias("start"), size.alias("size"), "items")
 
 
+def _window_table(spark: SparkSession, chosen: list[tuple[int, int]], ids: list[list[int]], items: list[list[int]]) -> DataFrame:
+    """``(key, offset, ids, items)`` of a block's windows. Arrow takes it to the JVM without Python workers in the executors."""
+    keys, offsets = zip(*chosen) if chosen else ((), ())
+    columns = [pa.array(keys, pa.int64()), pa.array(offsets, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
+    return spark.createDataFrame(pa.table(columns, ["key", "offset", "ids", "items"]), "key long, offset int, ids array<int>, items array<bigint>")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
     spark = docs.sparkSession
@@ -184,10 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BL
         block = Block([row.words for row in rows])
         counts = shingle_counts(docs, block) if rows else {}
         chosen = prefixes(block, counts)
-        part = spark.createDataFrame(
-            [(key, offset, ids, row.items) for (key, offset), ids, row in zip(chosen, block.ids, rows)],
-            "key long, offset int, ids array<int>, items array<bigint>",
-        )
+        part = _window_table(spark, chosen, block.ids, [row.items for row in rows])
         anchors = pinned(document_anchors(docs, block, np.array(sorted({key for key, _ in chosen}), np.int64)))
         per_doc = per_doc or anchors.select("doc_id", "_row", "n_words")
         hits.append(_hits(anchors, part))

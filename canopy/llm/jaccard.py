@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import components, over_batches, pinned, utf8
+from canopy.llm.common import components, emptied_by, over_batches, pinned, utf8
 
 WORDS = 5
 #: Links need 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (size + size).
@@ -64,6 +64,7 @@ class _Words(dict):
 
 
 _words = _Words()
+emptied_by[__name__] = _words.clear
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:

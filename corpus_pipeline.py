@@ -60,9 +60,12 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text with the offsets that decode them, and the digest of the decoded bytes."""
+    """Token ids of every text with the offsets that decode them, and the digest of the decoded bytes.
+
+    Token ids are written first: a task that encodes and decodes at once needs two Python workers, which then stay.
+    """
     path = tokenizer_path()
-    encoded = bpe.encode(docs, path).withColumns({"tokens": F.col("ids"), "starts": F.col("offsets")})
+    encoded = pinned(bpe.encode(docs, path)).withColumns({"tokens": F.col("ids"), "starts": F.col("offsets")})
     decoded = bpe.decode(encoded, path)
     return decoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "starts", F.sha2("bytes", 256).alias("decoded_sha256"))
 
