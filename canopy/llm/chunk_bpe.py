@@ -9,8 +9,9 @@ agree exactly, up to the last boundary of the chunk that two more characters of
 agrees is encoded like other text.
 
 Words are split by the pattern of byte-level tokenizers. A single space between two other signs always begins a
-word, so text is cut there first, and what lies between is looked up as a whole. New words are merged together, many at a
-time, in arrays: each step merges the first of the pairs of lowest rank in every word. Ids are kept as bytes, four each.
+word, so text is cut there first, and what lies between, a unit, is looked up as a whole, all units of many texts at once
+in arrays. New units are cut into words and merged together: each step merges the first of the pairs of lowest rank in
+every unit, but never across the begin of a word. Other text is cut by the pattern itself. Ids are kept as bytes, four each.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text; the strings of special tokens become
 these tokens, the longest first; texts of any length are encoded whole; repeated rows and null ids stay; extra columns
@@ -22,9 +23,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-import string
+import struct
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,16 @@ from canopy.llm.common import over_batches, pinned, prepare, utf8
 SHORTEST, BITS = 64, 8
 #: Bytes of text whose new words are merged together.
 PASS_BYTES = 1 << 20
-#: Units between spaces, and words, that one worker keeps encoded; longer ones than KEPT_CHARS are not kept.
+#: Units between spaces, and words of other text, that one worker keeps encoded; longer words than KEPT_CHARS are not kept.
 CACHE, KEPT_CHARS = 3 << 16, 64
-#: Words up to these many bytes are merged in arrays, longer ones with a heap.
-MATRIX_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32)
-#: Signs that end a unit behind its letters. They are never letters, numbers or white space, and begin no contraction.
-_TAIL = string.punctuation.replace("'", "")
+#: Numbers of 8 bytes that hold a unit and its length. Longer units are cut by the pattern.
+KEY_LONGS = 3
+#: Words and units that take up to these many columns, one a byte and one between two words, are merged in arrays. Of the
+#: others, units are cut by the pattern and words merged with a heap.
+MATRIX_WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32)
+#: Classes of signs.
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+_TWO_LONGS = struct.Struct(">qq").unpack
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
 #: The pattern of byte-level pre-tokenizers (fixed value).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -76,8 +81,7 @@ def cuts(text: bytes) -> list[int]:
 
 
 def digest(piece: bytes) -> tuple[int, int]:
-    value = xxhash.xxh3_128_digest(piece)
-    return int.from_bytes(value[:8], "big", signed=True), int.from_bytes(value[8:], "big", signed=True)
+    return _TWO_LONGS(xxhash.xxh3_128_digest(piece))
 
 
 # --- the tokenizer ---
@@ -98,11 +102,122 @@ def _keep_half(cache: dict) -> None:
             del cache[key]
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts``, ``starts + 1``, ... of all spans, ``sizes`` each."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Units:
+    """Ids of units in an open hash table, the next slot on a clash; when CACHE are exceeded, the half used last stays.
+
+    A key is the unit itself, padded with zeros, and its length, so units are told apart exactly.
+    """
+
+    def __init__(self) -> None:
+        bits = max((2 * CACHE).bit_length(), 4)
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._clear()
+
+    def _clear(self) -> None:
+        slots = self._mask + 1
+        self.keys, self.n = np.zeros((slots, KEY_LONGS), np.uint64), 0  # no key is zero, as it has a length
+        self.starts, self.counts, self.used = np.zeros(slots, np.int32), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool, self.turn = np.empty(0, np.int32), 1
+
+    def mixed(self, keys: np.ndarray) -> np.ndarray:
+        out = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(1, KEY_LONGS):
+            out = (out ^ (out >> np.uint64(29)) ^ keys[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+        return out
+
+    def find(self, keys: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 of those that aren't kept."""
+        at = (mixed >> self._shift).astype(np.int64)
+        here = self.keys[at]
+        out = np.where((here == keys).all(1), at, -1)
+        going = np.flatnonzero((out < 0) & (here[:, -1] != 0))
+        while len(going):
+            at[going] = (at[going] + 1) & self._mask
+            here = self.keys[at[going]]
+            hit = (here == keys[going]).all(1)
+            out[going[hit]] = at[going[hit]]
+            going = going[~hit & (here[:, -1] != 0)]
+        self.used[out[out >= 0]] = self.turn
+        return out
+
+    def add(self, keys: np.ndarray, mixed: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Keep different units, ``counts`` of all ``ids`` each."""
+        if self.n + len(keys) > CACHE:
+            self._let_go()
+        keys, mixed, counts = keys[:CACHE], mixed[:CACHE], counts[:CACHE]
+        starts = len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, ids[: counts.sum()]])
+        self._put(keys, mixed, starts, counts, np.full(len(keys), self.turn))
+        self.turn += 1
+
+    def _put(self, keys: np.ndarray, mixed: np.ndarray, starts: np.ndarray, counts: np.ndarray, used: np.ndarray) -> None:
+        self.n += len(keys)
+        at, left = (mixed >> self._shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            first = np.zeros(len(left), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = first & (self.keys[at, -1] == 0)
+            slot, own = at[put], left[put]
+            self.keys[slot], self.starts[slot], self.counts[slot], self.used[slot] = keys[own], starts[own], counts[own], used[own]
+            left, at = left[~put], (at[~put] + 1) & self._mask
+
+    def _let_go(self) -> None:
+        slots = np.flatnonzero(self.keys[:, -1])
+        used = self.used[slots]
+        if len(slots) > CACHE // 2:
+            slots = slots[used > np.partition(used, -(CACHE // 2))[-(CACHE // 2)]]
+        keys, counts, used, pool = self.keys[slots], self.counts[slots].astype(np.int64), self.used[slots], self.pool
+        ids, turn = pool[_spans(self.starts[slots].astype(np.int64), counts)], self.turn
+        self._clear()
+        self.pool, self.turn = ids, turn
+        self._put(keys, self.mixed(keys), np.cumsum(counts) - counts, counts, used)
+
+
 @functools.cache
-def _odd_letters() -> frozenset[str]:
-    """Characters that Python and the pattern don't agree on being letters: none, if both know the same Unicode."""
-    signs = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    return frozenset(regex.findall(r"\p{L}", signs)) ^ frozenset(filter(str.isalpha, signs))
+def _classes() -> np.ndarray:
+    """The class of every code point, as the pattern knows them."""
+    table = np.full(0x110000, _OTHER, np.uint8)
+    for begin, end in ((0, 0xD800), (0xE000, 0x110000)):
+        signs = "".join(map(chr, range(begin, end)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for run in regex.finditer(pattern, signs):
+                table[begin + run.start() : begin + run.end()] = kind
+    return table
+
+
+def unit_words(text: str, raw: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each byte of units, a space before each. Units hold no spaces, nor white space at their ends."""
+    lead = None if len(raw) == len(text) else np.flatnonzero((raw & 0xC0) != 0x80)
+    points = raw if lead is None else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _classes()[points]
+    begins = np.ones(len(points), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    blank = kind == _SPACE
+    begins[1:-1] |= blank[:-2] & blank[1:-1] & ~blank[2:]  # the last white space before a word stands alone
+    spaces = points == ord(" ")
+    begins[1:][spaces[:-1]] = False
+    marks = np.flatnonzero(points == ord("'"))
+    marks = marks[(kind[marks - 1] != _OTHER) & ~spaces[marks - 1]]  # the apostrophe begins a word
+    if len(marks):
+        ahead = np.append(points, np.zeros(2, points.dtype))
+        one, two = ahead[marks + 1], ahead[marks + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = (np.isin(one, [ord(c) for c in "rv"]) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        begins[marks[short | long] + 1] = False
+        begins[marks[long] + 2] = False
+        ends = np.concatenate([marks[short] + 2, marks[long] + 3])
+        begins[ends[ends < len(begins)]] = True
+    if lead is None:
+        return begins
+    out = np.zeros(len(raw), bool)
+    out[lead] = begins
+    return out
 
 
 class Tokenizer:
@@ -127,11 +242,11 @@ class Tokenizer:
         self.specials = {t["content"]: t["id"] for t in added}
         ordered = sorted(map(regex.escape, self.specials), key=len, reverse=True)
         self.special = regex.compile("|".join(ordered)) if ordered else None
-        self.of_byte = np.array([vocab[sign] for sign in byte_signs()], np.int64)
+        self.of_byte = np.array([vocab[sign] for sign in byte_signs()], np.int32)
         pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
         self.size = size
         keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)  # by rank
         self.none = len(pairs)
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
         self._table(keys)
@@ -139,7 +254,7 @@ class Tokenizer:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}  # by what follows the space
+        self.units = Units()
 
     def _table(self, keys: np.ndarray) -> None:
         """Ranks by pair in an open hash table, eight slots a pair, the next slot on a clash."""
@@ -176,51 +291,82 @@ class Tokenizer:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of words, all merged at once."""
-        out = [b""] * len(words)
-        sizes = np.array([len(word) for word in words], np.int64)
-        least = 0
-        for width in MATRIX_WIDTHS:
-            own = np.flatnonzero((sizes > least) & (sizes <= width)).tolist()
-            least = width
-            if own:
-                for at, ids in zip(own, self._merge_matrix([words[k] for k in own], sizes[own], width)):
-                    out[at] = ids
-        for at in np.flatnonzero(sizes > least).tolist():
+        raw, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(word) for word in words], np.int64)
+        ids, counts = self._merge_rows(raw, sizes, np.zeros(len(raw), bool))
+        ends, data = 4 * np.cumsum(counts), ids.tobytes()
+        out = [data[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist())]
+        for at in np.flatnonzero(sizes > MATRIX_WIDTHS[-1]).tolist():
             out[at] = self.merge_long(words[at])
         return out
 
-    def _merge_matrix(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
-        """Words as rows of parts with ranks between neighbours. A step takes one part from every row that still merges."""
-        parts = np.full((len(words), width), -1, np.int64)
-        parts[np.arange(width) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        ranks = np.full((len(words), width), self.none, np.int64)  # the last column stands for the end
-        inside = np.arange(width - 1) < sizes[:, None] - 1
-        ranks[:, :-1][inside] = self.rank(parts[:, :-1][inside], parts[:, 1:][inside])
-        done = np.full((len(words), width), -1, np.int32)
-        row = np.arange(len(words))
+    def _merge_rows(self, raw: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``raw``, cut into rows of ``sizes`` bytes, no pair merged whose right part has ``begins``, and how many each
+        row has; none for rows that take more columns than all widths."""
+        starts = np.cumsum(sizes) - sizes
+        before = np.concatenate([[0], np.cumsum(begins)])
+        widths = sizes + before[starts + sizes] - before[starts]
+        counts, classes, least = np.zeros(len(sizes), np.int64), [], 0
+        for width in MATRIX_WIDTHS:
+            own = np.flatnonzero((widths > least) & (widths <= width))
+            least = width
+            if len(own):
+                row, at = np.repeat(np.arange(len(own)), sizes[own]), _spans(starts[own], sizes[own])
+                column = at - starts[own][row] + before[at + 1] - before[starts[own]][row]
+                parts = np.full((len(own), width + 1), -1, np.int32)
+                parts[row, column] = self.of_byte[raw[at]]
+                ids, counts[own] = self._merge_matrix(parts)
+                classes.append((own, ids))
+        ends = np.cumsum(counts)
+        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        for own, ids in classes:
+            out[_spans((ends - counts)[own], counts[own])] = ids
+        return out, counts
+
+    def _merge_matrix(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of rows of parts, and how many each row has. Negative parts stand between words, the last column of all is one.
+
+        A step takes one part from every row that still merges. Parts stay in their columns and know their neighbours.
+        """
+        n, width = parts.shape
+        inside = (parts[:, :-1] >= 0) & (parts[:, 1:] >= 0)
+        ranks = np.full((n, width), self.none, np.int32)
+        ranks[:, :-1][inside] = self.rank(parts[:, :-1][inside].astype(np.int64), parts[:, 1:][inside].astype(np.int64))
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))  # of the first column the last one, which is none
+        done, rows = parts.copy(), np.arange(n)
         while True:
-            at = ranks.argmin(1)
-            best = ranks[np.arange(len(row)), at]
-            on = best < self.none
-            done[row[~on], : parts.shape[1]] = parts[~on]
-            if not on.any():
-                break
-            row, at, best, parts, ranks = row[on], at[on], best[on], parts[on], ranks[on]
-            here, new = np.arange(len(row)), self.merged[best]
-            parts[here, at] = new
-            keep = np.ones(parts.shape, bool)
-            keep[here, at + 1] = False  # the pair's right part, and the rank between it and the next one
-            parts = parts[keep].reshape(len(row), -1)
-            ranks = ranks[keep].reshape(len(row), -1)
-            ranks[here, at] = self.none
-            for left, some in ((at, at + 1 < parts.shape[1]), (at - 1, at > 0)):
-                k = np.flatnonzero(some)
-                one, other = parts[k, left[k]], parts[k, left[k] + 1]
-                ranks[k, left[k]] = np.where(other >= 0, self.rank(one, other), self.none)
-        counts = (done >= 0).sum(1)
-        flat = done[done >= 0].tobytes()
-        ends = 4 * np.cumsum(counts)
-        return [flat[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist())]
+            best_at = ranks.argmin(1)
+            base = np.arange(0, ranks.size, width)
+            on = np.flatnonzero(ranks.ravel()[base + best_at] < self.none)
+            if len(on) < 0.75 * len(rows):
+                if not len(on):
+                    done[rows] = parts
+                    break
+                off = np.ones(len(rows), bool)
+                off[on] = False
+                done[rows[off]] = parts[off]
+                rows, parts, ranks, after, before, best_at = rows[on], parts[on], ranks[on], after[on], before[on], best_at[on]
+                base, on = np.arange(0, ranks.size, width), np.arange(len(rows))
+            base = base[on]
+            p, r, a, b = parts.ravel(), ranks.ravel(), after.ravel(), before.ravel()  # views
+            at = base + best_at[on]
+            right = base + a[at]
+            new = self.merged[r[at]]
+            p[at], p[right], r[right] = new, -1, self.none
+            column = a[right]
+            a[at] = column
+            following = base + column
+            b[following] = best_at[on]
+            column = b[at]
+            former = base + np.where(column < 0, width - 1, column)
+            left, left_at = np.concatenate([new, p[former]]).astype(np.int64), np.concatenate([at, former])
+            other = np.concatenate([p[following], new]).astype(np.int64)
+            rank = np.full(len(left), self.none, np.int32)
+            some = np.flatnonzero((left >= 0) & (other >= 0))
+            rank[some] = self.rank(left[some], other[some])
+            r[left_at] = rank
+        kept = done >= 0
+        return done[kept], kept.sum(1)
 
     def merge_long(self, word: bytes) -> bytes:
         """The ids of one word in n log n steps."""
@@ -252,22 +398,80 @@ class Tokenizer:
                 offer(before[at])
         return np.array([k for k in ids if k >= 0], np.int32).tobytes()
 
-    def encode_pieces(self, units: set[str], pieces: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """The ids of units, which follow a space, and of other pieces of text: cut into words, new words merged together."""
+    def encode_tails(self, tails: list[str]) -> list[bytes]:
+        """The ids of stretches of text that begin with a space at the begin of a word and end where a word ends."""
+        text = "".join(tails)
+        data, lengths = text.encode(), np.array([len(tail) for tail in tails], np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        points = raw if len(raw) == len(text) else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        places = np.flatnonzero(points == ord(" "))
+        kinds, edge = _classes(), np.cumsum(lengths)
+        blank_after = kinds[points[np.minimum(places + 1, len(points) - 1)]] == _SPACE
+        clean = ~blank_after & (kinds[points[places - 1]] != _SPACE)
+        heads = np.searchsorted(places, edge - lengths)
+        clean[heads] = True
+        begins = np.flatnonzero(clean)
+        starts = (places if points is raw else np.flatnonzero(raw == ord(" ")))[begins]
+        sizes = np.diff(starts, append=len(raw))
+        first = np.searchsorted(begins, heads)  # the first unit of each tail
+        odd = blank_after[begins] | (sizes > 8 * KEY_LONGS)  # one with white space at an end or more than one space, or a long one
+        odd[np.searchsorted(begins, np.flatnonzero(~clean)) - 1] = True
+        odd[np.append(first[1:], len(begins))[kinds[points[edge - 1]] == _SPACE] - 1] = True
+
+        counts, at = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        plain = np.flatnonzero(~odd)
+        keys = self._keys_of(raw, starts[plain], sizes[plain])
+        mixed = self.units.mixed(keys)
+        slots = self.units.find(keys, mixed)
+        old, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+        counts[plain[old]], at[plain[old]] = self.units.counts[slots[old]], self.units.starts[slots[old]]
+        pools = [self.units.pool]
+        if len(new):
+            new = new[np.argsort(mixed[new], kind="stable")]
+            other = np.append(True, (keys[new[1:]] != keys[new[:-1]]).any(1))
+            one, group = new[other], np.cumsum(other) - 1
+            ids, count = self._encode_units(raw, starts[plain[one]], sizes[plain[one]])
+            counts[plain[new]], at[plain[new]] = count[group], len(pools[0]) + (np.cumsum(count) - count)[group]
+            pools.append(ids)
+            done = count > 0
+            self.units.add(keys[one[done]], mixed[one[done]], count[done], ids)
+        rest = np.flatnonzero(counts == 0)
+        if len(rest):
+            pieces = [data[a:b].decode() for a, b in zip(starts[rest].tolist(), (starts + sizes)[rest].tolist())]
+            found = self.encode_pieces(set(pieces))
+            lists = [found[piece] for piece in pieces]
+            counts[rest] = [len(ids) // 4 for ids in lists]
+            at[rest] = sum(map(len, pools)) + np.cumsum(counts[rest]) - counts[rest]
+            pools.append(np.frombuffer(b"".join(lists), np.int32))
+        out = np.concatenate(pools)[_spans(at, counts)].tobytes()
+        ends = 4 * np.append(0, np.cumsum(counts))[np.append(first, len(begins))]
+        return [out[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+    def _keys_of(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keys of units behind a space: their bytes, then zeros, the length in the last byte."""
+        padded = np.append(raw, np.zeros(8 * KEY_LONGS + 1, np.uint8))
+        longs = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (len(padded) - 7,), (1,))
+        masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        out = np.empty((len(starts), KEY_LONGS), np.uint64)
+        for k in range(KEY_LONGS):
+            out[:, k] = longs[starts + 1 + 8 * k] & masks[np.clip(sizes - 1 - 8 * k, 0, 8)]
+        out[:, -1] |= (sizes - 1).astype(np.uint64) << np.uint64(56)
+        return out
+
+    def _encode_units(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units with their spaces, and how many each has; none for those that take too many columns."""
+        raw = raw[_spans(starts, sizes)]
+        begins = unit_words(raw.tobytes().decode(), raw)
+        begins[np.cumsum(sizes) - sizes] = False
+        return self._merge_rows(raw, sizes, begins)
+
+    def encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of other pieces of text: cut into words, new words merged together."""
         _keep_half(self.words)
-        words, odd = self.words, _odd_letters()
-        cut, rest = {}, {}
-        for unit in units:
-            letters = unit.rstrip(_TAIL)
-            if letters.isalpha() and (not odd or odd.isdisjoint(letters)):  # one word, and its tail another
-                cut[unit] = (" " + letters, unit[len(letters) :]) if len(letters) < len(unit) else (" " + letters,)
-            else:
-                cut[unit] = _WORD.findall(" " + unit)
-        for piece in pieces:
-            rest[piece] = _WORD.findall(piece)
-        new = [*{word for own in chain(cut.values(), rest.values()) for word in own}.difference(words)]
+        words, cut = self.words, {piece: _WORD.findall(piece) for piece in pieces}
+        new = [*{word for own in cut.values() for word in own}.difference(words)]
         words.update(zip(new, self.merge([word.encode() for word in new])))
-        out = tuple({piece: b"".join([words[word] for word in own]) for piece, own in kind.items()} for kind in (cut, rest))
+        out = {piece: b"".join([words[word] for word in own]) for piece, own in cut.items()}
         for word in [word for word in new if len(word) > KEPT_CHARS]:
             del words[word]
         return out
@@ -299,7 +503,7 @@ class _Plan:
 
     def __init__(self) -> None:
         self.items: list = []
-        self.units: list = []  # (place in items, the parts between spaces)
+        self.tails: list = []  # (place in items, text from a space on that begins a word)
         self.words: list = []  # (place in items, piece)
 
     def ids(self, ids: bytes) -> None:
@@ -311,30 +515,17 @@ class _Plan:
 
     def stretch(self, text: str) -> None:
         """Text from a boundary to a clean space or the end of the text."""
-        parts, at = text.split(" "), 1
-        if parts[0]:  # what stands before the first clean space has no space before it
-            while at < len(parts) and not _clean(parts[at - 1], parts[at]):
-                at += 1
-            self.word(" ".join(parts[:at]))
-        if at < len(parts):
-            self.units.append((len(self.items), parts[at:]))
+        at = 0 if text[0] == " " else text.find(" ")
+        while at > 0 and (at + 1 == len(text) or text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.find(" ", at + 1)
+        if at:  # what stands before the first clean space has no space before it
+            self.word(text[:at] if at > 0 else text)
+        while at >= 0:
+            space = _CLEAN_SPACE.search(text, at + 1, at + PASS_BYTES) if len(text) - at > PASS_BYTES else None
+            end = space.start() if space else len(text)
+            self.tails.append((len(self.items), text[at:end]))
             self.items.append(b"")
-
-
-def _clean(left: str, right: str) -> bool:
-    """Whether the space between two parts always begins a word."""
-    return left != "" and right != "" and not left[-1].isspace() and not right[0].isspace()
-
-
-def _glued(parts: list[str]) -> list[str]:
-    """The parts with those joined that are not parted by a clean space."""
-    out = [parts[0]]
-    for part in parts[1:]:
-        if _clean(out[-1], part):
-            out.append(part)
-        else:
-            out[-1] += " " + part
-    return out
+            at = end if space else -1
 
 
 def _plain(plan: _Plan, text: str, a: int, b: int) -> None:
@@ -364,7 +555,8 @@ def plan_section(plan: _Plan, text: str, parts: dict[tuple[int, int], bytes], ow
         size = len(piece.decode())
         known = parts.get(digest(piece))
         if known is not None:
-            sure = at + len(own.decode(known).decode())  # the chunk's own boundary up to which it is sure
+            held = piece[: own.sizes[np.frombuffer(known, np.int32)].sum()]
+            sure = at + len(held.decode())  # the chunk's own boundary up to which it is sure
             space = _CLEAN_SPACE.search(text, done, min(at + 2, len(text)))
             true, mine = space.start() if space else done, at
             while true != mine and max(true, mine) <= sure:
@@ -398,24 +590,14 @@ def plan_text(text: str, parts: dict, own: Tokenizer) -> _Plan:
 
 def fill(plans: list[_Plan], own: Tokenizer) -> list[bytes]:
     """The ids of planned texts, the words new to this worker merged together."""
-    units = own.units
-    _keep_half(units)
-    new = set().union(*[parts for plan in plans for _, parts in plan.units]).difference(units)
-    fit = {part for part in new if _clean(part, part)}
-    unfit = new - fit
-    stretches = [(plan, at, parts if unfit.isdisjoint(parts) else _glued(parts)) for plan in plans for at, parts in plan.units]
-    # What was glued has no place among the units: alone it may stand next to an unclean space.
-    glued = {piece for _, _, parts in stretches for piece in parts}.difference(units, fit) if unfit else set()
-    fresh, ids = own.encode_pieces(fit, {*(" " + piece for piece in glued), *(piece for plan in plans for _, piece in plan.words)})
-    units.update(fresh)
+    ids = own.encode_pieces({piece for plan in plans for _, piece in plan.words})
     for plan in plans:
         for at, piece in plan.words:
             plan.items[at] = ids[piece]
-    for plan, at, parts in stretches:
-        found = [ids[" " + part] if part in glued else units[part] for part in parts] if glued else map(units.__getitem__, parts)
-        plan.items[at] = b"".join(found)
-    for long in [part for part in fit if len(part) > KEPT_CHARS]:
-        del units[long]
+    tails = [(plan, at, text) for plan in plans for at, text in plan.tails]
+    for a, b in _passes([len(text) for _, _, text in tails]):
+        for (plan, at, _), found in zip(tails[a:b], own.encode_tails([text for _, _, text in tails[a:b]])):
+            plan.items[at] = found
     return [b"".join(plan.items) for plan in plans]
 
 

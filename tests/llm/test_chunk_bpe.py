@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -111,3 +112,60 @@ def test_round_trip_equals_the_library(spark):
 def test_other_kinds_of_tokenizers_are_refused():
     with pytest.raises(ValueError):
         chunk_bpe.Tokenizer(tokenizer_path("word_bpe_49k.json"))
+
+
+def test_work_per_new_unit_is_done_in_arrays():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("aeioubcdlmnrst") for _ in range(9)) + rng.choice(["", "", ",", ".\nEl"]) for _ in range(20_000))
+    encoded([text[:100]])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = chunk_bpe.encode_texts([text], [{}], PATH)
+    finally:
+        sys.setprofile(None)
+    assert numbers(found[0]) == ids_of(text)
+    assert calls < 20_000  # 8 and more for each unit when every one was looked at by itself
+
+
+def test_units_are_cut_as_the_pattern_cuts_them():
+    rng = random.Random(8)
+    signs = [s for s in SIGNS if " " not in s] + ["s", "t", "ve", "'d", "S", "\x00"]
+    units = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 7))) for _ in range(20_000)]
+    units = [u for u in units if not u[0].isspace() and not u[-1].isspace()]
+    for some in (units, [u for u in units if u.isascii()]):
+        text = "".join(" " + u for u in some)
+        words = [len(w.encode()) for u in some for w in chunk_bpe._WORD.findall(" " + u)]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        begins = chunk_bpe.unit_words(text, raw)
+        assert np.flatnonzero(begins).tolist() == (np.cumsum(words) - words).tolist()
+
+
+@pytest.mark.parametrize("cache", [1, 2, 50, 2000])
+def test_few_kept_units_change_nothing(monkeypatch, cache):
+    monkeypatch.setattr(chunk_bpe, "CACHE", cache)
+    own, rng = chunk_bpe.Tokenizer(PATH), random.Random(cache)
+    for _ in range(25):
+        texts = [" ".join(some_text(rng, rng.randrange(4)) + rng.choice(["x", "xy", "\x00", "a\x00", "a" * rng.randrange(40)]) for _ in range(40)) for _ in range(5)]
+        plans = [chunk_bpe.plan_text(text, {}, own) for text in texts]
+        assert [numbers(ids) for ids in chunk_bpe.fill(plans, own)] == [ids_of(t) for t in texts]
+        assert own.units.n <= max(cache, 1) * 3 // 2
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(chunk_bpe.Units, "mixed", lambda self, keys: np.zeros(len(keys), np.uint64))
+    own, text = chunk_bpe.Tokenizer(PATH), "x b b\x00 ab b ab abc b\x00\x00 abcdefghi abcdefghj abcdefghi b"
+    for _ in range(2):
+        assert numbers(chunk_bpe.fill([chunk_bpe.plan_text(text, {}, own)], own)[0]) == ids_of(text)
+
+
+def test_long_texts_are_cut_at_clean_spaces(monkeypatch):
+    monkeypatch.setattr(chunk_bpe, "PASS_BYTES", 12)
+    rng = random.Random(4)
+    texts = [some_text(rng, 120) for _ in range(300)] + ["ab " * 50, " " * 40, "a" * 40 + " b" * 40]
+    assert encoded(texts) == [ids_of(t) for t in texts]
