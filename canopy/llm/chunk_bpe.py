@@ -44,7 +44,7 @@ PASS_BYTES = 1 << 20
 #: Units between spaces, and words of other text, that one worker keeps encoded; longer words than KEPT_CHARS are not kept.
 CACHE, KEPT_CHARS = 3 << 16, 64
 #: Numbers of 8 bytes that hold a unit and its length. Longer units are cut by the pattern.
-KEY_LONGS = 3
+KEY_LONGS = 4
 #: Words and units that take up to these many columns, one a byte and one between two words, are merged in arrays. Of the
 #: others, units are cut by the pattern and words merged with a heap.
 MATRIX_WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32)
