@@ -1,7 +1,8 @@
 """Near duplicates: an exact Jaccard join of word shingle sets by prefix filter and prefix tree.
 
-1. All shingles are counted over all documents. The heaviest (a bounded number) get a level by their count; the global
-   order is (level, hash), so rare shingles come first. Any order gives right results; the counts only make it quick.
+1. All shingles are counted over all documents. Every heavy one gets a level by its count, kept in a table by the first bits
+   of hashes, which grows with their number; the global order is (level, hash), so rare shingles come first. Any order
+   gives right results; the counts only make it quick, so a rare shingle may share the level of a heavy one.
 2. Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of each in that order. Documents go to the
    groups of these shingles. Groups of at most SMALL_GROUP members give pairs, with the number of shared prefix shingles
    summed over all groups; a pair stays if that number and the remaining lengths allow the threshold. A larger group, such
@@ -11,7 +12,8 @@
    traversed with each set; sets with a common begin share its overlap, and a subtree goes as soon as the remaining
    lengths cannot reach the threshold, or its sets are linked with the traversing one already. So a task gives
    at most one link per set, and no pairs of a group are ever emitted. Clusters of more than TREE_SETS sets are cut
-   into blocks, and each two blocks are one task.
+   into bands of like length and these into blocks. Each two blocks of a band, or of two that follow each other, are
+   one task; sets of other bands differ too much in length to link.
 
 Equal sets are one node throughout, so copies are never expanded. Why the filter loses nothing: two sets that share a
 shingle of a large group are in one cluster by their pilots, if their lengths are within 25 %. If they share none, the
@@ -34,17 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.common import components, emptied_by, over_batches, pinned, utf8
 
 WORDS = 5
 #: Links need 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (size + size).
-#: A shingle is heavy from this count on ...
+#: A shingle is heavy from this count on.
 HEAVY_COUNT = 16
-#: ... if it is among so many heaviest ones; this bounds what is sent to tasks (12 bytes each).
-HEAVY_SHINGLES = 300_000
+#: The table of levels, which is sent to tasks, has eight slots of a byte for each heavy shingle, from 2^16 to 2^25 in all.
+SLOTS_EACH, LEAST_BITS, MOST_BITS = 8, 16, 25
 #: Largest group of a shingle whose members are paired at once.
 SMALL_GROUP = 32
 #: Sets of one block; a task holds two at most.
@@ -104,10 +106,11 @@ def _codes(shingles: np.ndarray, parts: int) -> np.ndarray:
     return (shingles % np.uint64(parts)) << np.uint64(32) | shingles >> np.uint64(32)
 
 
-def heavy_shingles(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the heaviest shingles, sorted, and the level of each. Counts cover every shingle of every document.
+def heavy_levels(docs: DataFrame, parts: int) -> np.ndarray:
+    """The highest level of a heavy shingle, or 0, by the first bits of the hash. Counts cover every shingle of every document.
 
-    Counts travel as packed arrays, one row per batch and part, each shingle once with its count in the batch.
+    Counts travel as packed arrays, one row per batch and part, each shingle once with its count in the batch. The levels
+    reach the driver as one row per part, each slot of the finest table once.
     """
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -130,29 +133,30 @@ def heavy_shingles(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
         key, at = np.unique(np.concatenate([once, more]), return_inverse=True)
         n = np.bincount(at, np.concatenate([np.ones(len(once)), counts]), len(key)).astype(np.int64)
         keep = n >= HEAVY_COUNT
-        code = group.column("part")[0].as_py() << 32 | key[keep].astype(np.int64)
-        return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(n[keep], pa.int64())})
+        slot, level = key[keep] >> np.uint32(32 - MOST_BITS), np.log2(n[keep]).astype(np.uint8)
+        order = np.lexsort((level, slot))
+        slot, level = slot[order], level[order]
+        last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True)) if len(slot) else order
+        return pa.table({"slots": pa.array([slot[last].tobytes()], pa.binary()), "levels": pa.array([level[last].tobytes()], pa.binary())})
 
     packed = over_batches(docs.select("text"), count, "part int, once binary, more binary, counts binary")
-    heavy = packed.groupBy("part").applyInArrow(total, "code long, n long").orderBy(F.desc("n"), "code").limit(HEAVY_SHINGLES).collect()
-    code = np.array([row.code for row in heavy], np.uint64)
-    level = np.log2(np.array([row.n for row in heavy], np.float64)).astype(np.uint8) if heavy else np.zeros(0, np.uint8)
-    order = np.argsort(code)
-    return code[order], level[order]
+    found = packed.groupBy("part").applyInArrow(total, "slots binary, levels binary").collect()
+    heavy = sum(len(row.levels) for row in found)
+    bits = min(MOST_BITS, max(LEAST_BITS, (SLOTS_EACH * heavy).bit_length()))
+    levels = np.zeros(1 << bits, np.uint8)
+    for row in found:
+        np.maximum.at(levels, np.frombuffer(row.slots, np.uint32) >> np.uint32(MOST_BITS - bits), np.frombuffer(row.levels, np.uint8))
+    return levels
 
 
 class Order:
-    """The global order of shingles: (level, hash)."""
+    """The global order of shingles: (level, hash). ``levels`` has a power of two of slots."""
 
-    def __init__(self, heavy: np.ndarray, levels: np.ndarray, parts: int):
-        self.heavy, self.levels, self.parts = heavy, levels, parts
+    def __init__(self, levels: np.ndarray):
+        self.levels, self.shift = levels, np.uint64(65 - len(levels).bit_length())
 
     def level(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.heavy):
-            return np.zeros(len(shingles), np.uint8)
-        code = _codes(shingles, self.parts)
-        at = np.minimum(np.searchsorted(self.heavy, code), len(self.heavy) - 1)
-        return np.where(self.heavy[at] == code, self.levels[at], 0).astype(np.uint8)
+        return self.levels[shingles >> self.shift]
 
     def prefix(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first shingles of a set in the order, and their levels."""
@@ -358,41 +362,71 @@ def block_links(one: dict[int, np.ndarray], other: dict[int, np.ndarray] | None)
     return out
 
 
+def size_bucket(n: str) -> Column:
+    """Sizes that can link differ by 25 % at most, so their buckets are equal or next to each other."""
+    return F.floor(F.log(n) / float(np.log(1.26))).cast("int")
+
+
+def dealt_sets(clusters: DataFrame) -> DataFrame:
+    """The sets of ``clusters(node, cluster, n, ...)`` with their band and block, and the ``tasks`` they go to.
+
+    A cluster of up to TREE_SETS sets is one band and one block. A set of a larger one goes to those of its block with each
+    block of its band and of the bands before and behind.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
+    banded = clusters.join(sizes, "cluster").withColumn("band", F.when(F.col("k") > TREE_SETS, size_bucket("n")).otherwise(0)).drop("k")
+    blocks = banded.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).alias("blocks"))
+    along = Window.partitionBy("cluster").orderBy("band")  # few rows: sizes grow by a factor from band to band
+    before, behind = (F.when(at("band").over(along) == F.col("band") + step, at("blocks").over(along)).otherwise(0) for at, step in ((F.lag, -1), (F.lead, 1)))
+    blocks = blocks.select("*", before.alias("before"), behind.alias("behind"))
+    dealt = banded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def with_each(count: str, low_band: Column, low, high_band: Column, high) -> Column:
+        numbers = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda k: F.struct(low_band.alias("low_band"), low(k).alias("low"), high_band.alias("high_band"), high(k).alias("high")))
+
+    own, band = (lambda k: F.col("block")), F.col("band")
+    tasks = F.concat(
+        with_each("blocks", band, lambda k: F.least("block", k), band, lambda k: F.greatest("block", k)),
+        with_each("before", band - 1, lambda k: k, band, own),
+        with_each("behind", band, own, band + 1, lambda k: k),
+    )
+    return dealt.select(*clusters.columns, "band", "block", tasks.alias("tasks"))
+
+
 def cluster_links(clusters: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that join the sets of ``clusters(node, doc_id, cluster)``; texts are taken from ``docs``."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", F.ceil(F.col("k") / TREE_SETS).alias("blocks"))
-    dealt = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    """Links ``(a, b)`` that join the sets of ``clusters(node, doc_id, cluster, n)``; texts are taken from ``docs``."""
+    dealt = dealt_sets(clusters)
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     # The clusters grow with the corpus, so they are never broadcast to the texts.
-    members_ = dealt.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "node", "block", "blocks", "text")
-    # Every two blocks are one task: a set goes to those of its block with each block.
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
-    sent = members_.select("cluster", "node", "block", "text", F.explode(tasks).alias("task")).select("cluster", "task.low", "task.high", "node", "block", "text")
+    members_ = dealt.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "node", "band", "block", "tasks", "text")
+    task = ["cluster", "low_band", "low", "high_band", "high"]
+    sent = members_.select("cluster", "node", "band", "block", "text", F.inline("tasks"))
 
     def run(group: pa.Table) -> pa.Table:
-        low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
-        sides: dict[int, dict[int, np.ndarray]] = {low: {}, high: {}}
-        for node, block, text in zip(group.column("node").to_pylist(), group.column("block").to_pylist(), utf8(group.column("text").combine_chunks())):
+        low_band, low, high_band, high = (group.column(c)[0].as_py() for c in task[1:])
+        low, high = (low_band, low), (high_band, high)
+        sides: dict[tuple[int, int], dict[int, np.ndarray]] = {low: {}, high: {}}
+        places = zip(group.column("band").to_pylist(), group.column("block").to_pylist())
+        for node, place, text in zip(group.column("node").to_pylist(), places, utf8(group.column("text").combine_chunks())):
             own = shingle_set(text)
             if len(own) and node_of(own) == node:  # another text may stand under a repeated id
-                sides[block][node] = own
+                sides[place][node] = own
         found = block_links(sides[low], None if low == high else sides[high])
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return sent.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+    return sent.groupBy(*task).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``."""
     parts = _parts(docs)
-    order = Order(*heavy_shingles(docs, parts), parts)
+    order = Order(heavy_levels(docs, parts))
     rows = pinned(members(docs, order))
     groups = pinned(light_groups(rows, parts))
-    # Sizes that can link differ by 25 % at most, so their buckets are equal or next to each other.
-    bucket = F.floor(F.log("n") / float(np.log(1.26))).cast("int").alias("bucket")
     large = groups.where("b is null").select("shingle", F.col("a").alias("node"), F.col("na").alias("n"))
-    entries = pinned(heavy_entries(rows).union(large).dropDuplicates(["shingle", "node"]).select("*", bucket))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    entries = pinned(heavy_entries(rows).union(large).dropDuplicates(["shingle", "node"]).select("*", size_bucket("n").alias("bucket")))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     clusters = components(light_pairs(groups).union(star_pairs(entries))).withColumnRenamed("label", "cluster")
     links = pinned(cluster_links(pinned(clusters.join(nodes, "node")), docs))
     ids = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -95,6 +95,37 @@ def test_jaccard_join_equals_brute_force(make, monkeypatch, heavy, group):
     assert got == sorted(classes(docs), key=repr)
 
 
+def test_shared_passages_chain_nothing_however_many_there_are(make, monkeypatch):
+    """Every frequent shingle is last in the order, so texts with own words never meet by a passage."""
+    monkeypatch.setattr(jaccard, "HEAVY_SHINGLES", 10, raising=False)  # a bound on their number, as there once was
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(40)]
+    docs = [(d, " ".join(f"d{d}w{j}" for j in range(60)) + f" {passages[d % 40]} x{d} {passages[d * 7 % 37]}") for d in range(1600)]
+    docs += [(5000, docs[3][1] + " more"), (5001, docs[3][1])]
+    met, links = [], jaccard.cluster_links
+    monkeypatch.setattr(jaccard, "cluster_links", lambda clusters, texts: met.append(clusters.count()) or links(clusters, texts))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(make(docs)).collect()}
+    assert got == {d: 3 if d in (5000, 5001) else d for d, _ in docs}
+    assert met == [2]
+
+
+def test_sets_of_a_cluster_go_only_where_their_length_may_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TREE_SETS", 4)
+    sizes = [10] * 9 + [12] * 6 + [100] * 5 + [1000]
+    clusters = spark.createDataFrame([(k, 1, n) for k, n in enumerate(sizes)] + [(99, 2, 7), (98, 2, 500)], "node long, cluster long, n long")
+    dealt = {r.node: r for r in jaccard.dealt_sets(clusters).collect()}
+    tasks = {node: {tuple(t) for t in r.tasks} for node, r in dealt.items()}
+    assert all(len(t) == len(dealt[node].tasks) for node, t in tasks.items())
+    assert tasks[99] == tasks[98] == {(0, 0, 0, 0)}  # a small cluster is one task
+    for a in range(len(sizes)):
+        for b in range(a):
+            met = len(tasks[a] & tasks[b])
+            if 9 * min(sizes[a], sizes[b]) >= 4 * (sizes[a] + sizes[b]):
+                assert met >= 1
+            if sizes[a] > 5 * sizes[b]:
+                assert met == 0
+    assert len(tasks[20]) == 1
+
+
 def test_jaccard_join_of_nothing(make):
     assert jaccard.near_duplicates(make([(1, "a")]).limit(0)).count() == 0
     assert [tuple(r)[:3] for r in jaccard.near_duplicates(make([(4, None)])).collect()] == [(4, 0, 4)]
