@@ -76,15 +76,22 @@ class Parts:
     def _read(self, kind: str, parts: list[Part]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self.kinds[kind].schema)
-        return self.spark.read.schema(self.kinds[kind].schema).parquet(*(f"{self.root}/parts/{part.folder}" for part in parts))
+        return self.spark.read.schema(self.kinds[kind].schema).parquet(*map(self.path, parts))
 
     def read(self, kind: str) -> DataFrame:
         """The rows of all live parts of a table, not merged."""
         return self._read(kind, [part for part in self.live if part.kind == kind])
 
+    def new_part(self, kind: str, level: int = 0) -> Part:
+        """A part that the caller writes to its ``path`` before it publishes it; without that it is removed with the next batch."""
+        return Part(kind, level, f"{kind}-{level}-{uuid.uuid4().hex}")
+
+    def path(self, part: Part) -> str:
+        return f"{self.root}/parts/{part.folder}"
+
     def _write(self, kind: str, level: int, rows: DataFrame) -> Part:
-        part = Part(kind, level, f"{kind}-{level}-{uuid.uuid4().hex}")
-        rows.write.mode("error").parquet(f"{self.root}/parts/{part.folder}")
+        part = self.new_part(kind, level)
+        rows.write.mode("error").parquet(self.path(part))
         return part
 
     def _merged(self, kind: str) -> None:
@@ -99,15 +106,15 @@ class Parts:
             part = self._write(kind, level, self.kinds[kind].merge(self._read(kind, taken), self))
             self.live = sorted([*kept, part])
 
-    def publish(self, batch: int, added: dict[str, DataFrame]) -> None:
-        """Add a part to each table as batch ``batch``; a batch that was published before is passed over.
+    def publish(self, batch: int, added: dict[str, DataFrame | Part]) -> None:
+        """Add a part, of rows or written before, to each table as batch ``batch``; one that was published before is passed over.
 
         Tables are merged in the order of ``kinds``; a merge sees what was merged before it.
         """
         if batch <= self.batch:
             return
         before = self.live
-        self.live = sorted([*before, *(self._write(kind, 0, rows) for kind, rows in added.items())])
+        self.live = sorted([*before, *(new if isinstance(new, Part) else self._write(kind, 0, new) for kind, new in added.items())])
         for kind in self.kinds:
             self._merged(kind)
         rows = [(batch, part.kind, part.level, part.folder) for part in self.live]

@@ -68,6 +68,18 @@ def _named(rows: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(_newest(index).where("not deleted").select(*VERSION), VERSION, "left_semi")
 
 
+def _repeat(rows: DataFrame) -> bool:
+    """Whether a node may be there twice. Equal nodes have equal hashes, so that no other column is read or dealt out."""
+    node = F.xxhash64(*NODE)
+    n = rows.agg(F.count("*").alias("rows"), F.count_distinct(node).alias("nodes")).first()
+    return n.rows != n.nodes
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Rows that are stored, each node once; they are only dealt out and sorted where one repeats."""
+    return rows.dropDuplicates(NODE) if _repeat(rows) else rows
+
+
 def _tally(rows: DataFrame) -> DataFrame:
     """A version is not whole before ``arrived`` has reached ``expected``: one counts repeats, the other one root at most."""
     root = F.max(F.when(F.col("depth") == 0, F.col("descendant_count") + 1))
@@ -88,7 +100,7 @@ def node_parts(spark: SparkSession, root: str) -> Parts:
         {
             "index": Kind(INDEX_SCHEMA, lambda rows, _: _newest(rows)),
             "tally": Kind(TALLY_SCHEMA, lambda rows, parts: _newer_than(_added_up(rows), parts.read("index"))),
-            "open": Kind(CHANGE_SCHEMA, lambda rows, parts: _newer_than(rows.dropDuplicates(NODE), parts.read("index"))),
+            "open": Kind(CHANGE_SCHEMA, lambda rows, parts: _newer_than(_distinct(rows), parts.read("index"))),
             "nodes": Kind(CHANGE_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
             "metrics": Kind(METRICS_SCHEMA, lambda rows, parts: _named(rows, parts.read("index"))),
         },
@@ -123,26 +135,31 @@ def take_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     work = f"{root}/work/{uuid.uuid4().hex}"
     index = parts.read("index")
     fresh = _newer_than(batch.select(*CHANGE_SCHEMA.fieldNames()), index)
-    fresh.write.parquet(f"{work}/fresh")
-    fresh = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/fresh")
+    # Written once: while nothing is whole, these rows and their tally are the new parts as they are.
+    opened, counts = parts.new_part("open"), parts.new_part("tally")
+    fresh.write.parquet(parts.path(opened))
+    fresh = spark.read.schema(CHANGE_SCHEMA).parquet(parts.path(opened))
     # Tables begun before there was a tally get one of their open rows.
     counted = any(part.kind == "tally" for part in parts.live)
     added = _tally(fresh) if counted else _tally(fresh.unionByName(parts.read("open")))
-    added.write.parquet(f"{work}/tally")
-    added = spark.read.schema(TALLY_SCHEMA).parquet(f"{work}/tally")
+    added.write.parquet(parts.path(counts))
+    added = spark.read.schema(TALLY_SCHEMA).parquet(parts.path(counts))
     asked = added.select(*VERSION).join(fresh.select(*VERSION).distinct(), VERSION, "left_semi")
     known = _added_up(parts.read("tally").join(asked, VERSION, "left_semi").unionByName(added))
     maybe = known.join(asked, VERSION, "left_semi").where("deleted or arrived >= expected").select(*VERSION, "arrived")
     maybe.write.parquet(f"{work}/maybe")
     maybe = spark.read.schema("file_path string, version bigint, arrived bigint").parquet(f"{work}/maybe")
     if maybe.isEmpty():
-        parts.publish(batch_id, {"tally": added, "open": fresh})
+        parts.publish(batch_id, {"tally": counts, "open": opened})
         remove(spark, work)
         return
     # A version may be delivered again, over this batch or earlier ones.
-    candidates = fresh.unionByName(parts.read("open")).join(maybe, VERSION, "left_semi").dropDuplicates(NODE)
+    candidates = fresh.unionByName(parts.read("open")).join(maybe, VERSION, "left_semi")
     candidates.write.parquet(f"{work}/seen")
     seen = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/seen")
+    if _repeat(seen):
+        seen.dropDuplicates(NODE).write.parquet(f"{work}/once")
+        seen = spark.read.schema(CHANGE_SCHEMA).parquet(f"{work}/once")
     _whole(seen).write.parquet(f"{work}/whole")
     whole = spark.read.schema(INDEX_SCHEMA).parquet(f"{work}/whole")
     # Repeats are taken off the tally of what was looked at, so that it is next looked at when as much is there as it lacks.

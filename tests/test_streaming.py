@@ -190,3 +190,31 @@ def test_open_rows_are_read_only_once_a_version_may_be_whole(spark, nodes_of, tm
     # Looked at when eight rows are there, five of them distinct, and when the three that lacked have come, one repeated.
     assert reads == [5, 7, 8]
     assert refresh.current_metrics(spark, root).count() == 0
+
+
+def test_rows_that_wait_are_written_once_and_dealt_out_only_if_they_repeat(spark, nodes_of, tmp_path, monkeypatch):
+    root, written = str(tmp_path / "table"), []
+    write = parts.Parts._write
+
+    def noted(self, kind, level, rows_):
+        written.append((kind, level, "Deduplicate" in rows_._jdf.queryExecution().logical().toString()))
+        return write(self, kind, level, rows_)
+
+    monkeypatch.setattr(parts.Parts, "_write", noted)
+
+    def node(i, file):
+        return {"file_path": file, "node_id": i, "depth": 0 if i == 0 else 1, "name": str(i), "descendant_count": 4 if i == 0 else 0}
+
+    for number in range(4):
+        refresh.take_batch(refresh.changes_of(nodes_of([node(number, "a"), node(0, "b")]), 1), number, root)
+    # The first four parts of open rows become one: node 0 of "b" is in each.
+    assert [w for w in written if w[0] == "open"] == [("open", 1, True)]
+    assert sorted(rows(refresh.node_parts(spark, root).read("open"), "file_path", "node_id")) == [*(("a", i) for i in range(4)), ("b", 0)]
+    refresh.take_batch(refresh.changes_of(nodes_of([node(4, "a")]), 1), 4, root)
+    assert sorted(rows(refresh.current_nodes(spark, root), "file_path", "node_id")) == [("a", i) for i in range(5)]
+
+    root, written[:] = str(tmp_path / "other"), []
+    for number in range(4):
+        refresh.take_batch(refresh.changes_of(nodes_of([node(number, "a")]), 1), number, root)
+    assert [w for w in written if w[0] == "open"] == [("open", 1, False)]
+    assert refresh.node_parts(spark, root).read("open").count() == 4
